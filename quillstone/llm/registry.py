@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillstone.llm import sql
+from quillstone.llm.bpe import bpe_encode
 from quillstone.llm.embedding_dedup import embedding_near_dedup
 from quillstone.llm.minhash_dedup import minhash_near_dedup
+from quillstone.llm.mixing import mix_counts
+from quillstone.llm.pii import personal_data
+from quillstone.llm.secret_scan import secret_scan
+from quillstone.llm.toxicity import toxicity
+
+#: Where the public tokenizers' files are.
+TOKENIZERS = os.environ.get("QUILLSTONE_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +34,37 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_near_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return minhash_near_dedup(spark, _documents(spark, sf_dir))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secret_scan(spark, _documents(spark, sf_dir))
+    return findings.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_encode(spark, _documents(spark, sf_dir), tokenizer_path())
+    return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(spark, _documents(spark, sf_dir))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = (op1_embedding_near_dedup, op2_minhash_near_dedup, op6_secret_scan, op7_bpe, op8_mix_sources, op9_personal_data, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mix_sources": sql.OP8}

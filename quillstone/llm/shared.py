@@ -110,6 +110,9 @@ def numbers(seed: int, n: int) -> np.ndarray:
 
 IS_WHITE = np.zeros(256, dtype=bool)
 IS_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation.
+BETWEEN = IS_WHITE.copy()
+BETWEEN[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -145,10 +148,10 @@ def passes(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and for each text the number of its first word (and one past the last)."""
     on = np.empty(len(data) + 1, dtype=bool)
-    on[:-1] = ~IS_WHITE[data]
+    on[:-1] = ~between[data]
     on[-1] = False
     first = on[:-1].copy()
     first[1:] &= ~on[:-2]
