@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillstone.llm.shared import arrow_map
 
@@ -184,25 +185,26 @@ def vocabulary(text: str) -> Vocabulary:
     return _LOADED[key]
 
 
-def bpe_encode(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, n_tokens, ids (comma-joined decimals; "" if none) and decoded text.
+def bpe_encode(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: its id (and the columns ``keep``), n_tokens, ids (comma-joined decimals; "" if none) and decoded text.
 
     ``tokenizer_path`` is a byte-level BPE file (JSON with model.vocab, model.merges, added_tokens), read on the driver
     and sent with the tasks as one broadcast: its size is the vocabulary's, not the data's. Strings of added tokens in a
     text are their tokens. A null text is encoded as an empty one. Every row is kept, whatever its id; nothing is
     shuffled. Other columns are ignored. An empty table gives no rows.
     """
+    names = list(dict.fromkeys([id_col, *(keep or [])]))
     held = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         v = vocabulary(held.value)
         for a in range(0, batch.num_rows, 500):
             part = batch.slice(a, 500)
-            ids = v.encode([t or "" for t in part.column(1).to_pylist()])
+            ids = v.encode([t or "" for t in part.column("_text").to_pylist()])
             n = [s.count(",") + 1 if s else 0 for s in ids]
             decoded = [v.decode(s) for s in ids]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [*names, "n_tokens", "ids", "decoded"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    kind = rows.schema[id_col].dataType.simpleString()
-    return arrow_map(rows, f, f"`{id_col}` {kind}, n_tokens long, ids string, decoded string")
+    rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
+    more = [StructField("n_tokens", LongType()), StructField("ids", StringType()), StructField("decoded", StringType())]
+    return arrow_map(rows, f, StructType([*(rows.schema[c] for c in names), *more]))

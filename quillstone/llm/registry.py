@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from quillstone.llm import sql
 from quillstone.llm.bpe import bpe_encode
 from quillstone.llm.embedding_dedup import embedding_near_dedup
+from quillstone.llm.html_extract import extract_main_text
+from quillstone.llm.license_scan import license_scan
 from quillstone.llm.minhash_dedup import minhash_near_dedup
 from quillstone.llm.mixing import mix_counts
 from quillstone.llm.pii import personal_data
+from quillstone.llm.quality import quality_rules
 from quillstone.llm.secret_scan import secret_scan
 from quillstone.llm.toxicity import toxicity
 
@@ -37,6 +40,22 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_near_dedup(spark, _documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(spark, _documents(spark, sf_dir))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of the directories source/lang."""
+    docs = _documents(spark, sf_dir)
+    parts = [F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))]
+    return license_scan(spark, docs.withColumn("path", F.concat_ws("/", *parts)))
+
+
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secret_scan(spark, _documents(spark, sf_dir))
     return findings.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -59,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = (op1_embedding_near_dedup, op2_minhash_near_dedup, op6_secret_scan, op7_bpe, op8_mix_sources, op9_personal_data, op10_toxicity)
+QUERIES = (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_quality_rules, op4_license_scan, op5_html_main_text, op6_secret_scan, op7_bpe, op8_mix_sources, op9_personal_data, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -67,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": sql.OP8}
+    return {"op3_quality_rules": sql.OP3, "op8_mix_sources": sql.OP8}

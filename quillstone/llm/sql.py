@@ -18,10 +18,41 @@ WITH d AS (
   SELECT source, source_size, least(cap, coalesce((SELECT x.level FROM l x WHERE x.level * x.weight <= x.cap ORDER BY x.k LIMIT 1) * weight, cap)) AS target FROM l
 ), p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS goal,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(at + size, goal % source_size) - at) END::BIGINT AS taken
+       CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(pos + size, goal % source_size) - pos) END::BIGINT AS taken
 FROM p
 """
+
+_QUARTILES = ", ".join(f"quantile_disc({x}, 0.25) AS {x}_1, quantile_disc({x}, 0.75) AS {x}_3" for x in ("a", "b", "c", "d"))
+_CHOSEN = ", ".join(f"CASE WHEN o.n >= 100 THEN o.{x}_{q} WHEN g.n >= 100 THEN g.{x}_{q} ELSE z.{x}_{q} END AS {x}_{q}" for x in ("a", "b", "c", "d") for q in (1, 3))
+
+OP3 = rf"""
+WITH t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), g3 AS (
+  SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g3) WHERE n > 1
+), r AS (
+  SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id
+), f AS (
+  SELECT t.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
+  FROM t LEFT JOIN r ON t.doc_id = r.doc_id
+), x AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars::DOUBLE / greatest(n_words, 1) AS a, n_symbols::DOUBLE / greatest(n_words, 1) AS b,
+         n_dup_lines::DOUBLE / greatest(n_lines, 1) AS c, n_repeat_words::DOUBLE / greatest(n_words, 1) AS d FROM f
+), o AS (SELECT lang, source, count(*) AS n, {_QUARTILES} FROM x WHERE NOT base_failed GROUP BY lang, source),
+g AS (SELECT lang, count(*) AS n, {_QUARTILES} FROM x WHERE NOT base_failed GROUP BY lang),
+z AS (SELECT count(*) AS n, {_QUARTILES} FROM x WHERE NOT base_failed),
+q AS (SELECT o.lang, o.source, {_CHOSEN} FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang, z)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       coalesce(NOT base_failed AND a >= a_1 - 3 * greatest(a_3 - a_1, 0.5::DOUBLE) AND a <= a_3 + 3 * greatest(a_3 - a_1, 0.5::DOUBLE)
+         AND b <= b_3 + 3 * greatest(b_3 - b_1, 0.05::DOUBLE) AND c <= c_3 + 3 * greatest(c_3 - c_1, 0.15::DOUBLE) AND d <= d_3 + 3 * greatest(d_3 - d_1, 0.15::DOUBLE), false) AS kept
+FROM x LEFT JOIN q ON x.lang IS NOT DISTINCT FROM q.lang AND x.source IS NOT DISTINCT FROM q.source
+"""

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillstone.llm.shared import BETWEEN, arrow_map, passes, prefix_sums, span_hashes, words
 
@@ -165,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(*lists, y, weight, **options)
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """One row per row of ``docs``: its id, held_out, score (0 to 1) and predicted (1 if score >= 0.5).
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: its id (and the columns ``keep``), held_out, score (0 to 1) and predicted (1 if score >= 0.5).
 
     The classifier reads words and word prefixes of the whole text and nothing else. It is fitted on at most ``sample``
     labelled rows a class (those whose crc32 of the id is not divisible by 5), weighted to the classes' true shares, with
@@ -179,9 +180,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: in
     """
     held = spark.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col, label_col))  # BUCKETS weights
 
+    passed = docs.select(*dict.fromkeys([id_col, text_col, *(keep or [])]))
+    names = [c for c in passed.columns if c != text_col or text_col in (keep or [])]
+
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(batch.column(1)))], [id_col, "score"])
+        score = pa.array(held.value.scores(batch.column("_text")))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), score], [*names, "score"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    scored = arrow_map(rows, f, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, score double")
-    return scored.select(id_col, (F.crc32(F.col(id_col).cast("string")) % HOLD_OUT == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    rows = passed.select(*names, F.col(text_col).cast("string").alias("_text"))
+    schema = StructType([*(rows.schema[c] for c in names), StructField("score", DoubleType())])
+    scored = arrow_map(rows, f, schema)
+    return scored.select(*names, (F.crc32(F.col(id_col).cast("string")) % HOLD_OUT == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
