@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.ranking import top_n
+
 
 def content_first(df: DataFrame, content: Column, ord_col: str) -> tuple[DataFrame, DataFrame]:
     """(first row of each content, (original, duplicate) pairs of orders), by SHA-256. Only hashes and orders are shuffled for the pairs."""
@@ -36,19 +38,14 @@ def alias_fold(df: DataFrame, key: str, term: str, priority: str, ord_col: str,
     """(key, term, aliases): the term of the highest priority (the first of equals), and as aliases, in order of arrival, the
     other strings that were not the term when they came; a term that a better one replaces is no alias. At most ``most`` aliases.
 
-    A key's strings are distinct per arrival first, so its list holds each string at its first two uses only.
+    The term at each moment is a running maximum, so nothing of a key is gathered but its aliases.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.col(term).alias("t"), F.col(priority).alias("p"))))
-    start = F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).cast("int").alias("best"), F.array().cast("array<string>").alias("aliases"))
-
-    def step(s: Column, r: Column) -> Column:
-        better = r["p"] > s["best"]
-        named = F.when(~better & (r["t"] != s["term"]), F.array_union(s["aliases"], F.array(r["t"]))).otherwise(s["aliases"])
-        return F.struct(F.when(better, r["t"]).otherwise(s["term"]).alias("term"), F.greatest(s["best"], r["p"]).alias("best"), named.alias("aliases"))
-
-    firsts = df.groupBy(key, term, priority).agg(F.min(ord_col).alias(ord_col))
-    folded = firsts.groupBy(key).agg(rows.alias("rows")).withColumn("f", F.aggregate("rows", start, step))
-    return folded.select(key, F.col("f.term").alias("term"), F.slice("f.aliases", 1, most).alias("aliases"))
+    by_then = F.max(F.struct(F.col(priority).alias("p"), (-F.col(ord_col)).alias("o"), F.col(term).alias("t"))).over(Window.partitionBy(key).orderBy(ord_col).rowsBetween(Window.unboundedPreceding, 0))
+    others = df.withColumn("_now", by_then).where(F.col(term) != F.col("_now.t")).groupBy(key, term).agg(F.min(ord_col).alias("_o"))
+    aliases = top_n(others, [key], [F.asc("_o")], most, "_r").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_r", term))).alias("_a"))
+    terms = best_by_priority(df, key, priority, ord_col).select(key, term)
+    named = F.transform(F.coalesce("_a", F.array().cast(aliases.schema["_a"].dataType)), lambda x: x[term])
+    return terms.join(aliases, key, "left").select(key, F.col(term).alias("term"), named.alias("aliases"))
 
 
 def hash_or_id_first(df: DataFrame, hash_col: str, id_col: str, ord_col: str) -> tuple[DataFrame, DataFrame]:

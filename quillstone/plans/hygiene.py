@@ -118,11 +118,14 @@ def first_non_empty_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_non_empty(rows, "l_suppkey", "ord", ["returned", "status"])
 
 
-@query()
+@query("""WITH r AS (SELECT p_brand, p_type, p_partkey AS o, max(row(p_size % 5, -p_partkey, p_type)) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS now FROM part),
+a AS (SELECT p_brand, p_type, min(o) AS o FROM r WHERE p_type <> now[3] GROUP BY ALL)
+SELECT b.p_brand, b.term, coalesce(x.aliases, '') AS aliases FROM (SELECT p_brand, arg_max(p_type, (p_size % 5, -p_partkey)) AS term FROM part GROUP BY p_brand) b
+LEFT JOIN (SELECT p_brand, string_agg(p_type, ',' ORDER BY o) AS aliases FROM a GROUP BY p_brand) x USING (p_brand)""")
 def alias_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands as concepts, part types as their strings, sizes as priorities."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_type", (F.col("p_size") % 5).cast("int").alias("priority"), F.col("p_partkey").alias("ord"))
-    return alias_fold(p, "p_brand", "p_type", "priority", "ord")
+    return alias_fold(p, "p_brand", "p_type", "priority", "ord").withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query()
