@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": sql.OP3, "op8_mix_sources": sql.OP8}
+    return {"op1_embedding_near_dedup": sql.OP1, "op2_minhash_near_dedup": sql.OP2, "op3_quality_rules": sql.OP3, "op8_mix_sources": sql.OP8}

@@ -56,3 +56,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          AND b <= b_3 + 3 * greatest(b_3 - b_1, 0.05::DOUBLE) AND c <= c_3 + 3 * greatest(c_3 - c_1, 0.15::DOUBLE) AND d <= d_3 + 3 * greatest(d_3 - d_1, 0.15::DOUBLE), false) AS kept
 FROM x LEFT JOIN q ON x.lang IS NOT DISTINCT FROM q.lang AND x.source IS NOT DISTINCT FROM q.source
 """
+
+_COMPONENTS = """reach AS (
+  SELECT a AS id, b AS r FROM p UNION SELECT reach.id, p.b FROM reach JOIN p ON p.a = reach.r
+), c AS (SELECT id, min(r) AS low FROM reach GROUP BY id)"""
+
+OP1 = rf"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS n FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND NOT list_has_any(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), [true])
+), p AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE x.n > 0 AND y.n > 0 AND list_inner_product(x.e, y.e) / (sqrt(x.n) * sqrt(y.n)) >= 0.98
+), {_COMPONENTS}
+SELECT e.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id, coalesce(c.low, e.vec_id) >= e.vec_id AS kept, coalesce(k.n, 1)::BIGINT AS n_copies
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = e.vec_id LEFT JOIN c ON c.id = e.vec_id
+LEFT JOIN (SELECT vec_id, count(*) OVER (PARTITION BY label, e) AS n FROM v WHERE n > 0) k ON k.vec_id = e.vec_id
+"""
+
+OP2 = rf"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM t WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 85 * (nx.n + ny.n - count(*))
+), {_COMPONENTS}
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(c.low, t.doc_id)) AS component_id, coalesce(c.low, t.doc_id) >= t.doc_id AS kept
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN c ON c.id = t.doc_id
+"""
