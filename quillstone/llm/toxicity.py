@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from quillstone.llm.shared import BETWEEN, arrow_map, passes, prefix_sums, span_hashes, words
 
 #: Rows of each class that the classifier is fitted on at most, in the order of a hash of their ids.
-SAMPLE = 4000
+SAMPLE = 2500
 BUCKETS = 1 << 20
 #: Prefixes (bytes) of a word that are features beside the word: inflected and compounded forms share them.
 PREFIXES = (4, 5, 6)
@@ -73,8 +73,9 @@ def _examples(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [t or "" for t in part.column(2).to_pylist()]
         x = feature_lists(texts)
         y = feature_lists([counterfactual(t, i) for t, i in zip(texts, part.column(0).to_pylist(), strict=True)])
-        packed = [pa.array([v.astype("<u4").tobytes() for v in z], pa.binary()) for z in (x, y)]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], ["id", "toxic", "x", "swapped"])
+        gone, come = [np.setdiff1d(v, w, True) for v, w in zip(x, y, strict=True)], [np.setdiff1d(w, v, True) for v, w in zip(x, y, strict=True)]
+        packed = [pa.array([v.astype("<i4").tobytes() for v in z], pa.binary()) for z in (x, gone, come)]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], ["id", "toxic", "x", "gone", "come"])
 
 
 @dataclass(frozen=True)
@@ -93,13 +94,13 @@ class Classifier:
 
 
 def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists]), np.concatenate(lists) if lists else np.zeros(0, np.int32)
 
 
-def fit(x: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fairness: float = 1.0, sparsity: float = 5e-6, keep: int = 20_000, steps: int = 800) -> Classifier:
+def fit(x: list[np.ndarray], gone: list[np.ndarray], come: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fairness: float = 1.0, sparsity: float = 5e-6, keep: int = 20_000, steps: int = 800) -> Classifier:
     """Weighted logistic loss + fairness * mean (score of a text - score of its counterfactual)^2 + sparsity * |w|.
 
-    Scores in the penalty are before the logistic. Only the ``keep`` features most telling of the class (by G^2) and
+    ``gone`` and ``come`` are the features that a text's counterfactual loses and gains. Scores in the penalty are before the logistic. Only the ``keep`` features most telling of the class (by G^2) and
     those that swaps change get a weight. Accelerated proximal gradient steps; no randomness.
     """
     share = float(np.clip((weight * y).sum() / weight.sum(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
@@ -107,7 +108,9 @@ def fit(x: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, weight: n
     if not len(y) or y.min() == y.max():
         return Classifier(np.zeros(BUCKETS), bias)
     row, col = _flat(x)
-    n1, n0 = np.bincount(col, y[row] == 1, BUCKETS), np.bincount(col, y[row] == 0, BUCKETS)
+    toxic = y[row] == 1
+    n1, n0 = np.bincount(col[toxic], minlength=BUCKETS), np.bincount(col[~toxic], minlength=BUCKETS)
+    del toxic
     t1, t0 = (y == 1).sum(), (y == 0).sum()
     p = (n1 + n0) / (t1 + t0)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -115,11 +118,11 @@ def fit(x: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, weight: n
     chosen = np.zeros(BUCKETS, dtype=bool)
     top = np.argsort(-g, kind="stable")[:keep]
     chosen[top[g[top] > 2]] = True
-    gone, come = [np.setdiff1d(a, b, True) for a, b in zip(x, swapped, strict=True)], [np.setdiff1d(b, a, True) for a, b in zip(x, swapped, strict=True)]
     (r1, c1), (r2, c2) = _flat(gone), _flat(come)
     chosen[c1] = chosen[c2] = True
-    number = np.full(BUCKETS, -1)
-    number[chosen] = np.arange(chosen.sum())
+    del n1, n0, p, g
+    number = np.full(BUCKETS, -1, dtype=np.int32)
+    number[chosen] = np.arange(chosen.sum(), dtype=np.int32)
     m, n = int(chosen.sum()), len(y)
     some = chosen[col]
     row, col = row[some], number[col[some]]
@@ -146,7 +149,7 @@ def fit(x: list[np.ndarray], swapped: list[np.ndarray], y: np.ndarray, weight: n
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, toxic, x, swapped) of at most ``sample`` labelled rows a class, without the held-out ids."""
+    """(id, toxic, x, and what the counterfactual loses and gains) of at most ``sample`` labelled rows a class, without the held-out ids."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("id").cast("string")) % HOLD_OUT != 0))
     order = [F.xxhash64("id"), F.col("id")]
@@ -154,12 +157,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
     few = few.groupBy("id").agg(F.max("toxic").alias("toxic"))  # at most 2 * sample rows: that bound allows the broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(few), "id").select("id", "toxic", "text")
-    return arrow_map(rows, _examples, "id long, toxic int, x binary, swapped binary")
+    return arrow_map(rows, _examples, "id long, toxic int, x binary, gone binary, come binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Classifier:
     rows = training_rows(docs, labels, sample, id_col, text_col, label_col).toPandas().drop_duplicates("id").sort_values("id")
-    lists = [[np.frombuffer(v, dtype="<u4").astype(np.int64) for v in rows[c]] for c in ("x", "swapped")]
+    lists = [[np.frombuffer(v, dtype="<i4") for v in rows[c]] for c in ("x", "gone", "come")]
     y = rows["toxic"].to_numpy(dtype=np.float64)
     counts = {r["toxic"]: r["n"] for r in labels.where(F.crc32(F.col(id_col).cast("long").cast("string")) % HOLD_OUT != 0).groupBy(F.col(label_col).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).where("toxic in (0, 1)").collect()}
     weight = np.array([counts[int(v)] / max(1, (y == v).sum()) for v in y]) if len(y) else np.zeros(0)
