@@ -36,15 +36,18 @@ DIGIT_WORDS = {
     **{w: str(i) for i, w in enumerate("cero uno dos tres cuatro cinco seis siete ocho nueve".split())},
 }
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: At least so many spelled digits in a row are read as a number: shorter runs are prose.
-SPELLED = 7
-_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_WORDS})[\x20.,-]{{1,2}}){{{SPELLED - 1},}}(?:{_WORDS})(?![^\W_])", re.IGNORECASE)
+#: So many words for digits, and digits in all, make a spelled number: less is prose.
+SPELLED, LEAST_DIGITS = 3, 7
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_WORDS}|[0-9]+)[\x20.,-]{{1,3}}){{{SPELLED},}}(?:{_WORDS}|[0-9]+)(?![^\W_])", re.IGNORECASE)
+_PART = re.compile(rf"{_WORDS}|[0-9]+", re.IGNORECASE)
 _PLUS = re.compile(r"\bplus[\x20-]+(?=\+?[0-9])", re.IGNORECASE)
-_AT = re.compile(r"\x20*[\[({<]\x20*(?:at|@|arroba|chez)\x20*[\])}>]\x20*", re.IGNORECASE)
-_DOT = re.compile(r"\x20*[\[({<]\x20*(?:dot|\.|punkt|point|punto)\x20*[\])}>]\x20*", re.IGNORECASE)
+_AT = re.compile(r"\x20*(?:&#0*64;|&commat;)\x20*|\x20*[\[({<]\x20*(?:at|@|arroba|chez)\x20*[\])}>]\x20*", re.IGNORECASE)
+_DOT = re.compile(r"\x20*&#0*46;\x20*|\x20*[\[({<]\x20*(?:dot|\.|punkt|point|punto)\x20*[\])}>]\x20*", re.IGNORECASE)
 _SPOKEN = re.compile(r"(?<=[A-Za-z0-9_])\x20(?:at|AT|arroba)\x20(?=[A-Za-z0-9-]+(?:\x20(?:dot|DOT|punkt|punto)\x20[A-Za-z0-9-]+)+\b)")
 _SPOKEN_DOT = re.compile(r"\x20(?:dot|DOT|punkt|punto)\x20(?=[A-Za-z0-9-])")
-_BRACKETED = re.compile(r"[\[({<]\x20*(?:at|@|dot|arroba|chez|punkt|point|punto|\.)\x20*[\])}>]", re.IGNORECASE)
+_SPACED = re.compile(r"(?<=[A-Za-z0-9_])\x20{0,2}@\x20{0,2}(?=[A-Za-z0-9-]+(?:\x20{1,2}\.\x20{0,2}|\.)[A-Za-z]{2,}\b)")
+_SPACED_HOST = re.compile(r"(?<=@)[A-Za-z0-9-]+(?:\x20{1,2}\.\x20{0,2}[A-Za-z0-9-]+)+")
+_BRACKETED = re.compile(r"&#0*64;|&commat;|[\[({<]\x20*(?:at|@|dot|arroba|chez|punkt|point|punto|\.)\x20*[\])}>]", re.IGNORECASE)
 _DOTTED = (" dot ", " DOT ", " punkt ", " punto ")
 
 
@@ -82,10 +85,12 @@ class Rewriting:
         self.text, self.start, self.end, self.changed = text, list(range(len(text))), list(range(1, len(text) + 1)), False
 
     def apply(self, pattern: re.Pattern, to) -> None:
-        """Replace each match by ``to(match)``; all its characters stand for the whole match."""
+        """Replace each match by ``to(match)`` (None: leave it); all its characters stand for the whole match."""
         parts, start, end, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             new = to(m)
+            if new is None:
+                continue
             a, b = m.span()
             parts += [self.text[at:a], new]
             start += self.start[at:a] + [self.start[a]] * len(new)
@@ -105,23 +110,34 @@ def _number_word_hashes() -> np.ndarray:
     return np.unique(span_hashes(prefix_sums(np.frombuffer(b"".join(data), dtype=np.uint8)), ends - [len(w) for w in data], ends))
 
 
+def _digits_of(m: re.Match) -> str | None:
+    parts = _PART.findall(m.group())
+    digits = "".join(DIGIT_WORDS.get(p.lower(), p) for p in parts)
+    return digits if sum(not p.isdigit() for p in parts) >= SPELLED and len(digits) >= LEAST_DIGITS else None
+
+
 def spelled_out(column: pa.Array) -> np.ndarray:
-    """Of each text: whether SPELLED words in a row are digits' names."""
+    """Of each text: whether four tokens in a row are digits or their names, three of them names."""
     out, names = np.zeros(len(column), dtype=bool), _number_word_hashes()
     for a, b, data, offsets in passes(column):
         starts, ends, bounds = words(data, offsets, BETWEEN)
-        hit = np.isin(span_hashes(prefix_sums(data), starts, ends), names)
-        total = np.concatenate([[0], np.cumsum(hit)])
-        at = np.flatnonzero(total[SPELLED:] - total[:-SPELLED] == SPELLED)
+        name = np.isin(span_hashes(prefix_sums(data), starts, ends), names)
+        if not name.any():
+            continue
+        digit = np.concatenate([[0], np.cumsum(name | ((data[starts] >= 48) & (data[starts] <= 57)))])
+        named = np.concatenate([[0], np.cumsum(name)])
+        n = SPELLED + 1
+        at = np.flatnonzero((digit[n:] - digit[:-n] == n) & (named[n:] - named[:-n] >= SPELLED))
         doc = np.searchsorted(bounds, at, "right") - 1
-        out[a + doc[at + SPELLED <= bounds[doc + 1]]] = True
+        out[a + doc[at + n <= bounds[doc + 1]]] = True
     return out
 
 
 def deobfuscated(text: str, spelled: bool = True) -> Rewriting | None:
     """The text after the transducers, or None if none of them applies; ``spelled`` says whether it may hold spelled numbers."""
     alike = not text.isascii() and _ALIKE.search(text)
-    if not alike and not spelled and not any(x in text for x in _DOTTED) and not _BRACKETED.search(text):
+    spaced = " @" in text or "@ " in text
+    if not alike and not spelled and not spaced and not any(x in text for x in _DOTTED) and not _BRACKETED.search(text):
         return None
     r = Rewriting(text)
     if alike:
@@ -129,11 +145,14 @@ def deobfuscated(text: str, spelled: bool = True) -> Rewriting | None:
         r.changed, r.text = flat != text, flat
         r.apply(_HIDDEN, lambda m: "")
     if spelled:
-        r.apply(_SPELLED, lambda m: "".join(DIGIT_WORDS[w.lower()] for w in re.findall(_WORDS, m.group(), re.IGNORECASE)))
+        r.apply(_SPELLED, _digits_of)
         r.apply(_PLUS, lambda m: "+")
     r.apply(_AT, lambda m: "@")
     r.apply(_DOT, lambda m: ".")
     r.apply(_SPOKEN, lambda m: "@")
+    if spaced:
+        r.apply(_SPACED, lambda m: "@")
+        r.apply(_SPACED_HOST, lambda m: m.group().replace(" ", ""))
     if "@" in r.text and _SPOKEN_DOT.search(r.text):
         host = re.compile(r"(?<=@)[A-Za-z0-9-]+(?:\x20(?:dot|DOT|punkt|punto)\x20[A-Za-z0-9-]+)+")
         r.apply(host, lambda m: _SPOKEN_DOT.sub(".", m.group()))
@@ -162,7 +181,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: its id, n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     Base matches are leftmost and non-overlapping per kind. Transducers then undo homoglyphs, zero-width characters,
-    spelled digits (seven or more in a row, four languages), and at/dot disguises, keeping each character's source
+    spelled digits (at least seven digits in a row, three of them words of four languages), and at/dot disguises, keeping each character's source
     span; what the same detectors find in the result is mapped back, and added where no base span of its kind overlaps.
     A rewritten base match is thus counted once, as it stands in the text. Positions are code points, end exclusive.
 

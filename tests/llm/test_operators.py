@@ -381,7 +381,8 @@ def test_personal_data(spark):
     [
         ("mail jane.doe [at] example [dot] com now", "email", "jane.doe [at] example [dot] com"), ("reach bob at example dot org today", "email", "bob at example dot org"), ("jаne@exаmple.com", "email", "jаne@exаmple.com"),
         ("call plus one five five five one two three four five six seven please", "phone", "plus one five five five one two three four five six seven"), ("​x 4111​1111​1111​1111 y", "card", "4111​1111​1111​1111"),
-        ("ip １９２.１６８.０.１ here", "ip", "１９２.１６８.０.１"), ("we met at noon. dot com", None, None), ("one two three four five six", None, None), ("look at google dot", None, None),
+        ("ip １９２.１６８.０.１ here", "ip", "１９２.１６８.０.１"), ("we met at noon. dot com", None, None), ("one two three four five six", None, None), ("dial +1 five five five 123 four five six seven", "phone", "+1 five five five 123 four five six seven"), ("ann &#64; example.org", "email", "ann &#64; example.org"),
+        ("ann @ example . org. Then", "email", "ann @ example . org"), ("items one two three 4 and so on", None, None), ("see you @ noon. ok", None, None), ("look at google dot", None, None),
     ],
 )
 def test_deobfuscation(text, kind, found):
