@@ -23,7 +23,7 @@ NO_RANK = np.int32(np.iinfo(np.int32).max)
 #: White space other than spaces and line ends.
 RARE = re.compile(f"[{_S}]".replace(r"\t-\r ", r"\t\x0b-\r"))
 #: Pre-tokens, and pieces, that a Python worker remembers; beyond it, the memory starts anew.
-MEMORY = 600_000
+MEMORY = 350_000
 
 
 def byte_letters() -> dict[str, int]:
