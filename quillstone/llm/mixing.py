@@ -15,10 +15,11 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(row, rid, source, size, place): place orders a source's rows at random but alike in every run."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(row, rid, source, size, place): place orders a source's rows at random but alike in every run. ``row_col`` numbers the rows, if given."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("rid"), F.col(source_col).cast("string").alias("source"), size.alias("size")).withColumn(
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), F.col(id_col).cast("long").alias("rid"), F.col(source_col).cast("string").alias("source"), size.alias("size")).withColumn(
         "place", F.md5(F.coalesce(F.col("rid").cast("string"), F.lit("")))
     )
 
@@ -98,9 +99,9 @@ def schedule(spark: SparkSession, goals: DataFrame, block_words: int = BLOCK_WOR
 
 def mix(
     spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
 ) -> DataFrame:
-    """One row per piece of a document and block: row (of ``docs``), rid, source, size, source_size, target, block, from and to (words of the
+    """One row per piece of a document and block: row (of ``docs``; ``row_col``, if given), rid, source, size, source_size, target, block, from and to (words of the
     document in the block), first (words of the block before it), and takes: an array of (slot, epoch, words the slot
     takes of the block from its start), empty where no slot takes the block.
 
@@ -112,7 +113,7 @@ def mix(
     their own with one place in the order (ties by size). An empty table gives no rows. Other columns are ignored.
     """
     stage = Stage(spark, "mix")
-    rows = stage.cut(sized(docs, id_col, text_col, source_col), "sized")
+    rows = stage.cut(sized(docs, id_col, text_col, source_col, row_col), "sized")
     goals = stage.cut(targets(rows, weights, share, most), "targets")
     slots = stage.cut(schedule(spark, goals, block_words), "schedule")
     lines = _prefix(rows.withColumn("stretch", F.substring("place", 1, PLACES)), "source", "stretch", ["place", "size", "row"], "size", "at")
@@ -143,12 +144,14 @@ def mix_counts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **o
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once per pass that takes any of their words; of a row that a source's last
-    slot cuts, the text up to its last word taken (n_chars set). Columns as in ``docs``."""
-    pieces = mix(spark, docs, id_col=id_col, text_col=text_col, **options)
-    got = pieces.select("rid", "from", "to", "first", "size", F.explode("takes").alias("t"))
+    slot cuts, the text up to its last word taken (n_chars set). Columns as in ``docs``. Takes go back to rows by a number
+    written with them, so rows with a null or repeated id each keep their own."""
+    rows = Stage(spark, "mixed").cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    pieces = mix(spark, rows, id_col=id_col, text_col=text_col, row_col="_row", **options)
+    got = pieces.select(F.col("row").alias("_row"), "from", "to", "first", "size", F.explode("takes").alias("t"))
     got = got.withColumn("words", F.greatest(F.lit(0), F.least(F.col("to") - F.col("from"), F.col("t.words") - F.col("first"))))
-    got = got.groupBy("rid", F.col("t.epoch").alias("_epoch")).agg(F.sum("words").alias("_words"), F.first("size").alias("_size")).where("_words > 0")
-    out = docs.join(got, F.col(id_col).cast("long") == F.col("rid"))
+    got = got.groupBy("_row", F.col("t.epoch").alias("_epoch")).agg(F.sum("words").alias("_words"), F.first("size").alias("_size")).where("_words > 0")
+    out = rows.join(got, "_row")
     cut = F.expr(f"array_join(slice(filter(split(`{text_col}`, '(?<=[\\\\x20\\\\x09-\\\\x0D])(?=[^\\\\x20\\\\x09-\\\\x0D])'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]'), 1, cast(_words as int)), '')")
     out = out.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), F.rtrim(cut)).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:

@@ -111,11 +111,13 @@ def secret_scan(
 
 
 def redact(spark: SparkSession, docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every found span replaced by ``mark`` (overlapping spans by one), n_chars set where there is such a column."""
-    hits = findings.where("spans <> ''").select(F.col(id_col).alias("_id"), "blob", "spans").dropDuplicates(["_id", "blob"])
+    """``docs`` with every found span replaced by ``mark`` (overlapping spans by one), n_chars set where there is such a column.
+
+    Findings belong to contents, so they are joined by blob: a row's id, null or repeated, doesn't matter."""
+    hits = findings.where("spans <> ''").select("blob", "spans").dropDuplicates(["blob"])
     hits = Stage(spark, "redact").cut(hits, "hits")
     hits = broadcast_if_small(hits, hits.count(), 100_000)
-    out = docs.withColumn("_blob", blob_of(F.col(text_col))).join(hits, (F.col(id_col) == F.col("_id")) & (F.col("_blob") == F.col("blob")), "left")
+    out = docs.withColumn("_blob", blob_of(F.col(text_col))).join(hits, F.col("_blob") == F.col("blob"), "left")
     parts = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 

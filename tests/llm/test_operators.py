@@ -271,6 +271,13 @@ def test_redact(spark):
     assert out[1].text is None and out[2].text == "clean"
 
 
+def test_redact_null_and_repeated_ids(spark):
+    rows = [(None, "a token=abcdefg1 b"), (None, "c password: hunter22 d"), (1, "e token=abcdefg1 f"), (1, "clean"), (1, "e token=abcdefg1 f"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in secret_scan.redact(spark, df, secret_scan.secret_scan(spark, df)[0]).collect())
+    assert got == [(0, ""), (0, "a [SECRET] b"), (0, "c [SECRET] d"), (1, "clean"), (1, "e [SECRET] f"), (1, "e [SECRET] f")]
+
+
 # ---------------------------------------------------------------- 7 BPE
 
 
@@ -335,6 +342,23 @@ def test_mix(spark):
     assert mixing.mix_counts(spark, df.limit(0)).count() == 0
 
 
+def test_mix_null_and_repeated_ids(spark):
+    """Each row comes as often as its own takes say, whatever its id."""
+    rows = [(None if i % 3 == 0 else i % 7, " ".join(f"{i}w{k}" for k in range(10 + 13 * i % 90)), "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = mixing.mix(spark, df, block_words=64)
+    want = {r.source: (r.target, r.n) for r in pieces.groupBy("source").agg(F.first("target").alias("target"), F.sum(mixing.taken_words()).alias("n")).collect()}
+    got, passes = {"a": 0, "b": 0}, {}
+    for r in mixing.mixed_documents(spark, df, block_words=64).collect():
+        words = r.text.split(" ")
+        got[r.source] += len(words)
+        n = int(words[0].split("w")[0])
+        passes[n] = passes.get(n, 0) + 1
+        assert rows[n][0] == r.doc_id and rows[n][1].startswith(r.text)
+    assert all(got[s] == n and abs(n - target) <= 1 for s, (target, n) in want.items())
+    assert max(passes.values()) <= 2
+
+
 def test_schedule_is_even(spark):
     goals = spark.createDataFrame([("a", 10_000, 8_000.0), ("b", 9_000, 2_000.0), (None, 1_000, 2_000.0)], "source string, source_size long, target double")
     slots = mixing.schedule(spark, goals, 100).orderBy("slot").collect()
