@@ -105,7 +105,7 @@ _ALIKE = re.compile("[" + re.escape("".join(map(chr, HOMOGLYPHS))) + ZERO_WIDTH
 
 
 def _number_word_hashes() -> np.ndarray:
-    data = [w.encode() for w in DIGIT_WORDS]
+    data = [w.encode() for w in {x for w in DIGIT_WORDS for x in (w, "".join(c if c.isascii() else c.upper() for c in w))}]  # A-Z hash as a-z
     ends = np.cumsum([len(w) for w in data])
     return np.unique(span_hashes(prefix_sums(np.frombuffer(b"".join(data), dtype=np.uint8)), ends - [len(w) for w in data], ends))
 
@@ -117,19 +117,26 @@ def _digits_of(m: re.Match) -> str | None:
 
 
 def spelled_out(column: pa.Array) -> np.ndarray:
-    """Of each text: whether four tokens in a row are digits or their names, three of them names."""
+    """Of each text: whether it may hold a spelled number, that is four tokens or more in a row that are digits or their
+    names, three of them names. A token with a character that isn't printable ASCII, as a quotation mark, may hold a
+    name at either end of such a row. Whatever _SPELLED and _digits_of accept has such a row, look-alikes aside."""
     out, names = np.zeros(len(column), dtype=bool), _number_word_hashes()
     for a, b, data, offsets in passes(column):
         starts, ends, bounds = words(data, offsets, BETWEEN)
         name = np.isin(span_hashes(prefix_sums(data), starts, ends), names)
         if not name.any():
             continue
-        digit = np.concatenate([[0], np.cumsum(name | ((data[starts] >= 48) & (data[starts] <= 57)))])
+        strange = np.concatenate([[0], np.cumsum((data < 32) | (data > 126))])
+        edge = strange[ends] > strange[starts]
+        fits = name | ((data[starts] >= 48) & (data[starts] <= 57))
+        new = np.zeros(len(starts) + 1, dtype=bool)  # a text's first token
+        new[bounds[:-1]] = True
+        first = np.flatnonzero(fits & (new[:-1] | ~np.concatenate([[False], fits[:-1]])))
+        last = np.flatnonzero(fits & (new[1:] | ~np.concatenate([fits[1:], [False]]))) + 1
         named = np.concatenate([[0], np.cumsum(name)])
-        n = SPELLED + 1
-        at = np.flatnonzero((digit[n:] - digit[:-n] == n) & (named[n:] - named[:-n] >= SPELLED))
-        doc = np.searchsorted(bounds, at, "right") - 1
-        out[a + doc[at + n <= bounds[doc + 1]]] = True
+        beside = (edge[first - 1] & ~new[first] & (first > 0)).astype(int) + (np.append(edge, False)[last] & ~new[last])
+        rows = (last - first + beside > SPELLED) & (named[last] - named[first] + beside >= SPELLED)
+        out[a + np.searchsorted(bounds, first[rows], "right") - 1] = True
     return out
 
 
@@ -137,16 +144,17 @@ def deobfuscated(text: str, spelled: bool = True) -> Rewriting | None:
     """The text after the transducers, or None if none of them applies; ``spelled`` says whether it may hold spelled numbers."""
     alike = not text.isascii() and _ALIKE.search(text)
     spaced = " @" in text or "@ " in text
-    if not alike and not spelled and not spaced and not any(x in text for x in _DOTTED) and not _BRACKETED.search(text):
+    plus = "plus" in text.lower() and _PLUS.search(text)
+    if not alike and not spelled and not spaced and not plus and not any(x in text for x in _DOTTED) and not _BRACKETED.search(text):
         return None
     r = Rewriting(text)
     if alike:
         flat = r.text.translate(HOMOGLYPHS)  # one character for one
         r.changed, r.text = flat != text, flat
         r.apply(_HIDDEN, lambda m: "")
-    if spelled:
+    if spelled or alike:
         r.apply(_SPELLED, _digits_of)
-        r.apply(_PLUS, lambda m: "+")
+    r.apply(_PLUS, lambda m: "+")
     r.apply(_AT, lambda m: "@")
     r.apply(_DOT, lambda m: ".")
     r.apply(_SPOKEN, lambda m: "@")

@@ -415,6 +415,31 @@ def test_deobfuscation(text, kind, found):
     assert got == ([(kind, found)] if kind else [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("dial +4 nine 1 seven 0 one 2 three 4 five 6 now", "phone", "+4 nine 1 seven 0 one 2 three 4 five 6"), ("dial plus 49 170 1234567 now", "phone", "plus 49 170 1234567"),
+        ("card 4 one 11 1 one 11 1 one 11 1111 now", "card", "4 one 11 1 one 11 1 one 11 1111"), ("“four 1 one 1111 11 1111 one 11” ok", "card", "four 1 one 1111 11 1111 one 11"),
+        ("tel +ZÉRO 12 CERO 345 zéro 67 89 0", "phone", "+ZÉRO 12 CERO 345 zéro 67 89 0"), ("+4 nіne 1 sеven 0 оne 2 three 4 five 6", "phone", "+4 nіne 1 sеven 0 оne 2 three 4 five 6"),
+    ],
+)
+def test_alternating_numbers(spark, text, kind, found):
+    r = pii.personal_data(documents(spark, [text])).first()
+    got = [(k, text[int(a) : int(b)]) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+    assert got == [(kind, found)]
+
+
+def test_spelled_out_is_a_superset():
+    rnd = random.Random(12)
+    bits = ["one", "Two", "three", "FÜNF", "zéro", "nine", "4", "15", "0", "x", "“six", "seven”", "eight…", "to"]
+    texts = ["".join(rnd.choice(bits) + rnd.choice([" ", " ", "-", ", ", ". ", "/"]) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    may = pii.spelled_out(shared.pa.array(texts))
+    assert 0.1 < may.mean() < 0.9
+    for t, m in zip(texts, may, strict=True):
+        assert m or pii.all_spans(t, False) == pii.all_spans(t, True)
+        assert m or not any(pii._digits_of(x) for x in pii._SPELLED.finditer(t)), t
+
+
 # ---------------------------------------------------------------- 10 toxicity
 
 
