@@ -19,7 +19,9 @@ LEAST_PAGES, LEAST_IMPORTANCE, CONTENT_WEIGHT = 8, 0.2, 0.9
 
 # HTML's elements by what they do to text, and names that mark parts around an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe object svg math select button canvas audio video".split())
+RAW = frozenset("script style textarea iframe".split())
+#: Elements without text of the page; other elements can be inside, and an unclosed one ends with its parent.
+EMPTY = frozenset("noscript template textarea iframe object svg math select button canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -30,41 +32,71 @@ NOISE_NAMES = frozenset(
     "sidebar side widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments commentlist disqus respond related recommended "
     "share sharing social popup modal overlay login signup search toolbar masthead skip".split()
 )
+#: What others wrote or wrote elsewhere: an article in it isn't the page's.
+OTHERS = frozenset("comment comments commentlist disqus respond related recommended widget widgets".split())
+#: First parts of a name whose other parts say what it is, as in site-footer.
+PLACES = frozenset("site page main global primary secondary left right top bottom".split())
 #: Marks only outside an article: inside, a header holds its title.
 OUTER_NAMES = frozenset("header head topbar top".split())
+#: Unclosed elements without text that a block or one of their kind ends, as HTML has it; an article ends all of them.
+UNCLOSED = frozenset("svg math select".split())
+CLOSING = {"option": frozenset(), "button": frozenset(["button"]), "select": frozenset(["select"]), "article": EMPTY - {"noscript", "template"}, "main": EMPTY - {"noscript", "template"}}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ARTICLE = re.compile(r"<article\b|\brole\s*=\s*[\"']?article\b", re.IGNORECASE)
 _NAME = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    """An open element: its branch in the style tree, and whether its text is noise or part of an article."""
+    """An open element: its branch in the style tree, whether its text is noise (fixed: whatever is inside) or part of an article."""
 
-    __slots__ = ("branch", "main", "noise", "tag")
+    __slots__ = ("branch", "fixed", "main", "noise", "tag")
 
-    def __init__(self, tag: str, branch: str, noise: bool, main: bool) -> None:
-        self.tag, self.branch, self.noise, self.main = tag, branch, noise, main
+    def __init__(self, tag: str, branch: str, noise: bool, fixed: bool, main: bool) -> None:
+        self.tag, self.branch, self.noise, self.fixed, self.main = tag, branch, noise, fixed, main
 
 
-def _child(parent: Node, tag: str, attributes: str) -> Node:
-    found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    names = set(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
-    main = parent.main or tag in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody"
-    noise = parent.noise or tag in NOISE_TAGS or (tag == "header" and not parent.main) or found.get("role") in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+def _marked(name: str, names: frozenset[str]) -> bool:
+    """Whether a class or id is one of the names or begins with one (ad-slot, but not ad-free), or is one of a place (site-footer)."""
+    if name in names:
+        return True
+    first, *rest = _NAME.findall(name) or [""]
+    return (first in names and rest != ["free"]) or (first in PLACES and bool(rest) and all(x in names for x in rest))
+
+
+def _child(parent: Node, tag: str, attributes: str, rescue: bool) -> Node:
+    found: dict[str, str] = {}
+    for k, v in _ATTRIBUTE.findall(attributes) if attributes else ():
+        found.setdefault(k.lower(), v.strip("\"'").lower())  # the first of a name counts
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    whole = tag == "main" or found.get("role") == "main" or found.get("itemprop") == "articlebody"
+    own = whole or tag == "article" or found.get("role") == "article"
+    main = parent.main or own
+    fixed = parent.fixed or "hidden" in found or found.get("aria-hidden") == "true" or tag in ("head", "nav", "footer") or tag in EMPTY
+    noise = parent.noise and not (whole or (own and rescue))
+    noise = fixed or noise or tag in NOISE_TAGS or (tag == "header" and not parent.main) or found.get("role") in NOISE_ROLES
     if tag not in ("html", "body", "article", "main"):
-        noise = noise or bool(names & NOISE_NAMES) or (not main and bool(names & OUTER_NAMES))
+        fixed = fixed or any(_marked(x, OTHERS) for x in names)
+        noise = fixed or noise or any(_marked(x, NOISE_NAMES) or (not main and _marked(x, OUTER_NAMES)) for x in names)
     if tag not in BLOCKS:
-        return Node(tag, parent.branch, noise, main)
+        return Node(tag, parent.branch, noise, fixed, main)
     style = ".".join(sorted(_NAME.findall(found.get("class", ""))))
-    return Node(tag, f"{parent.branch}/{tag}.{style}", noise, main)
+    return Node(tag, f"{parent.branch}/{tag}.{style}", noise, fixed, main)
 
 
 def page_blocks(page: str) -> list[tuple[str, bool, str]]:
-    """(branch, whether in an article, text) of each block of a page that isn't marked as noise, in page order."""
+    """(branch, whether in an article, text) of each block of a page that isn't marked as noise, in page order.
+
+    A main element counts inside marked wrappers too, and so does an article if the page has none outside them."""
+    out = _blocks(page, False)
+    return out if any(main for _, main, _ in out) or not _ARTICLE.search(page) else _blocks(page, True)
+
+
+def _blocks(page: str, rescue: bool) -> list[tuple[str, bool, str]]:
     out: list[tuple[str, bool, str]] = []
-    stack, parts, at = [Node("", "", False, False)], [], 0
+    stack, parts, at = [Node("", "", False, False, False)], [], 0
 
     def flush() -> None:
         if parts:
@@ -97,20 +129,25 @@ def page_blocks(page: str) -> list[tuple[str, bool, str]]:
                 flush()
             continue
         attributes = m.group(3) or m.group(6) or ""
-        if tag in RAW:
+        if tag in RAW or tag in EMPTY:
             if attributes.rstrip().endswith("/") and tag in ("svg", "math", "iframe", "object"):
                 continue
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
             if not stack[-1].noise:
                 parts.append(" ")
-            continue
+        if tag in RAW:
+            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            if end or tag in ("script", "style"):
+                at = end.end() if end else len(page)
+                continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             elif tag == "br" and not stack[-1].noise:
                 parts.append(" ")
             continue
+        ends = CLOSING.get(tag, UNCLOSED if tag in BLOCKS else frozenset())
+        if stack[-1].fixed and (i := next((i for i, n in enumerate(stack) if n.tag in ends), 0)):
+            pop(i)
         if tag in BLOCKS:
             if tag in ("body", "article", "main", "div", "p", "section", "nav", "footer", "h1", "h2", "table", "ul") and (i := next((i for i, n in enumerate(stack) if n.tag == "head"), 0)):
                 pop(i)
@@ -120,7 +157,7 @@ def page_blocks(page: str) -> list[tuple[str, bool, str]]:
             i = next((i for i in range(limit + 1, len(stack)) if stack[i].tag in ends or stack[i].tag == "p"), 0)
             if i:
                 pop(i)
-        stack.append(_child(stack[-1], tag, attributes))
+        stack.append(_child(stack[-1], tag, attributes, rescue))
     flush()
     return out
 
@@ -181,7 +218,7 @@ def extract_main_text(spark: SparkSession, pages: DataFrame, least_importance: f
     else is left of the page. Pages are parsed twice, so no text is shuffled or stored on the way.
 
     A null page is empty. A null URL is a host of its own. Broken markup is read as far as it goes: unclosed elements end
-    with their parent, unclosed scripts with the page. Null ids and repeated rows are kept. An empty table gives no rows.
+    with their parent, unclosed scripts and styles with the page. Null ids and repeated rows are kept. An empty table gives no rows.
     Other columns are ignored.
     """
     stage = Stage(spark, "html")

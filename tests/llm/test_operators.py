@@ -219,6 +219,20 @@ def test_page_blocks():
         html_extract.page_blocks(broken)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div style='overflow:hidden'><article>K</article></div>", "<article data-hidden='false' title=\"hidden\"><p>K</article>", "<div data-id='menu' data-role='navigation'>K</div>", "<div class='content no-sidebar has-menu'>K</div>",
+        "<div class='content with-ad'><div class='ad-free'>K</div><div class='ad-slot'>N</div><div id='site-footer'>N</div></div>", "<div class='menu-page'><nav>N</nav><main><p>K</p></main></div>", "<div class='sidebar-right'><article>K</article></div>",
+        "<article>K</article><div class='sidebar'><article>N</article></div><section class='comments'><article>N</article></section>", "<form><div>N</div><main>K</main></form>", "<section class='comments'><article>N</article></section><p>K</p>",
+        "<div><button>N</div><p>K", "<div><select><option>N<option>N</div><p>K</p>", "<div><svg><text>N</div><p>K</p><canvas>N", "<svg><text>N</text><p>K</p>", "<button>N<article>K</article>", "<div><textarea>N</div><p>K</p>", "<p>K<button><b>N</b></button></p>",
+        "<div hidden>N</div><div aria-hidden=true>N</div><div class=menu id=x hidden=''>N</div><p>K</p><div HIDDEN><main>N</main></div>",
+    ],
+)
+def test_marks_are_whole_attributes(page):
+    assert [t for _, _, t in html_extract.page_blocks(page)] == ["K"]
+
+
 def test_style_tree_removes_shared_branches(spark):
     rows = [(i, f"https://h.org/{i}", f"<div class='wrap'><div class='promoline'>Join our club</div><div class='post'><p>Story {i} of its own.</p></div></div>") for i in range(12)]
     rows += [(50, "https://h.org/50", None), (51, None, "<p>alone</p>"), (52, "https://one.org", "<div class='promoline'>Join our club</div>"), (None, "https://h.org/n", rows[0][2]), (3, "https://h.org/3", rows[3][2])]
