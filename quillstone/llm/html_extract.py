@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.shared import Stage, arrow_map, broadcast_if_small
 
 #: Pages (of different content) that a branch needs on a host before its entropy counts; composite importance below which it
-#: goes; weight of content against presentation.
-LEAST_PAGES, LEAST_IMPORTANCE, CONTENT_WEIGHT = 8, 0.2, 0.9
+#: goes; weight of content against presentation; importance that a branch in an article or main has beforehand.
+LEAST_PAGES, LEAST_IMPORTANCE, CONTENT_WEIGHT, MAIN_PRIOR = 8, 0.2, 0.9, 0.1
 
 # HTML's elements by what they do to text, and names that mark parts around an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,17 +166,21 @@ def _code(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _branch(branch: str, main: bool) -> int:
+    return _code(branch, "main" if main else "")
+
+
 def _outline(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Of each page: its branches with the codes of their texts, articles' aside."""
+    """Of each page: its branches with the codes of their texts, and whether they are in an article."""
     for a in range(0, batch.num_rows, 256):
         part, out = batch.slice(a, 256), []
         for page, host, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
             blocks = page_blocks(text or "")
             content = _code(*[t for _, _, t in blocks])
-            out += [(page, host, content, _code(b), _code(t)) for b, main, t in blocks if not main]
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["page", "host", "content", "branch", "text"])
+            out += [(page, host, content, _branch(b, main), _code(t), main) for b, main, t in blocks]
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["page", "host", "content", "branch", "text", "main"])
 
 
 def _render(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -186,35 +190,36 @@ def _render(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for text, low in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True):
             blocks = page_blocks(text or "")
             gone = set(low or ())
-            kept = [t for b, main, t in blocks if main or not gone or _code(b) not in gone]
+            kept = [t for b, main, t in blocks if not gone or _branch(b, main) not in gone]
             out.append("\n".join(kept if kept else [t for _, _, t in blocks]))
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def style_tree(outline: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, branch, pages, importance) of the merged DOMs, from (page, host, content, branch, text) rows.
+    """(host, branch, pages, importance) of the merged DOMs, from (page, host, content, branch, text, main) rows.
 
     Pages of equal content count once. A text on k of a branch's m pages has content importance 1 - log k / log m; the
     branch has the mean over its texts. Its presentation importance is the entropy, in base m, of the number of blocks that
-    its pages have on it. The composite weighs the two.
+    its pages have on it. The composite weighs the two and adds the prior of branches in an article or main.
     """
-    per = outline.groupBy("host", "branch", "content", "text").agg(F.count(F.lit(1)).alias("_"))
-    texts = per.groupBy("host", "branch", "text").agg(F.count(F.lit(1)).alias("k"))
+    per = outline.groupBy("host", "branch", "content", "text").agg(F.first("main").alias("main"))
+    texts = per.groupBy("host", "branch", "text").agg(F.count(F.lit(1)).alias("k"), F.first("main").alias("main"))
     shapes = per.groupBy("host", "branch", "content").agg(F.count(F.lit(1)).alias("blocks")).groupBy("host", "branch", "blocks").agg(F.count(F.lit(1)).alias("c"))
     pages = shapes.groupBy("host", "branch").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("cl")).where(F.col("m") >= max(2, least_pages))
-    content = texts.groupBy("host", "branch").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("kl"))
+    content = texts.groupBy("host", "branch").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("kl"), F.first("main").alias("main"))
     joined = pages.join(content, ["host", "branch"])
     content_importance = 1 - F.col("kl") / F.col("n") / F.log("m")
     presentation = 1 - F.col("cl") / F.col("m") / F.log("m")
-    return joined.select("host", "branch", F.col("m").alias("pages"), (CONTENT_WEIGHT * content_importance + (1 - CONTENT_WEIGHT) * presentation).alias("importance"))
+    prior = F.when(F.col("main"), F.lit(MAIN_PRIOR)).otherwise(F.lit(0.0))
+    return joined.select("host", "branch", F.col("m").alias("pages"), (CONTENT_WEIGHT * content_importance + (1 - CONTENT_WEIGHT) * presentation + prior).alias("importance"))
 
 
 def extract_main_text(spark: SparkSession, pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text (blocks joined by line ends; "" if none).
 
     Elements that HTML or their class, id or role marks as navigation, page header or footer, sidebar, notice, advert, form,
-    reader comments, script or style have importance 0; blocks inside article or main have 1. The rest is judged by the
-    host's style tree: branches below ``least_importance`` on at least ``least_pages`` different pages go, unless nothing
+    reader comments, script or style have importance 0. All other blocks are judged by the host's style tree, those inside
+    article or main with a prior in their favour: branches below ``least_importance`` on at least ``least_pages`` different pages go, unless nothing
     else is left of the page. Pages are parsed twice, so no text is shuffled or stored on the way.
 
     A null page is empty. A null URL is a host of its own. Broken markup is read as far as it goes: unclosed elements end
@@ -225,7 +230,7 @@ def extract_main_text(spark: SparkSession, pages: DataFrame, least_importance: f
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("page", F.xxhash64("url", "html"))
-    outline = stage.cut(arrow_map(rows.select("page", host.alias("host"), "html"), _outline, "page long, host string, content long, branch long, text long"), "outline")
+    outline = stage.cut(arrow_map(rows.select("page", host.alias("host"), "html"), _outline, "page long, host string, content long, branch long, text long, main boolean"), "outline")
     low = stage.cut(style_tree(outline, least_pages).where(F.col("importance") < least_importance).select("host", "branch"), "low")
     on_page = outline.select("page", "host", "branch").distinct().join(low, ["host", "branch"]).groupBy("page").agg(F.collect_set("branch").alias("low"))  # a page's own branches
     on_page = stage.cut(on_page, "low-by-page")

@@ -245,6 +245,13 @@ def test_style_tree_removes_shared_branches(spark):
     assert html_extract.extract_main_text(spark, df.limit(0)).count() == 0
 
 
+def test_style_tree_judges_articles(spark):
+    """Boilerplate inside main goes by its entropy, without a listed name; articles' own texts stay."""
+    rows = [(i, f"https://h.org/{i}", f"<main><h1>Title {i}</h1><div class='legal'>All rights reserved.</div><article><p>Story {i}.</p><div class='club'>Join our club</div></article></main>") for i in range(12)]
+    got = html_extract.extract_main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r.page_id, r.text) for r in got.collect()) == [(i, f"Title {i}\nStory {i}.") for i in range(12)]
+
+
 # ---------------------------------------------------------------- 6 secrets
 
 BASE = [("assign", r"(?:(?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
