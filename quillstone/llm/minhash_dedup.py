@@ -1,15 +1,19 @@
 """Near-duplicate texts: b-bit MinHash signatures joined by a multi-index Hamming join, confirmed on full shingle sets.
 
-A signature has CHUNKS x SYMBOLS minima of 16 bits. Two sets at Jaccard similarity J differ in a symbol with probability
-1 - J, so signatures at J = 0.85 differ in about 10 of 66 symbols, and in more than RADIUS = 21 with probability 1e-4.
-By pigeonhole, of 11 chunks one has at most one error when at most 21 symbols differ; the join enumerates that
-error (each of a chunk's six symbols masked in turn), so every pair within the radius shares one of 66 keys. That is
-a guarantee, not a probability: what it finds is every pair of signatures within the radius.
+A signature has chunks x symbols minima of 16 bits, in a shape that follows from the threshold. Two sets at Jaccard
+similarity J differ in a symbol with probability 1 - J, so at J = 0.85 signatures of 11 x 6 symbols differ in about 10 of
+66, and in more than the radius of 21 with probability 1.6e-4; at J = 0.80 those of 14 x 5 do in more than 27 of 70 with
+probability 1e-4. That is what a pair at the threshold is missed with; closer pairs are missed less. By pigeonhole, of c
+chunks one has at most one error when at most 2c - 1 symbols differ; the join enumerates that error (each of a chunk's
+symbols masked in turn), so every pair within the radius shares a key. That is a guarantee, not a probability: what it
+finds is every pair of signatures within the radius.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,9 +25,42 @@ from quillstone.llm.components import connected_components
 from quillstone.llm.embedding_dedup import local_roots
 from quillstone.llm.shared import Stage, arrow_map, broadcast_if_small, distinct, in_blocks, mix, numbers, passes, prefix_sums, runs, shingles, span_hashes, words
 
-CHUNKS, SYMBOLS, WIDTH, BLOCK = 11, 6, 5, 512
-#: Every pair of signatures with at most this many differing symbols shares a key.
-RADIUS = 2 * CHUNKS - 1
+WIDTH, BLOCK = 5, 512
+#: Probability with which a pair at the threshold may lie outside the radius, and chunks of a signature at most.
+MISS, MOST_CHUNKS = 1.6e-4, 20
+
+
+class Shape(NamedTuple):
+    """Chunks of a signature and symbols of a chunk."""
+
+    chunks: int
+    symbols: int
+
+    @property
+    def size(self) -> int:
+        return self.chunks * self.symbols
+
+    @property
+    def radius(self) -> int:
+        """Every pair of signatures with at most this many differing symbols shares a key."""
+        return 2 * self.chunks - 1
+
+    def miss(self, similarity: float) -> float:
+        """Probability that the signatures of a pair at this similarity differ in more symbols than the radius."""
+        return sum(comb(self.size, k) * (1 - similarity) ** k * similarity ** (self.size - k) for k in range(self.radius + 1, self.size + 1))
+
+
+def shape_for(percent: int) -> Shape:
+    """The longest chunks, and as few of them, that miss a pair at ``percent`` with probability MISS at most."""
+    for symbols in (6, 5, 4, 3):
+        for chunks in range(1, MOST_CHUNKS + 1):
+            if Shape(chunks, symbols).miss(percent / 100) <= MISS:
+                return Shape(chunks, symbols)
+    raise ValueError(f"no signature of at most {MOST_CHUNKS} chunks finds pairs at {percent} %")
+
+
+SHAPE = shape_for(85)
+CHUNKS, SYMBOLS, RADIUS = *SHAPE, SHAPE.radius
 
 
 def text_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -44,7 +81,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sign(width: int):
+def _sign(width: int, shape: Shape):
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b, sets, bounds in text_sets(batch.column(1), width):
             n = np.diff(bounds)
@@ -53,7 +90,7 @@ def _sign(width: int):
             if len(full):
                 for i, salt in enumerate((3, 5)):
                     sums[i, full] = np.add.reduceat(mix(sets + np.uint64(salt)), bounds[full])
-            sig = signatures(sets, bounds, CHUNKS * SYMBOLS)
+            sig = signatures(sets, bounds, shape.size)
             columns = [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in sig])]
             yield pa.RecordBatch.from_arrays(columns, ["rid", "n", "f1", "f2", "sig"])
 
@@ -70,29 +107,36 @@ def _sets(width: int):
     return f
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, shape: Shape = SHAPE) -> np.ndarray:
     """A row's keys: for each chunk and each of its symbols, the others' values."""
-    s = mix(sig.reshape(-1, CHUNKS, SYMBOLS).astype(np.uint64) + np.uint64(1)) * numbers(202, CHUNKS * SYMBOLS).reshape(CHUNKS, SYMBOLS)
+    s = mix(sig.reshape(-1, *shape).astype(np.uint64) + np.uint64(1)) * numbers(202, shape.size).reshape(shape)
     left = s.sum(axis=2, keepdims=True, dtype=np.uint64) - s
-    return mix(left + np.arange(CHUNKS * SYMBOLS, dtype=np.uint64).reshape(CHUNKS, SYMBOLS) * np.uint64(0x9E3779B97F4A7C15)).reshape(len(sig), -1)
+    return mix(left + np.arange(shape.size, dtype=np.uint64).reshape(shape) * np.uint64(0x9E3779B97F4A7C15)).reshape(len(sig), -1)
+
 
+def _symbols(column, shape: Shape) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), shape.size)
 
-def _symbols(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), CHUNKS * SYMBOLS)
 
+def _keyed(shape: Shape):
+    def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a in range(0, batch.num_rows, 2000):
+            part = batch.slice(a, 2000)
+            keys = chunk_keys(_symbols(part.column(1).to_pylist(), shape), shape).view(np.int64)
+            m = keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), m)), pa.array(keys.ravel())], ["rep", "key"])
 
-def _keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for a in range(0, batch.num_rows, 2000):
-        part = batch.slice(a, 2000)
-        keys = chunk_keys(_symbols(part.column(1).to_pylist())).view(np.int64)
-        m = keys.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), m)), pa.array(keys.ravel())], ["rep", "key"])
+    return f
 
 
-def _near(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _near(shape: Shape):
     """Pairs whose signatures are within the radius."""
-    near = (_symbols(batch.column("sig_a").to_pylist()) != _symbols(batch.column("sig_b").to_pylist())).sum(axis=1) <= RADIUS
-    yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
+
+    def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        near = (_symbols(batch.column("sig_a").to_pylist(), shape) != _symbols(batch.column("sig_b").to_pylist(), shape)).sum(axis=1) <= shape.radius
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
+
+    return f
 
 
 def _linked(percent: int):
@@ -114,18 +158,18 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _open_pairs(run: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(run: pd.DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """A run's pairs to confirm: of different components, within the radius, and of no earlier shared key."""
-    n, sig, comp = len(run), _symbols(run["sig"].tolist()), run["component_id"].to_numpy()
+    n, sig, comp = len(run), _symbols(run["sig"].tolist(), shape), run["component_id"].to_numpy()
     part, crossed, key = run["part"].to_numpy(), run["p"].iat[0] != run["q"].iat[0], run["key"].iat[0]
-    keys = chunk_keys(sig).view(np.int64)
+    keys = chunk_keys(sig, shape).view(np.int64)
     rank = int(np.argwhere(keys == key)[0][1])
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
         j = j[(comp[j] != comp[i]) & ((part[j] != part[i]) if crossed else True)]
         if len(j):
-            j = j[(sig[j] != sig[i]).sum(axis=1) <= RADIUS]
+            j = j[(sig[j] != sig[i]).sum(axis=1) <= shape.radius]
         if len(j) and rank:
             j = j[~(keys[j, :rank] == keys[i, :rank]).any(axis=1)]
         if len(j):
@@ -135,26 +179,30 @@ def _open_pairs(run: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _marked(shape: Shape):
     """Of each run, the members that have a pair to confirm."""
-    out: list[pd.DataFrame] = []
-    for run in runs(batches, ["key", "p", "q"]):
-        if run["component_id"].nunique() < 2:
-            continue
-        a, b = _open_pairs(run)
-        if len(a):
-            out.append(run.iloc[np.unique(np.concatenate([a, b]))])
-        if len(out) >= 500:
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[pd.DataFrame] = []
+        for run in runs(batches, ["key", "p", "q"]):
+            if run["component_id"].nunique() < 2:
+                continue
+            a, b = _open_pairs(run, shape)
+            if len(a):
+                out.append(run.iloc[np.unique(np.concatenate([a, b]))])
+            if len(out) >= 500:
+                yield pd.concat(out)
+                out = []
+        if out:
             yield pd.concat(out)
-            out = []
-    if out:
-        yield pd.concat(out)
+
+    return f
 
 
-def _confirmed(percent: int):
+def _confirmed(percent: int, shape: Shape):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in runs(batches, ["key", "p", "q"]):
-            a, b = _open_pairs(run)
+            a, b = _open_pairs(run, shape)
             sets = [np.frombuffer(x, dtype=np.uint64) for x in run["set"]]
             root, edges = run["component_id"].to_numpy().copy(), []
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
@@ -180,25 +228,27 @@ def minhash_near_dedup(
     key's smallest member, confirmed on the full sets, and the components of these links found. A large group of close
     copies is done by that, in time linear in its size. 3. Keys that still hold several components are compared in
     pairs of bounded blocks; only members with a pair within the radius take their sets along, and every such pair is
-    confirmed unless its ends are already connected. No pair of different components within the radius is left out.
+    confirmed unless its ends are already connected. No pair of different components within the radius is left out; a pair
+    at ``percent`` lies outside it with probability MISS at most, whatever ``percent`` is (from 60 on; below is refused).
 
     Null or blank texts have n_shingles 0, link with nothing and are kept. A null id keeps null component and is kept.
     A repeated id is one document with several texts: what links to any of them links to it. An empty table
     gives no rows. Other columns are ignored.
     """
     stage = Stage(spark, "minhash-dedup")
+    shape = shape_for(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).cast("string").alias("text"))
-    base = stage.cut(arrow_map(texts, _sign(width), "rid long, n long, f1 long, f2 long, sig binary"), "base")
+    base = stage.cut(arrow_map(texts, _sign(width, shape), "rid long, n long, f1 long, f2 long, sig binary"), "base")
     full = base.where("n > 0 and rid is not null")
     reps = stage.cut(full.groupBy("f1", "f2", "n", "sig").agg(F.min("rid").alias("rep")), "reps")
-    keys = arrow_map(reps.select("rep", "sig"), _keyed, "rep long, key long")
+    keys = arrow_map(reps.select("rep", "sig"), _keyed(shape), "rep long, key long")
     common = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead <> _last").drop("_last")
     shared = stage.cut(keys.join(common, "key").select("key", "rep", "lead"), "shared")
 
     sigs = reps.select("rep", "sig")
     star = shared.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     star = star.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    star = stage.cut(arrow_map(star.select("a", "b", "sig_a", "sig_b"), _near, "a long, b long").distinct(), "star")
+    star = stage.cut(arrow_map(star.select("a", "b", "sig_a", "sig_b"), _near(shape), "a long, b long").distinct(), "star")
     members = stage.cut(shared.select(F.col("rep").alias("rid")).distinct(), "members")
     narrow = broadcast_if_small(members, members.count())
     sets = arrow_map(texts.join(narrow, "rid", "left_semi"), _sets(width), "rid long, f1 long, set binary")
@@ -213,9 +263,9 @@ def minhash_near_dedup(
     dealt = in_blocks(unsettled, "key", "rep", block).join(sigs.select("rep", "sig"), "rep")
     run_columns = "rep long, component_id long, key long, part int, p int, q int, sig binary"
     dealt = dealt.select("rep", "component_id", "key", "part", "p", "q", "sig").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    marked = stage.cut(dealt.mapInPandas(_marked, run_columns), "marked")
+    marked = stage.cut(dealt.mapInPandas(_marked(shape), run_columns), "marked")
     held = marked.join(sets.withColumnRenamed("rid", "rep"), "rep").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    more = stage.cut(held.mapInPandas(_confirmed(percent), "src long, dst long"), "more")
+    more = stage.cut(held.mapInPandas(_confirmed(percent, shape), "src long, dst long"), "more")
     links = edges.unionByName(more)
     part = connected_components(links, stage, "last")
 

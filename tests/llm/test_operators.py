@@ -142,6 +142,38 @@ def test_minhash_odd_ids(spark):
     assert minhash_near_dedup(spark, df.limit(0)).count() == 0
 
 
+def test_minhash_shape_follows_the_threshold():
+    from quillstone.llm.minhash_dedup import MISS, Shape, shape_for
+
+    assert Shape(CHUNKS, SYMBOLS) == shape_for(85) and Shape(11, 6).miss(0.80) > 40 * MISS
+    rng = np.random.default_rng(2)
+    for percent in (60, 70, 80, 85, 90, 99):
+        shape = shape_for(percent)
+        assert shape.miss(percent / 100) <= MISS
+        for _ in range(100):
+            a = rng.integers(0, 1 << 16, shape.size).astype("<u2")
+            b = a.copy()
+            b[rng.choice(shape.size, min(shape.radius, shape.size), replace=False)] ^= 1
+            ka, kb = chunk_keys(np.stack([a, b]), shape)
+            assert (ka == kb).any()
+    with pytest.raises(ValueError):
+        shape_for(40)
+
+
+def test_minhash_links_pairs_from_080(spark):
+    """At 80, pairs between 0.80 and 0.85 are linked, those below aren't."""
+    texts, near = [], []
+    for i in range(150):
+        t = [f"{i}w{k}" for k in range(204)]  # 200 shingles; a changed word costs 5 on both sides
+        cut = 4 + i % 2  # 180 / 220 = 0.818, 175 / 225 = 0.778
+        texts += [" ".join(t), " ".join(f"{w}x" if k % 40 == 20 and k // 40 < cut else w for k, w in enumerate(t))]
+        x, y = map(shingle_set, texts[-2:])
+        near.append(100 * len(x & y) >= 80 * len(x | y))
+        assert near[-1] == (cut == 4) and 100 * len(x & y) < 85 * len(x | y)
+    kept = {r.doc_id for r in minhash_near_dedup(spark, documents(spark, texts), 80).where("kept").collect()}
+    assert kept == {i for i in range(300) if i % 2 == 0 or not near[i // 2]}
+
+
 # ---------------------------------------------------------------- 3, 8 with SQL
 
 
