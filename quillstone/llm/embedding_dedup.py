@@ -116,7 +116,7 @@ def embedding_near_dedup(
         lambda it: _codes(it, bits, tables, seed), "rep long, label string, vector array<double>, copies long, codes binary, code array<long>"
     )
     coded = stage.cut(coded, "coded")
-    keys = coded.select("rep", "label", F.posexplode("code").alias("table", "c")).select(F.xxhash64("label", "table", "c").alias("bucket"), "table", "rep")
+    keys = coded.select("rep", "label", F.size("vector").alias("length"), F.posexplode("code").alias("table", "c")).select(F.xxhash64("label", "length", "table", "c").alias("bucket"), "table", "rep")
     dealt = in_blocks(keys, "bucket", "rep", block)
     dealt = dealt.join(coded.select("rep", "vector", "copies", "codes"), "rep")
     found = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInPandas(lambda it: _links(it, threshold), "id long, links long, root long")

@@ -86,6 +86,14 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_near_dedup(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_of_two_lengths(spark):
+    """A vector and its zero-padded form have the same codes, but are neither compared nor linked."""
+    x = np.random.default_rng(4).standard_normal((6, 8))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(10 + i, [*v.tolist(), 0.0, 0.0], 1) for i, v in enumerate(x)] + [(20, (2 * x[0]).tolist(), 1), (30, [*(3 * x[0]).tolist(), 0.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (0, i) for i, _, _ in rows} | {0: (1, 0), 20: (1, 0), 10: (1, 10), 30: (1, 10)}
+
+
 # ---------------------------------------------------------------- 2 MinHash
 
 
