@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +16,14 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.shared import Stage, arrow_map, broadcast_if_small
 
-#: Pages (of different content) that a branch needs on a host before its entropy counts; composite importance below which it
-#: goes; weight of content against presentation; importance that a branch in an article or main has beforehand.
-LEAST_PAGES, LEAST_IMPORTANCE, CONTENT_WEIGHT, MAIN_PRIOR = 8, 0.2, 0.9, 0.1
+#: Pages (of different content) that a branch needs on a host before its entropies count, and composite importance below
+#: which it goes. Content and presentation weigh alike.
+LEAST_PAGES, LEAST_IMPORTANCE, CONTENT_WEIGHT = 8, 0.4, 0.5
+#: What a branch has beforehand: in an article or main; by a class or id; by HTML itself (nav, footer, reader comments).
+#: The last outweighs any entropy: comments and menus can be as varied as articles.
+MAIN_PRIOR, NAMED_PRIOR, FIXED_PRIOR = 0.3, -0.3, -2.0
+#: Importance of a branch on too few pages: its prior decides.
+UNKNOWN = 0.5
 
 # HTML's elements by what they do to text, and names that mark parts around an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +49,9 @@ OUTER_NAMES = frozenset("header head topbar top".split())
 #: Unclosed elements without text that a block or one of their kind ends, as HTML has it; an article ends all of them.
 UNCLOSED = frozenset("svg math select".split())
 CLOSING = {"option": frozenset(), "button": frozenset(["button"]), "select": frozenset(["select"]), "article": EMPTY - {"noscript", "template"}, "main": EMPTY - {"noscript", "template"}}
+#: Elements that a paragraph to be closed can't lie outside of, and that end an open head.
+_HOLDERS = ("table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "blockquote")
+_AFTER_HEAD = frozenset("body article main div p section nav footer h1 h2 table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.DOTALL)
@@ -50,12 +61,26 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    """An open element: its branch in the style tree, whether its text is noise (fixed: whatever is inside) or part of an article."""
+    """An open element: its branch in the style tree (a running hash), how its text is marked, whether it is part of an article."""
 
-    __slots__ = ("branch", "fixed", "main", "noise", "tag")
+    __slots__ = ("branch", "children", "fixed", "main", "mark", "silent", "tag")
 
-    def __init__(self, tag: str, branch: str, noise: bool, fixed: bool, main: bool) -> None:
-        self.tag, self.branch, self.noise, self.fixed, self.main = tag, branch, noise, fixed, main
+    def __init__(self, tag: str, branch: int, mark: int, fixed: bool, main: bool, silent: bool, children: list[int]) -> None:
+        self.tag, self.branch, self.mark, self.fixed, self.main, self.silent, self.children = tag, branch, mark, fixed, main, silent, children
+
+
+class Block(NamedTuple):
+    """A run of text: its branch, the branch it stands in, 1 in an article, how it is marked, and its text."""
+
+    branch: int
+    parent: int
+    main: bool
+    mark: int
+    text: str
+
+
+#: Marks of a text: none, by a name, by HTML.
+CLEAR, NAMED, FIXED = 0, 1, 2
 
 
 def _marked(name: str, names: frozenset[str]) -> bool:
@@ -66,55 +91,118 @@ def _marked(name: str, names: frozenset[str]) -> bool:
     return (first in names and rest != ["free"]) or (first in PLACES and bool(rest) and all(x in names for x in rest))
 
 
+@lru_cache(1 << 15)
+def _below(branch: int, tag: str, style: str) -> int:
+    return _code(f"{branch}/{tag}.{'.'.join(sorted(_NAME.findall(style)))}")
+
+
 def _child(parent: Node, tag: str, attributes: str, rescue: bool) -> Node:
     found: dict[str, str] = {}
     for k, v in _ATTRIBUTE.findall(attributes) if attributes else ():
         found.setdefault(k.lower(), v.strip("\"'").lower())  # the first of a name counts
-    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    names = f"{found.get('class', '')} {found.get('id', '')}".split() if found else ()
     whole = tag == "main" or found.get("role") == "main" or found.get("itemprop") == "articlebody"
     own = whole or tag == "article" or found.get("role") == "article"
     main = parent.main or own
-    fixed = parent.fixed or "hidden" in found or found.get("aria-hidden") == "true" or tag in ("head", "nav", "footer") or tag in EMPTY
-    noise = parent.noise and not (whole or (own and rescue))
-    noise = fixed or noise or tag in NOISE_TAGS or (tag == "header" and not parent.main) or found.get("role") in NOISE_ROLES
-    if tag not in ("html", "body", "article", "main"):
-        fixed = fixed or any(_marked(x, OTHERS) for x in names)
-        noise = fixed or noise or any(_marked(x, NOISE_NAMES) or (not main and _marked(x, OUTER_NAMES)) for x in names)
+    silent = parent.silent or "hidden" in found or found.get("aria-hidden") == "true" or tag == "head" or tag in EMPTY
+    fixed = parent.fixed or silent or tag in ("nav", "footer")
+    mark = CLEAR if whole or (own and rescue) else parent.mark
+    if fixed or tag in NOISE_TAGS or (tag == "header" and not parent.main) or found.get("role") in NOISE_ROLES:
+        mark = FIXED
+    if names and tag not in ("html", "body", "article", "main"):
+        if any(_marked(x, OTHERS) for x in names):
+            fixed, mark = True, FIXED
+        elif mark == CLEAR and any(_marked(x, NOISE_NAMES) or (not main and _marked(x, OUTER_NAMES)) for x in names):
+            mark = NAMED
     if tag not in BLOCKS:
-        return Node(tag, parent.branch, noise, fixed, main)
-    style = ".".join(sorted(_NAME.findall(found.get("class", ""))))
-    return Node(tag, f"{parent.branch}/{tag}.{style}", noise, fixed, main)
+        return Node(tag, parent.branch, mark, fixed, main, silent, parent.children)
+    branch = _below(parent.branch, tag, found.get("class", ""))
+    parent.children.append(branch)
+    return Node(tag, branch, mark, fixed, main, silent, [])
+
+
+class _Stack:
+    """Open elements, with the positions of each tag and of blocks, so that no search walks the whole depth."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("", 0, CLEAR, False, False, False, [])]
+        self.at: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, to: int) -> list[Node]:
+        gone = self.nodes[to:]
+        for n in gone:
+            self.at[n.tag].pop()
+        del self.nodes[to:]
+        while self.blocks[-1] >= to:
+            self.blocks.pop()
+        return gone
+
+    def first(self, tags: Iterable[str], after: int = 0) -> int:
+        """The lowest position above ``after`` of one of the tags, or 0."""
+        found = [p[i] for t in tags if (p := self.at.get(t)) and (i := bisect.bisect_right(p, after)) < len(p)]
+        return min(found, default=0)
 
+    def last(self, tags: Iterable[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
 
-def page_blocks(page: str) -> list[tuple[str, bool, str]]:
-    """(branch, whether in an article, text) of each block of a page that isn't marked as noise, in page order.
+
+def page_blocks(page: str) -> list[tuple[int, bool, str]]:
+    """(branch, whether in an article, text) of each block of a page that isn't marked as noise, in page order."""
+    return [(b.branch, b.main, b.text) for b in page_tree(page)[0] if not b.mark]
+
+
+def page_tree(page: str) -> tuple[list[Block], dict[int, int]]:
+    """All blocks of a page in its order, marked ones too (not scripts, hidden parts and controls), and the shape of
+    each branch: a hash of the block elements directly in it.
 
     A main element counts inside marked wrappers too, and so does an article if the page has none outside them."""
-    out = _blocks(page, False)
-    return out if any(main for _, main, _ in out) or not _ARTICLE.search(page) else _blocks(page, True)
+    out = _tree(page, False)
+    return out if any(b.main and not b.mark for b in out[0]) or not _ARTICLE.search(page) else _tree(page, True)
 
 
-def _blocks(page: str, rescue: bool) -> list[tuple[str, bool, str]]:
-    out: list[tuple[str, bool, str]] = []
-    stack, parts, at = [Node("", "", False, False, False)], [], 0
+def _tree(page: str, rescue: bool) -> tuple[list[Block], dict[int, int]]:
+    out: list[Block] = []
+    shapes: dict[int, list[int]] = {}
+    stack, at = _Stack(), 0
+    parts: tuple[list[str], list[str], list[str]] = ([], [], [])  # text of the open block by its mark
+    last = page.rfind(">")  # no tag ends after it
+    unended: set[str] = set()  # raw elements without an end tag in what is left
 
     def flush() -> None:
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            parts.clear()
-            if text:
-                block = next(n for n in reversed(stack) if n.tag in BLOCKS or not n.tag)
-                out.append((block.branch, block.main, text))
+        for mark, run in enumerate(parts):
+            if run:
+                text = " ".join(entities.unescape("".join(run)).split())
+                run.clear()
+                if text:
+                    i = stack.blocks[-1]
+                    block, outer = stack.nodes[i], stack.nodes[stack.blocks[-2] if i else 0]
+                    out.append(Block(block.branch, outer.branch, block.main, mark, text))
+
+    def say(text: str) -> None:
+        n = stack.nodes[-1]
+        if not n.silent:
+            parts[n.mark].append(text)
 
     def pop(to: int) -> None:
-        if any(n.tag in BLOCKS for n in stack[to:]):
+        if stack.blocks[-1] >= to:
             flush()
-        del stack[to:]
+        for n in stack.cut(to):
+            if n.tag in BLOCKS:
+                shapes.setdefault(n.branch, []).extend([*n.children, 0])
 
     while True:
-        m = _TAG.search(page, at)
-        if not stack[-1].noise:
-            parts.append(page[at : m.start() if m else len(page)])
+        m = _TAG.search(page, at) if at <= last else None
+        if m is None and (c := page.find("<!--", at)) >= 0:
+            say(page[at:c])  # an open comment takes the rest
+            break
+        say(page[at : m.start() if m else len(page)])
         if m is None:
             break
         at = m.end()
@@ -122,9 +210,8 @@ def _blocks(page: str, rescue: bool) -> list[tuple[str, bool, str]]:
         if not tag:
             continue
         if m.group(1) or m.group(4):
-            open_at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if open_at:
-                pop(open_at)
+            if stack.at.get(tag):
+                pop(stack.at[tag][-1])
             elif tag in BLOCKS:
                 flush()
             continue
@@ -132,109 +219,134 @@ def _blocks(page: str, rescue: bool) -> list[tuple[str, bool, str]]:
         if tag in RAW or tag in EMPTY:
             if attributes.rstrip().endswith("/") and tag in ("svg", "math", "iframe", "object"):
                 continue
-            if not stack[-1].noise:
-                parts.append(" ")
+            say(" ")
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            end = None if tag in unended else re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            if end is None:
+                unended.add(tag)
             if end or tag in ("script", "style"):
                 at = end.end() if end else len(page)
                 continue
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif tag == "br" and not stack[-1].noise:
-                parts.append(" ")
+            elif tag == "br":
+                say(" ")
             continue
         ends = CLOSING.get(tag, UNCLOSED if tag in BLOCKS else frozenset())
-        if stack[-1].fixed and (i := next((i for i, n in enumerate(stack) if n.tag in ends), 0)):
+        if stack.nodes[-1].fixed and (i := stack.first(ends)):
             pop(i)
         if tag in BLOCKS:
-            if tag in ("body", "article", "main", "div", "p", "section", "nav", "footer", "h1", "h2", "table", "ul") and (i := next((i for i, n in enumerate(stack) if n.tag == "head"), 0)):
+            if tag in _AFTER_HEAD and (i := stack.first(("head",))):
                 pop(i)
             flush()
-            ends = CLOSED_BY.get(tag, {"p"})
-            limit = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "blockquote")), 0)
-            i = next((i for i in range(limit + 1, len(stack)) if stack[i].tag in ends or stack[i].tag == "p"), 0)
-            if i:
+            if i := stack.first({*CLOSED_BY.get(tag, ()), "p"}, stack.last(_HOLDERS)):
                 pop(i)
-        stack.append(_child(stack[-1], tag, attributes, rescue))
+        stack.push(_child(stack.nodes[-1], tag, attributes, rescue))
     flush()
-    return out
+    pop(1)
+    root = stack.nodes[0]
+    shapes[root.branch] = root.children
+    return out, {b: _code(",".join(map(str, x))) for b, x in shapes.items()}
 
 
 def _code(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _branch(branch: str, main: bool) -> int:
-    return _code(branch, "main" if main else "")
+def _branch(b: Block) -> int:
+    """The style tree's node of a block: branches in and outside articles, and marked and clear ones, are judged apart."""
+    return _code(f"{b.branch} {b.main:d} {b.mark}")
+
+
+def prior(main: bool, mark: int) -> float:
+    return (MAIN_PRIOR if main and not mark else 0.0) + (0.0, NAMED_PRIOR, FIXED_PRIOR)[mark]
+
+
+def kept_beforehand(mark: int) -> bool:
+    """What becomes of a block of a branch that has no entropies."""
+    return UNKNOWN + prior(False, mark) >= LEAST_IMPORTANCE
+
+
+_OUTLINE = "page long, host string, content long, branch long, text long, main boolean, mark int, parent long, shape long"
 
 
 def _outline(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Of each page: its branches with the codes of their texts, and whether they are in an article."""
+    """Of each page: the branches of its blocks with the codes of their texts, the branches they stand in and those's shapes."""
     for a in range(0, batch.num_rows, 256):
         part, out = batch.slice(a, 256), []
         for page, host, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            blocks = page_blocks(text or "")
-            content = _code(*[t for _, _, t in blocks])
-            out += [(page, host, content, _branch(b, main), _code(t), main) for b, main, t in blocks]
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["page", "host", "content", "branch", "text", "main"])
+            blocks, shapes = page_tree(text or "")
+            content = _code(*[b.text for b in blocks if not b.mark])
+            out += [(page, host, content, _branch(b), _code(b.text), b.main, b.mark, b.parent, shapes[b.parent]) for b in blocks]
+        columns = list(zip(*out, strict=True)) or [[]] * 9
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+        names = ["page", "host", "content", "branch", "text", "main", "mark", "parent", "shape"]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _render(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for a in range(0, batch.num_rows, 256):
         part = batch.slice(a, 256)
         out = []
-        for text, low in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True):
-            blocks = page_blocks(text or "")
-            gone = set(low or ())
-            kept = [t for b, main, t in blocks if not gone or _branch(b, main) not in gone]
-            out.append("\n".join(kept if kept else [t for _, _, t in blocks]))
+        for text, turned in zip(part.column("html").to_pylist(), part.column("turned").to_pylist(), strict=True):
+            blocks, other = page_tree(text or "")[0], set(turned or ())
+            kept = [b.text for b in blocks if kept_beforehand(b.mark) != (bool(other) and _branch(b) in other)]
+            out.append("\n".join(kept or [b.text for b in blocks if not b.mark]))
         yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def style_tree(outline: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, branch, pages, importance) of the merged DOMs, from (page, host, content, branch, text, main) rows.
+    """(host, branch, mark, pages, content, presentation, importance) of the merged DOMs, from ``_OUTLINE`` rows.
 
     Pages of equal content count once. A text on k of a branch's m pages has content importance 1 - log k / log m; the
-    branch has the mean over its texts. Its presentation importance is the entropy, in base m, of the number of blocks that
-    its pages have on it. The composite weighs the two and adds the prior of branches in an article or main.
+    branch has the mean over its texts. Presentation importance is the entropy, in base m, of what differs between the
+    pages: the shape of the branch that it stands in, or the number of its own blocks, whichever is greater. The
+    composite weighs the two and adds the prior. Branches on fewer than ``least_pages`` pages are left out.
     """
-    per = outline.groupBy("host", "branch", "content", "text").agg(F.first("main").alias("main"))
-    texts = per.groupBy("host", "branch", "text").agg(F.count(F.lit(1)).alias("k"), F.first("main").alias("main"))
-    shapes = per.groupBy("host", "branch", "content").agg(F.count(F.lit(1)).alias("blocks")).groupBy("host", "branch", "blocks").agg(F.count(F.lit(1)).alias("c"))
-    pages = shapes.groupBy("host", "branch").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("cl")).where(F.col("m") >= max(2, least_pages))
-    content = texts.groupBy("host", "branch").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("kl"), F.first("main").alias("main"))
-    joined = pages.join(content, ["host", "branch"])
-    content_importance = 1 - F.col("kl") / F.col("n") / F.log("m")
-    presentation = 1 - F.col("cl") / F.col("m") / F.log("m")
-    prior = F.when(F.col("main"), F.lit(MAIN_PRIOR)).otherwise(F.lit(0.0))
-    return joined.select("host", "branch", F.col("m").alias("pages"), (CONTENT_WEIGHT * content_importance + (1 - CONTENT_WEIGHT) * presentation + prior).alias("importance"))
+    per = outline.groupBy("host", "branch", "content", "text").agg(F.first("main").alias("main"), F.first("mark").alias("mark"), F.first("shape").alias("shape"))
+    texts = per.groupBy("host", "branch", "text").agg(F.count(F.lit(1)).alias("k"), F.first("main").alias("main"), F.first("mark").alias("mark"))
+    content = texts.groupBy("host", "branch").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("kl"), F.first("main").alias("main"), F.first("mark").alias("mark"))
+    pages = per.groupBy("host", "branch", "content").agg(F.count(F.lit(1)).alias("blocks"), F.first("shape").alias("shape"))
+
+    def entropy(by: str) -> DataFrame:
+        counts = pages.groupBy("host", "branch", by).agg(F.count(F.lit(1)).alias("c"))
+        found = counts.groupBy("host", "branch").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("cl")).where(F.col("m") >= max(2, least_pages))
+        return found.select("host", "branch", "m", (1 - F.col("cl") / F.col("m") / F.log("m")).alias(by))
+
+    joined = entropy("blocks").join(entropy("shape").drop("m"), ["host", "branch"]).join(content, ["host", "branch"])
+    parts = joined.select(
+        "host", "branch", "main", "mark", F.col("m").alias("pages"), (1 - F.col("kl") / F.col("n") / F.log("m")).alias("content"), F.greatest("blocks", "shape").alias("presentation")
+    )
+    before = F.when(F.col("main") & (F.col("mark") == CLEAR), MAIN_PRIOR).otherwise(0.0) + F.when(F.col("mark") == NAMED, NAMED_PRIOR).when(F.col("mark") == FIXED, FIXED_PRIOR).otherwise(0.0)
+    return parts.withColumn("importance", CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("presentation") + before)
 
 
 def extract_main_text(spark: SparkSession, pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text (blocks joined by line ends; "" if none).
 
-    Elements that HTML or their class, id or role marks as navigation, page header or footer, sidebar, notice, advert, form,
-    reader comments, script or style have importance 0. All other blocks are judged by the host's style tree, those inside
-    article or main with a prior in their favour: branches below ``least_importance`` on at least ``least_pages`` different pages go, unless nothing
-    else is left of the page. Pages are parsed twice, so no text is shuffled or stored on the way.
+    All blocks of a host's pages make its style tree, whose entropies and priors give each branch an importance; branches
+    below ``least_importance`` go. A class or id that names a menu, an advert and so on lowers a branch's importance, an
+    article or main raises it; what HTML marks as navigation, page header, footer, aside, form or dialog, and reader
+    comments, always goes. Where a branch is on fewer than ``least_pages`` different pages, its prior alone decides. A page of which
+    nothing is left keeps its unmarked blocks. Pages are parsed twice, so no text is stored on the way, and shuffled only
+    if very many pages have a branch that the tree judges otherwise than its prior does.
 
     A null page is empty. A null URL is a host of its own. Broken markup is read as far as it goes: unclosed elements end
-    with their parent, unclosed scripts and styles with the page. Null ids and repeated rows are kept. An empty table gives no rows.
-    Other columns are ignored.
+    with their parent, unclosed scripts and styles with the page. Time is linear in a page's length, whatever its depth.
+    Null ids and repeated rows are kept. An empty table gives no rows. Other columns are ignored.
     """
     stage = Stage(spark, "html")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("page", F.xxhash64("url", "html"))
-    outline = stage.cut(arrow_map(rows.select("page", host.alias("host"), "html"), _outline, "page long, host string, content long, branch long, text long, main boolean"), "outline")
-    low = stage.cut(style_tree(outline, least_pages).where(F.col("importance") < least_importance).select("host", "branch"), "low")
-    on_page = outline.select("page", "host", "branch").distinct().join(low, ["host", "branch"]).groupBy("page").agg(F.collect_set("branch").alias("low"))  # a page's own branches
-    on_page = stage.cut(on_page, "low-by-page")
+    outline = stage.cut(arrow_map(rows.select("page", host.alias("host"), "html"), _outline, _OUTLINE), "outline")
+    beforehand = F.col("mark").isin([m for m in (CLEAR, NAMED, FIXED) if kept_beforehand(m)])
+    turned = style_tree(outline, least_pages).where((F.col("importance") >= least_importance) != beforehand)
+    turned = stage.cut(turned.select("host", "branch"), "turned")
+    on_page = outline.select("page", "host", "branch").distinct().join(turned, ["host", "branch"]).groupBy("page").agg(F.collect_set("branch").alias("turned"))  # a page's own branches
+    on_page = stage.cut(on_page, "turned-by-page")
     both = rows.join(broadcast_if_small(on_page, on_page.count(), 100_000), "page", "left")
     kind = rows.schema["page_id"].dataType.simpleString()
-    out = arrow_map(both.select("page_id", "url", "html", "low"), _render, f"page_id {kind}, url string, text string")
+    out = arrow_map(both.select("page_id", "url", "html", "turned"), _render, f"page_id {kind}, url string, text string")
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text")

@@ -1,8 +1,10 @@
 """Each operator against brute force, on small tables with nulls, blanks, repeats, long texts and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -292,6 +294,62 @@ def test_style_tree_judges_articles(spark):
     assert sorted((r.page_id, r.text) for r in got.collect()) == [(i, f"Title {i}\nStory {i}.") for i in range(12)]
 
 
+def merged(pages, least_pages=html_extract.LEAST_PAGES):
+    """(branch -> (content, presentation, importance)) of one host's pages, by plain counting over whole pages."""
+    trees = {}
+    for blocks, shapes in map(html_extract.page_tree, pages):
+        trees[tuple(b.text for b in blocks if not b.mark)] = (blocks, shapes)  # pages of equal content count once
+    on = {}
+    for n, (blocks, shapes) in enumerate(trees.values()):
+        for b in blocks:
+            page = on.setdefault(html_extract._branch(b), (b, {}))[1].setdefault(n, (set(), shapes[b.parent]))
+            page[0].add(b.text)
+    entropy = lambda seen, m: -sum(seen.count(x) / m * math.log(seen.count(x) / m, m) for x in set(seen))
+    out = {}
+    for branch, (b, per) in on.items():
+        m = len(per)
+        if m < least_pages:
+            continue
+        texts = [t for ts, _ in per.values() for t in ts]
+        content = sum(1 - math.log(texts.count(t), m) for t in texts) / len(texts)
+        presentation = max(entropy([len(ts) for ts, _ in per.values()], m), entropy([s for _, s in per.values()], m))
+        out[branch] = content, presentation, (content + presentation) / 2 + html_extract.prior(b.main, b.mark)
+    return out
+
+
+def some_pages(rnd, n):
+    """Pages of one site with an article of varied length, a notice without a name, one with a name, and comments."""
+    for i in range(n):
+        body = "".join(f"<p>{rnd.random()} of {i}</p>" for _ in range(rnd.randint(1, 6))) + ("<blockquote>said</blockquote>" if i % 4 else "")
+        wrap = "<div class='promo body'>{}</div>".format("".join(f"<p>w{rnd.random()}</p>" for _ in range(rnd.randint(1, 9))))
+        comments = "".join(f"<p>c{rnd.random()}</p>" for _ in range(rnd.randint(0, 9)))
+        yield f"<nav><a>{i}</a></nav><div class='ad'>Buy {i}</div><div class='strip'>Join {i % 2}</div><article><h1>T{i}</h1>{body}</article>{wrap}<section class='comments'>{comments}</section>"
+
+
+def test_style_tree_is_merge_and_entropy(spark):
+    pages = list(some_pages(random.Random(5), 40))
+    want = merged(pages)
+    rows = spark.createDataFrame([(i, "https://h.org/", p) for i, p in enumerate(pages)] + [(99, None, "<p>x</p>")], "page_id long, url string, html string")
+    outline = shared.arrow_map(rows.selectExpr("page_id as page", "coalesce(url, '') as host", "html"), html_extract._outline, html_extract._OUTLINE)
+    got = {r.branch: (r.content, r.presentation, r.importance) for r in html_extract.style_tree(outline).collect()}
+    assert got.keys() == want.keys() and len(got) >= 7
+    assert all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k], strict=True))
+    out = {r.page_id: r.text for r in html_extract.extract_main_text(spark, rows).collect()}
+    for i, p in enumerate(pages):
+        keep = [b for b in html_extract.page_tree(p)[0] if (html_extract._branch(b) in want and want[html_extract._branch(b)][2] >= html_extract.LEAST_IMPORTANCE) or (html_extract._branch(b) not in want and not b.mark)]
+        assert out[i] == "\n".join(b.text for b in keep)
+        # a name alone doesn't drop what varies as an article does; an advert of a fixed shape, a shared strip and comments go
+        assert f"T{i}" in out[i] and "\nw0." in out[i] and not re.search(r"Buy|Join|^c0|\nc0|^\d", out[i])
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<b><p>x", "<!", "<textarea>", "<nav><div>", "<div></b>", "<!--", '<a "', "<", "<p>x &amp; y</p>", "<p hidden ", "<li>", "<iframe>", "x"])
+def test_long_pages_take_linear_time(unit):
+    page = "<div><b>" * 50 + unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    html_extract.page_tree(page)
+    assert time.process_time() - began < 30
+
+
 # ---------------------------------------------------------------- 6 secrets
 
 BASE = [("assign", r"(?:(?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
