@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,11 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}
 NO_RANK = np.int32(np.iinfo(np.int32).max)
 #: White space other than spaces and line ends.
 RARE = re.compile(f"[{_S}]".replace(r"\t-\r ", r"\t\x0b-\r"))
-#: Pre-tokens, and pieces, that a Python worker remembers; beyond it, the memory starts anew.
-MEMORY = 350_000
+#: Bytes, about, of pre-tokens, and of pieces, that a Python worker remembers; beyond it, the memory starts anew. Longer ones
+#: than REMEMBERED are encoded each time.
+MEMORY, REMEMBERED = 56 << 20, 128
+#: Fewer pre-tokens than this of one length are merged one by one: steps of numpy cost more than they share.
+FEW = 24
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,6 +36,28 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
+class Memory:
+    """Encoded strings that a worker keeps, within MEMORY bytes."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, str] = {}
+        self.size = 0
+
+    def lookup(self, wanted: set[str], encode: Callable[[list[str]], dict[str, str]]) -> Callable[[str], str]:
+        """Encodes what isn't known, and gives the function that yields each wanted string's ids."""
+        new = encode(list(wanted.difference(self.held)))
+        short = {w: v for w, v in new.items() if len(w) <= REMEMBERED}
+        cost = sum(4 * len(w) + len(v) + 160 for w, v in short.items())
+        kept = self.held
+        if self.size + cost > MEMORY:
+            self.held, self.size = {}, 0  # what is wanted now is still in ``kept``
+        self.held.update(short)
+        self.size += cost
+        if kept is self.held and len(short) == len(new):
+            return kept.__getitem__
+        return lambda w: new[w] if w in new else kept[w]
+
+
 class Vocabulary:
     """Ids, bytes and merge ranks of a tokenizer file, and what encodes and decodes texts by them."""
 
@@ -51,8 +76,8 @@ class Vocabulary:
         self.merged = np.array([ids[a + b] for a, b in merges], dtype=np.int64)
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, str] = {}
-        self.pieces_known: dict[str, str] = {}
+        self.known, self.pieces_known = Memory(), Memory()
+        self.rank_of = dict(zip(pairs.tolist(), range(len(pairs)), strict=True))
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = (a << 32) | b
@@ -99,6 +124,45 @@ class Vocabulary:
             live = live[tree[live, 1] != NO_RANK]
         return symbols
 
+    def merge_one(self, symbols: np.ndarray) -> list[int]:
+        """The ids of one word after all merges: the same segment tree, walked in plain Python, for long or lone words."""
+        n = len(symbols)
+        leaves = 1 << max(1, (n - 1).bit_length())
+        levels = [np.full(leaves, NO_RANK, dtype=np.int32)]
+        levels[0][: n - 1] = self.rank(symbols[:-1], symbols[1:])
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = [int(NO_RANK), *np.concatenate(levels[::-1]).tolist()]
+        word, after, before, none = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), int(NO_RANK)
+        merged, rank_of = self.merged, self.rank_of
+        while (low := tree[1]) != none:
+            node = 1
+            while node < leaves:
+                node *= 2
+                if tree[node] != low:
+                    node += 1
+            at = node - leaves
+            right = after[at]
+            word[at], word[right] = int(merged[low]), -1
+            then = after[at] = after[right]
+            if then < n:
+                before[then] = at
+            prior = before[at]
+            changes = [(right, none), (at, rank_of.get(word[at] << 32 | word[then], none) if then < n else none)]
+            if prior >= 0:
+                changes.append((prior, rank_of.get(word[prior] << 32 | word[at], none)))
+            for leaf, rank in changes:
+                node = leaf + leaves
+                tree[node] = rank
+                while node > 1:
+                    node >>= 1
+                    a, b = tree[2 * node], tree[2 * node + 1]
+                    best = a if a < b else b
+                    if tree[node] == best:
+                        break
+                    tree[node] = best
+        return [x for x in word if x >= 0]
+
     @staticmethod
     def _set(tree: np.ndarray, rows: np.ndarray, at: np.ndarray, value: np.ndarray, leaves: int) -> None:
         node = at + leaves
@@ -108,15 +172,20 @@ class Vocabulary:
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             leaves >>= 1
 
-    def learn(self, new: list[str]) -> None:
-        """Encode pre-tokens not known yet; those of like length go together, in blocks of bounded size."""
+    def learn(self, new: list[str]) -> dict[str, str]:
+        """Encoded pre-tokens; those of like length go together, in blocks of bounded size, few of a length one by one."""
         coded = [w.encode("utf-8", "surrogatepass") for w in new]
-        sizes = np.array([len(c) for c in coded], dtype=np.int64)
+        sizes, out = np.array([len(c) for c in coded], dtype=np.int64), {}
         for bits in range(int(sizes.max()).bit_length() + 1) if len(sizes) else ():
             group = np.flatnonzero((sizes > (1 << bits >> 1)) & (sizes <= 1 << bits)) if bits else np.flatnonzero(sizes <= 1)
             step = max(1, (1 << 17) >> bits)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
+                if bits and len(part) < FEW:
+                    for i in part.tolist():
+                        ids = self.merge_one(self.of_byte[np.frombuffer(coded[i], dtype=np.uint8)])
+                        out[new[i]] = ",".join(self.names[ids].tolist())
+                    continue
                 symbols = np.full((len(part), max(2, 1 << bits)), -1, dtype=np.int64)
                 at = np.arange(symbols.shape[1]) < sizes[part][:, None]
                 symbols[at] = self.of_byte[np.frombuffer(b"".join([coded[i] for i in part.tolist()]), dtype=np.uint8)]
@@ -124,17 +193,14 @@ class Vocabulary:
                 left = symbols >= 0
                 names, ends = self.names[symbols[left]].tolist(), np.cumsum(left.sum(axis=1)).tolist()
                 for i, a, b in zip(part.tolist(), [0, *ends[:-1]], ends, strict=True):
-                    self.known[new[i]] = ",".join(names[a:b])
+                    out[new[i]] = ",".join(names[a:b])
+        return out
 
     def tokens(self, texts: list[str]) -> list[str]:
         """Comma-joined ids of each text, cut into pre-tokens; no added tokens."""
         parts = [self.pattern.findall(t) for t in texts]
-        unknown = {w for p in parts for w in p}.difference(self.known)
-        if len(self.known) + len(unknown) > MEMORY:
-            self.known.clear()
-            unknown = {w for p in parts for w in p}
-        self.learn(list(unknown))
-        return [",".join([self.known[w] for w in p]) for p in parts]
+        look = self.known.lookup({w for p in parts for w in p}, self.learn)
+        return [",".join(map(look, p)) for p in parts]
 
     def encode(self, texts: list[str]) -> list[str]:
         """Comma-joined ids of each text; added tokens are cut out first.
@@ -157,16 +223,11 @@ class Vocabulary:
                 plain.append((i, t.split(" ")))
         for i, s in zip(whole, self.tokens([texts[i] for i in whole]), strict=True):
             out[i] = s
-        pieces = self.pieces_known
-        new = set().union(*[p[1:] for _, p in plain]).difference(pieces) if plain else set()
-        if len(pieces) + len(new) > MEMORY:
-            pieces.clear()
-            new = set().union(*[p[1:] for _, p in plain])
-        fresh = list(new)
-        pieces.update(zip(fresh, self.tokens([" " + w for w in fresh]), strict=True))
+        pieces = {w for _, p in plain for w in p[1:]}
+        look = self.pieces_known.lookup(pieces, lambda new: dict(zip(new, self.tokens([" " + w for w in new]), strict=True)))
         first = self.tokens([p[0] for _, p in plain])
         for (i, p), s in zip(plain, first, strict=True):
-            out[i] = ",".join([s, *map(pieces.__getitem__, p[1:])])
+            out[i] = ",".join([s, *map(look, p[1:])])
         return out
 
     def decode(self, ids: str) -> str:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +20,10 @@ from quillstone.llm.quality import quality_rules
 from quillstone.llm.secret_scan import secret_scan
 from quillstone.llm.toxicity import toxicity
 
-#: Where the public tokenizers' files are.
-TOKENIZERS = os.environ.get("QUILLSTONE_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a public tokenizer's file is."""
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
