@@ -1,6 +1,7 @@
 """Each operator against brute force, on small tables with nulls, blanks, repeats, long texts and clashing columns."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -541,6 +542,32 @@ def test_bpe_is_the_library(spark, sf_dir):
     assert bpe.bpe_encode(spark, documents(spark, texts).limit(0), path).count() == 0
 
 
+def test_bpe_of_long_words(spark):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path()
+    t, rnd = Tokenizer.from_file(path), random.Random(17)
+    texts = ["".join(rnd.choice("etaoinshr") for _ in range(n)) for n in (129, 5_000, 80_000)] + ["=" * 70_000, "ab" * 40_000, "é" * 30_000, "0" * 50_000, "<|endoftext|>" * 3_000]
+    began = time.process_time()
+    v = bpe.vocabulary(open(path, encoding="utf-8").read())
+    got = v.encode(texts)
+    assert time.process_time() - began < 40
+    for x, ids in zip(texts, got, strict=True):
+        assert ids == ",".join(map(str, t.encode(x, add_special_tokens=False).ids))
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 3_000)
+    v = bpe.Vocabulary(json.loads(open(registry.tokenizer_path(), encoding="utf-8").read()))
+    fresh = bpe.Vocabulary(json.loads(open(registry.tokenizer_path(), encoding="utf-8").read()))
+    rnd = random.Random(18)
+    for _ in range(30):
+        texts = [" ".join("".join(rnd.choice("abcdefg") for _ in range(rnd.choice([2, 5, 200]))) for _ in range(rnd.randint(1, 9))) for _ in range(5)]
+        assert v.encode(texts) == [",".join(fresh.tokens([x])) for x in texts]
+        for m in (v.known, v.pieces_known):
+            assert all(len(w) <= bpe.REMEMBERED for w in m.held) and m.size <= 3_000 + sum(len(w) * 9 + 160 for w in m.held)
+
+
 # ---------------------------------------------------------------- 8 mixing
 
 
@@ -682,6 +709,23 @@ def test_spelled_out_is_a_superset():
         assert m or not any(pii._digits_of(x) for x in pii._SPELLED.finditer(t)), t
 
 
+def test_emails_and_addresses_are_the_patterns():
+    rnd = random.Random(19)
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(20_000):
+        text = "".join(rnd.choice("a1.@-+ é@.") for _ in range(rnd.randint(0, 25)))
+        assert list(pii.emails(text)) == [m.span() for m in email.finditer(text)], text
+        text = "".join(rnd.choice("12....3 9") for _ in range(rnd.randint(0, 25)))
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in ip.finditer(text)], text
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + " @ a@b.c", "a@" * 500_000, "1" * 1_000_000 + ".1.1.1.a", "1." * 500_000, "(at) " + " " * 1_000_000, "a@b.co (at) " * 80_000, "+1((" * 250_000, "one 2 three " * 80_000, "x at a dot " * 90_000, "1 " * 500_000, "plus " * 200_000])
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    base, whole = pii.all_spans(text)
+    assert set(base) <= set(whole) and time.process_time() - began < 30
+
+
 # ---------------------------------------------------------------- 10 toxicity
 
 
