@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from quillstone.llm.components import connected_components
 from quillstone.llm.shared import Stage, in_blocks, runs
@@ -21,19 +22,27 @@ def planes(dim: int, bits: int, tables: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, bits * tables))
 
 
-def _codes(batches: Iterator[pd.DataFrame], bits: int, tables: int, seed: int) -> Iterator[pd.DataFrame]:
+def _signs(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """The code of each vector in each table."""
+    key = (x.shape[1], bits, tables, seed)
+    if key not in _PLANES:
+        _PLANES[key] = planes(*key)
     power = 1 << np.arange(bits, dtype=np.int64)
-    held: dict[int, np.ndarray] = {}
+    return ((x @ _PLANES[key] > 0).reshape(len(x), tables, bits) * power).sum(axis=2)
+
+
+_PLANES: dict[tuple, np.ndarray] = {}
+
+
+def _codes(batches: Iterator[pd.DataFrame], bits: int, tables: int, seed: int, kind: str) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sizes = batch["vector"].map(len).to_numpy()
         for dim in np.unique(sizes):
             part = batch[sizes == dim]
-            if dim not in held:
-                held[dim] = planes(int(dim), bits, tables, seed)
             x = np.array(part["vector"].tolist(), dtype=np.float64)
-            signs = (x @ held[dim] > 0).reshape(len(x), tables, bits)
-            codes = (signs * power).sum(axis=2).astype("<u4")
-            yield pd.DataFrame({"rep": part["rep"], "label": part["label"], "vector": part["vector"], "copies": part["copies"], "codes": list(map(bytes, codes)), "code": codes.astype(np.int64).tolist()})
+            codes = _signs(x, bits, tables, seed)
+            packed = list(map(bytes, x.astype(kind)))
+            yield pd.DataFrame({"rep": part["rep"], "label": part["label"], "packed": packed, "copies": part["copies"], "item": part["item"], "codes": list(map(bytes, codes.astype("<u4"))), "code": codes.tolist()})
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,7 +58,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _links(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+def _links(batches: Iterator[pd.DataFrame], threshold: float, kind: str) -> Iterator[pd.DataFrame]:
     """For each item of a run: weighted links first met here, and the smallest id it is linked to."""
     out: list[tuple] = []
     size = 0
@@ -59,9 +68,11 @@ def _links(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Dat
             continue
         run = run.sort_values("rep", kind="stable")
         rep, copies, table = run["rep"].to_numpy(), run["copies"].to_numpy(), int(run["table"].iat[0])
-        x = np.array(run["vector"].tolist(), dtype=np.float64)
+        x = np.frombuffer(b"".join(run["packed"]), dtype=kind).reshape(n, -1).astype(np.float64)
         norm = np.sqrt((x * x).sum(axis=1))
         near = np.triu(x @ x.T >= threshold * norm[:, None] * norm[None, :] - 1e-12, 1)
+        label = run["label"].to_numpy()
+        near &= label[:, None] == label[None, :]  # two labels' buckets may clash
         if run["p"].iat[0] != run["q"].iat[0]:
             part = run["part"].to_numpy()
             near &= part[:, None] != part[None, :]
@@ -112,14 +123,16 @@ def embedding_near_dedup(
     ids = stage.cut(valid.select("rid", "label", F.sha2(F.concat_ws(",", F.transform("vector", lambda x: x.cast("string"))), 256).alias("content"), "vector"), "valid")
     group = ids.groupBy("label", "content").agg(F.min("rid").alias("rep"), F.countDistinct("rid").alias("copies"))
     reps = ids.join(group, ["label", "content"]).where("rid = rep").dropDuplicates(["rep", "label", "content"])
-    coded = reps.select("rep", "label", "vector", "copies").mapInPandas(
-        lambda it: _codes(it, bits, tables, seed), "rep long, label string, vector array<double>, copies long, codes binary, code array<long>"
+    held = vectors.schema[vector_col].dataType
+    kind = "<f4" if isinstance(held, ArrayType) and isinstance(held.elementType, FloatType) else "<f8"  # no digit is lost
+    coded = reps.select("rep", "label", "vector", "copies", F.monotonically_increasing_id().alias("item")).mapInPandas(
+        lambda it: _codes(it, bits, tables, seed, kind), "rep long, label string, packed binary, copies long, item long, codes binary, code array<long>"
     )
     coded = stage.cut(coded, "coded")
-    keys = coded.select("rep", "label", F.size("vector").alias("length"), F.posexplode("code").alias("table", "c")).select(F.xxhash64("label", "length", "table", "c").alias("bucket"), "table", "rep")
-    dealt = in_blocks(keys, "bucket", "rep", block)
-    dealt = dealt.join(coded.select("rep", "vector", "copies", "codes"), "rep")
-    found = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInPandas(lambda it: _links(it, threshold), "id long, links long, root long")
+    keys = coded.select("item", "label", F.length("packed").alias("length"), F.posexplode("code").alias("table", "c")).select(F.xxhash64("label", "length", "table", "c").alias("bucket"), "table", "item")
+    dealt = in_blocks(keys, "bucket", "item", block)
+    dealt = dealt.join(coded.select("item", "rep", "label", "packed", "copies", "codes"), "item")
+    found = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInPandas(lambda it: _links(it, threshold, kind), "id long, links long, root long")
     found = stage.cut(found, "found")
     part = connected_components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")), stage)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
