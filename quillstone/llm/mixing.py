@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import WORD, Stage
+from quillstone.llm.shared import WORD, Stage, as_struct, from_struct
 
 #: Words of a block; hex digits of a place that cut a source into ranges for running totals; cells of the unit interval.
 BLOCK_WORDS, PLACES, CELLS = 2048, 3, 4096
@@ -62,6 +62,16 @@ def _prefix(rows: DataFrame, group: str, cut: str, order: list[Column | str], va
     return rows.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_g", "_c", "_before")
 
 
+def slots_needed(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(source, source_size, goal, blocks, slots): whole passes over all blocks, then as many blocks as hold the rest."""
+    rounded = F.round("target").cast("long")
+    blocks = F.ceil(F.col("source_size") / block_words)
+    g = goals.select("source", "source_size", rounded.alias("goal"), F.greatest(blocks, F.lit(1)).cast("long").alias("blocks")).where("goal > 0 and source_size > 0")
+    passes = F.floor(F.col("goal") / F.col("source_size"))
+    rest = F.col("goal") - passes * F.col("source_size")
+    return g.withColumn("slots", (passes * F.col("blocks") + F.ceil(rest / block_words)).cast("long"))
+
+
 def schedule(spark: SparkSession, goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(slot, source, rank, block, epoch, words) of the mix, in the order of ``slot``.
 
@@ -70,13 +80,7 @@ def schedule(spark: SparkSession, goals: DataFrame, block_words: int = BLOCK_WOR
     needs ceil(target / block) slots per pass over it, the last of them cut to what is missing, so what is taken is the target rounded.
     Points go on until every source has its slots: golden-ratio points are off by a few per source, whatever their number.
     """
-    rounded = F.round("target").cast("long")
-    blocks = F.ceil(F.col("source_size") / block_words)
-    g = goals.select("source", "source_size", rounded.alias("goal"), F.greatest(blocks, F.lit(1)).cast("long").alias("blocks")).where("goal > 0 and source_size > 0")
-    # slots: whole passes over all blocks, then as many blocks as hold the rest
-    passes = F.floor(F.col("goal") / F.col("source_size"))
-    rest = F.col("goal") - passes * F.col("source_size")
-    g = g.withColumn("slots", (passes * F.col("blocks") + F.ceil(rest / block_words)).cast("long"))
+    g = slots_needed(goals, block_words)
     order = Window.orderBy(F.col("source").isNull(), "source")
     everything = Window.partitionBy(F.lit(1))
     g = g.withColumn("_all", F.sum("slots").over(everything)).withColumn("hi", F.sum("slots").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_all")).withColumn("lo", F.col("hi") - F.col("slots") / F.col("_all"))
@@ -116,6 +120,8 @@ def mix(
     rows = stage.cut(sized(docs, id_col, text_col, source_col, row_col), "sized")
     goals = stage.cut(targets(rows, weights, share, most), "targets")
     slots = stage.cut(schedule(spark, goals, block_words), "schedule")
+    if slots.count() != (slots_needed(goals, block_words).agg(F.sum("slots")).first()[0] or 0):
+        raise RuntimeError("a source got fewer points than it needs slots")
     lines = _prefix(rows.withColumn("stretch", F.substring("place", 1, PLACES)), "source", "stretch", ["place", "size", "row"], "size", "at")
     span = F.sequence(F.floor(F.col("at") / block_words), F.floor(F.greatest(F.col("at") + F.col("size") - 1, F.col("at")) / block_words))
     pieces = lines.select("row", "rid", "source", "size", "at", F.explode(span).alias("block"))
@@ -142,18 +148,21 @@ def mix_counts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **o
     return per.select(F.col("rid").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once per pass that takes any of their words; of a row that a source's last
     slot cuts, the text up to its last word taken (n_chars set). Columns as in ``docs``. Takes go back to rows by a number
     written with them, so rows with a null or repeated id each keep their own."""
-    rows = Stage(spark, "mixed").cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    pieces = mix(spark, rows, id_col=id_col, text_col=text_col, row_col="_row", **options)
+    rows = Stage(spark, "mixed").cut(as_struct(docs, F.monotonically_increasing_id().alias("_row")), "rows")
+    own = {c: F.col("_d").getField(c) for c in docs.columns}
+    plain = rows.select("_row", own[id_col].alias("id"), own[text_col].alias("text"), own[source_col].alias("source"))
+    pieces = mix(spark, plain, id_col="id", text_col="text", source_col="source", row_col="_row", **options)
     got = pieces.select(F.col("row").alias("_row"), "from", "to", "first", "size", F.explode("takes").alias("t"))
     got = got.withColumn("words", F.greatest(F.lit(0), F.least(F.col("to") - F.col("from"), F.col("t.words") - F.col("first"))))
     got = got.groupBy("_row", F.col("t.epoch").alias("_epoch")).agg(F.sum("words").alias("_words"), F.first("size").alias("_size")).where("_words > 0")
-    out = rows.join(got, "_row")
-    cut = F.expr(f"array_join(slice(filter(split(`{text_col}`, '(?<=[\\\\x20\\\\x09-\\\\x0D])(?=[^\\\\x20\\\\x09-\\\\x0D])'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]'), 1, cast(_words as int)), '')")
-    out = out.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), F.rtrim(cut)).otherwise(F.col(text_col)))
+    out = rows.join(got, "_row").withColumn("_text", own[text_col])
+    cut = F.expr("array_join(slice(filter(split(_text, '(?<=[\\\\x20\\\\x09-\\\\x0D])(?=[^\\\\x20\\\\x09-\\\\x0D])'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]'), 1, cast(_words as int)), '')")
+    out = out.withColumn("_new", F.when(F.col("_words") < F.col("_size"), F.rtrim(cut)))
+    new = {text_col: F.coalesce("_new", own[text_col])}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        new["n_chars"] = F.coalesce(F.length("_new"), own["n_chars"])
+    return from_struct(out, docs, new)

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.shared import Stage, arrow_map, broadcast_if_small
+from quillstone.llm.shared import Stage, arrow_map, as_struct, broadcast_if_small, from_struct
 
 #: Raise it when a rule changes: contents scanned under another version are scanned anew.
-RULE_VERSION = 1
+RULE_VERSION = 3
 
 _KEYWORD = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 #: Kind, pattern, the group whose length counts, least length; in the order of kinds in a digest. A run of a class is
@@ -25,7 +25,7 @@ RULES: list[tuple[str, str, int, int]] = [
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
     ("platform", r"\bgh[pousr]_[A-Za-z0-9]{36,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bAIza[A-Za-z0-9_-]{35}|\bsk_(?:live|test)_[A-Za-z0-9]{16,}", 0, 1),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("url_password", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,128}@", 0, 1),
+    ("url_password", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@", 0, 1),
 ]
 BASE = ("assign", "access", "hex")
 _COMPILED = [(kind, re.compile(p), group, least) for kind, p, group, least in RULES]
@@ -117,16 +117,25 @@ def redact(spark: SparkSession, docs: DataFrame, findings: DataFrame, id_col: st
     hits = findings.where("spans <> ''").select("blob", "spans").dropDuplicates(["blob"])
     hits = Stage(spark, "redact").cut(hits, "hits")
     hits = broadcast_if_small(hits, hits.count(), 100_000)
-    out = docs.withColumn("_blob", blob_of(F.col(text_col))).join(hits, F.col("_blob") == F.col("blob"), "left")
+    own, text = as_struct(docs), F.col("_d").getField(text_col)  # docs may have columns of any name
+    out = own.withColumn("_blob", blob_of(text)).join(hits, F.col("_blob") == F.col("blob"), "left")
     parts = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 
     def step(state: Column, span: Column) -> Column:
-        kept = F.when(span["a"] >= state["at"], F.concat(state["text"], F.substring(F.col(text_col), state["at"] + 1, span["a"] - state["at"]), F.lit(mark))).otherwise(state["text"])
+        kept = F.when(span["a"] >= state["at"], F.concat(state["text"], F.substring(text, state["at"] + 1, span["a"] - state["at"]), F.lit(mark))).otherwise(state["text"])
         return F.struct(kept.alias("text"), F.greatest(state["at"], span["b"]).alias("at"))
 
-    clean = F.aggregate(parts, start, step, lambda s: F.concat(s["text"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))))
-    out = out.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    clean = F.aggregate(parts, start, step, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
+    out = out.withColumn("_new", F.when(F.col("spans").isNotNull(), clean))
+    return from_struct(out, docs, {text_col: F.coalesce("_new", text)} | ({"n_chars": F.coalesce(F.length("_new"), F.col("_d.n_chars"))} if "n_chars" in docs.columns else {}))
+
+
+def kept_secret_scan(spark: SparkSession, docs: DataFrame, path: str, **options) -> DataFrame:
+    """``secret_scan`` with the ledger kept as a table at ``path``: read if it is there, and appended to before the
+    findings are returned. A run over contents seen before, under the same rules, scans nothing."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    findings, new = secret_scan(spark, docs, spark.read.parquet(path) if exists else None, **options)
+    new.write.mode("append").parquet(path)
+    return findings

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,9 +20,11 @@ PASS_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else one set here."""
+    """The folder all executors share: spark.checkpoint.dir of the session; on one machine, one set here if there is none."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         held = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
@@ -49,6 +51,16 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 500_000) -> DataFra
     return F.broadcast(df) if rows <= most else df
 
 
+def as_struct(docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows of ``docs`` as one column _d beside others, whose names can't clash with its own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), *more)
+
+
+def from_struct(df: DataFrame, docs: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` out of _d, with some computed anew (in their own types)."""
+    return df.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("_d").getField(c).alias(c) for c in docs.columns])
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Frames of equal ``keys`` from sorted batches, of which none is in two frames; small runs come one by one."""
     rest: list[pd.DataFrame] = []

@@ -775,6 +775,79 @@ def test_toxicity_on_held_out_rows(spark, sf_dir):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_fairness_lowers_false_positives_on_neutral_mentions(spark):
+    """Identity terms that go with the label, beside a weak signal: the penalty takes the terms' own weight away."""
+    rnd = random.Random(12)
+    plain = ["the", "house", "walk", "green", "river", "table", "idea", "music"]
+    rows = []
+    for i in range(900):
+        bad = i % 2
+        w = [rnd.choice(plain) for _ in range(12)] + (["scum" if rnd.random() < 0.7 else "dolt"] if bad and rnd.random() < 0.8 else [])
+        rows.append((i, " ".join(w + (["muslim"] if rnd.random() < (0.9 if bad else 0.05) else [])), bad))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = ["the %s house by the river" % t for t in ("muslim", "christian", "jewish", "hindu", "buddhist")] + ["a muslim idea of music", "green table of a muslim"]
+    import pyarrow as pa
+
+    wrong = {}
+    for fairness in (0.0, 1.0):
+        scores = toxicity.train(docs, labels, fairness=fairness).scores(pa.array(neutral))
+        wrong[fairness] = int((scores >= 0.5).sum())
+    assert wrong[0.0] >= 3 and wrong[1.0] == 0
+
+
+@pytest.mark.parametrize("name", ["toxicity", "minhash_near_dedup", "secret_scan", "mix_sources", "bpe"])
+def test_stages_on_odd_rows(spark, sf_dir, name):
+    """Null and repeated ids, null and blank texts, names that operators use themselves, and empty tables."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    t = " ".join(f"w{i}" for i in range(40))
+    u = " ".join(f"v{i}" for i in range(40))
+    texts = [(1, t), (5, t), (5, u), (6, "some other text"), (None, t), (None, u + " x"), (None, "token=abcdef123 here"), (7, None), (7, None), (8, ""), (9, "  \n"), (6, "some other text")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, spans string, blob string, _id string, rid long, _words long, _row long, score double, predicted int, component_id long, ids string, size long"
+    rows = [(i, x, "en", "s", len(x or ""), "S", "B", "I", 3, 4, 5, 0.5, 1, 9, "i", 2) for i, x in texts]
+    docs = spark.createDataFrame(rows, kind)
+    out = stage(spark, docs, sf_dir)
+    if name != "bpe":
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), r.text or "") for r in out.collect()) if name != "bpe" else out.collect()
+    if name == "minhash_near_dedup":
+        assert got == sorted([(1, t), (5, u), (6, "some other text"), (-1, "token=abcdef123 here"), (7, ""), (7, ""), (8, ""), (9, "  \n")])
+    if name == "secret_scan":
+        assert got == sorted((-1 if i is None else i, (x or "").replace("token=abcdef123", "[SECRET]")) for i, x in texts)
+    if name == "mix_sources":
+        words = lambda x: len(re.findall(SPACE, x or ""))
+        total = sum(words(x) for _, x in texts)
+        assert sum(words(x) for _, x in got) == round(1.5 * total) and {x for _, x in got} >= {x for i, x in texts if x and x.strip()}
+    if name == "bpe":
+        assert len(got) == len(rows)
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_kept_ledger(spark, tmp_path):
+    docs, path = documents(spark, secret_texts()[:80]), str(tmp_path / "ledger")
+    first = {r.doc_id: r.spans for r in secret_scan.kept_secret_scan(spark, docs, path).collect()}
+    n = spark.read.parquet(path).count()
+    again = {r.doc_id: r.spans for r in secret_scan.kept_secret_scan(spark, docs, path).collect()}
+    assert first == again and spark.read.parquet(path).count() == n > 0
+    more = docs.unionByName(documents(spark, ["new token=abcdef99"], 900))
+    assert secret_scan.kept_secret_scan(spark, more, path).count() == 81 and spark.read.parquet(path).count() == n + 1
+
+
+def test_the_screen_passes_whatever_a_rule_finds():
+    hits = ["x password = hunter22", "AKIA" + "Q" * 16, "0123456789abcdef" * 2, "-----BEGIN RSA PRIVATE KEY-----", "ghs_" + "a" * 36, "xoxb-1234567890", "AIza" + "B" * 35, "sk_live_" + "c" * 16, "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "ftp://" + "u" * 90 + ":" + "p" * 300 + "@h"]
+    assert {k for x in hits for _, k, _ in secret_scan.spans_of(x)} == set(range(len(secret_scan.RULES)))
+    for x in hits:
+        assert any(w in x.lower() for w in secret_scan.SCREEN) or re.search("[0-9a-f]{24}", x), x
+
+
+def test_embeddings_of_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.001], "a"), (3, [0.001, 1.0], "a"), (4, [1.0, 0.0], "b")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert got == {1: (2, 1), 2: (1, 1), 3: (1, 1), 4: (0, 4)}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
