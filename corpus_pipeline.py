@@ -5,26 +5,39 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillstone.llm.bpe import bpe_encode
 from quillstone.llm.minhash_dedup import minhash_near_dedup
 from quillstone.llm.mixing import mixed_documents
 from quillstone.llm.registry import tokenizer_path
 from quillstone.llm.secret_scan import redact, secret_scan
-from quillstone.llm.shared import Stage, broadcast_if_small, shared_dir
+from quillstone.llm.shared import Stage, as_struct, broadcast_if_small, from_struct, shared_dir
 from quillstone.llm.toxicity import toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic; null ids are kept."""
-    scored = toxicity(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=docs.columns)
-    return scored.where("predicted = 0").select(docs.columns)
+    rows = as_struct(docs, F.col("doc_id"), F.col("text"))
+    scored = toxicity(spark, rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["_d"])
+    return from_struct(scored.where("predicted = 0"), docs, {})
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id."""
-    gone = Stage(spark, "near-copies").cut(minhash_near_dedup(spark, docs).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies: that of the smallest id (nulls last).
+
+    Rows are numbered and compared by their numbers, so one that repeats another's id goes for its own text only."""
+    stage = Stage(spark, "near-copies")
+    rows = stage.cut(as_struct(docs, F.monotonically_increasing_id().alias("_row")), "rows")
+    found = minhash_near_dedup(spark, rows.select("_row", F.col("_d.text").alias("text")), id_col="_row")
+    of_row = stage.cut(found.select("_row", F.col("component_id").alias("_component")), "components")
+    grouped = of_row.groupBy("_component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_component")
+    members = of_row.join(grouped, "_component").join(rows.select("_row", F.col("_d.doc_id").alias("_id")), "_row")
+    first = members.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
+    gone = members.join(first, "_component").where("_row <> _first._row").select("_row")
+    gone = stage.cut(gone, "gone")
+    kept = rows.join(broadcast_if_small(gone, gone.count()), "_row", "left_anti")
+    return from_struct(kept, docs, {})
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
