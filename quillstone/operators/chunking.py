@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.expressions import clean_null, sentences
@@ -57,11 +57,21 @@ def chunk_bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def numeric_islands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, island, first_line, lines): runs of lines that hold measurements; blank lines don't end a run."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "text")).where(F.trim("text") != "")
-    order = Window.partitionBy("id").orderBy("line")  # one text's lines
-    lines = lines.withColumn("on", F.col("text").rlike(NUMERIC)).withColumn("island", F.sum(F.when(F.col("on") & ~F.coalesce(F.lag("on").over(order), F.lit(False)), 1).otherwise(0)).over(order))
-    return lines.where("on").groupBy("id", "island").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("lines"))
+    """(id, island, first_line, lines): runs of lines that hold measurements; blank lines don't end a run. Each text's lines are
+    walked inside its row, so nothing is shuffled."""
+    zero = F.struct(F.array().cast("array<struct<first_line:int,lines:bigint>>").alias("runs"), F.lit(False).alias("on"))
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.element_at(s["runs"], -1)
+        grown = F.concat(F.slice(s["runs"], 1, F.size(s["runs"]) - 1), F.array(F.struct(last["first_line"].alias("first_line"), (last["lines"] + 1).alias("lines"))))
+        new = F.concat(s["runs"], F.array(F.struct(x["i"].alias("first_line"), F.lit(1).cast("long").alias("lines"))))
+        return F.struct(F.when(x["on"] & s["on"], grown).when(x["on"], new).otherwise(s["runs"]).alias("runs"), x["on"].alias("on"))
+
+    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda t, i: F.struct(i.alias("i"), F.trim(t).alias("t"))), lambda x: x["t"] != "")
+    marked = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), x["t"].rlike(NUMERIC).alias("on")))
+    runs = F.aggregate(marked, zero, step, lambda s: s["runs"])
+    out = docs.where(F.col(text_col).rlike(NUMERIC)).select(F.col(id_col).alias("id"), F.posexplode(runs).alias("n", "run"))
+    return out.select("id", (F.col("n") + 1).cast("long").alias("island"), "run.first_line", "run.lines")
 
 
 def verbalise(fields: list[tuple[str, Column]], least: int = 2, skip: tuple[str, ...] = ("Unnamed", "CID")) -> Column:

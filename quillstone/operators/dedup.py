@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.tables import written
 from quillstone.operators.ranking import top_n
 
 
@@ -64,15 +65,17 @@ def hash_or_id_first(df: DataFrame, hash_col: str, id_col: str, ord_col: str) ->
     return sure.select(df.columns), open_
 
 
-def settle(df: DataFrame, hash_col: str, id_col: str, ord_col: str, rounds: int = 20) -> DataFrame:
-    """``hash_or_id_first`` until nothing is open. Each round settles at least the first open row; chains are short in practice."""
-    kept, open_ = hash_or_id_first(df, hash_col, id_col, ord_col)
-    for _ in range(rounds):
+def settle(df: DataFrame, hash_col: str, id_col: str, ord_col: str) -> DataFrame:
+    """``hash_or_id_first`` until nothing is open, however long a chain of conflicts is: each round settles at least the first
+    open row. What a round leaves open is written to the shared folder, so no plan grows with the rounds."""
+    done: DataFrame | None = None
+    open_ = df
+    while True:
+        sure, left = hash_or_id_first(open_, hash_col, id_col, ord_col)
+        sure, open_ = written(sure, "settled"), written(left, "open")
+        done = sure if done is None else done.unionByName(sure)
         if open_.isEmpty():
-            return kept
-        more, open_ = hash_or_id_first(open_, hash_col, id_col, ord_col)
-        kept = kept.unionByName(more)
-    raise RuntimeError(f"conflicts left after {rounds} rounds")
+            return done
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, ord_col: str) -> DataFrame:

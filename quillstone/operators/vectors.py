@@ -56,13 +56,17 @@ def _scores(spark: SparkSession, queries: pd.DataFrame, items: DataFrame, k: int
         query_ids, q = held.value
         if not len(query_ids):
             return
+        best = pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": "int64", "item_id": "int64"})
         for batch in batches:
             batch = batch[batch["v"].map(lambda v: v is not None and len(v) == q.shape[0])]
             for a in range(0, len(batch), 2048):
                 part = batch.iloc[a : a + 2048]
                 ids, scores = part["id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64) @ q
                 at_q, at_i = _best(ids, scores, k)
-                yield pd.DataFrame({"query_id": query_ids[at_q], "item_id": ids[at_i], "score": scores[at_i, at_q]})
+                found = pd.concat([best, pd.DataFrame({"query_id": query_ids[at_q], "item_id": ids[at_i], "score": scores[at_i, at_q]})])
+                found = found.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
+                best = found[found.groupby("query_id").cumcount() < k]  # k a query, whatever the task reads
+        yield best
 
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
     return rows.mapInPandas(f, "query_id long, item_id long, score double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.expressions import any_of, sentences
@@ -10,8 +10,30 @@ from quillstone.functions.expressions import any_of, sentences
 # Words that send a question one way or the other, and what ends an answer as a refusal.
 RELATIONAL = ["which drugs", "what drugs", "drugs treat", "what tests", "lab test for", "interactions", "side effects of", "causes of", "treats", "mapped to", "relationship between", "mechanism of action"]
 OUT_OF_SCOPE = ["poem", "haiku", "sing", "code", "python", "weather", "recipe", "joke", "capital of", "who wrote", "sports", "football"]
+#: Phrases of caution, and what marks a sentence about the evidence rather than of it.
 DISCARDED = ["consult", "disclaimer", "not a substitute", "i am an ai"]
 
+ASIDES = [
+    "this is information",
+    "medical advice",
+    "consult your physician",
+    "consult a healthcare",
+    "consult a physician",
+    "the provided evidence does not",
+    "the evidence provided does not",
+    "does not specifically mention",
+    "does not detail",
+    "based on the given evidence",
+    "i cannot provide",
+    "i cannot confirm",
+    "it cannot be concluded",
+    "for specific treatment recommendations",
+    "refer to current clinical practice",
+    "refer to the full guideline",
+    "the documents discuss",
+]
+HEDGES = ["does not", "cannot", "insufficient", "⚠️"]
+
 
 def routed(text: Column, has_report: Column, whole_words: bool = False) -> Column:
     """report, out_of_scope, knowledge_graph or medical_query, in that order of the rules."""
@@ -23,13 +45,25 @@ def routed(text: Column, has_report: Column, whole_words: bool = False) -> Colum
     return F.when(has_report, "report").when(hit(OUT_OF_SCOPE), "out_of_scope").when(hit(RELATIONAL), "knowledge_graph").otherwise("medical_query")
 
 
-def claims(answer: Column, most: int = 4) -> Column:
+def claims(answer: Column, most: int = 4, discarded: list[str] = DISCARDED) -> Column:
     """The first sentences that aren't phrases of caution; the first sentence if all are."""
     every = sentences(answer)
-    kept = F.slice(F.filter(every, lambda s: ~any_of(F.lower(s), DISCARDED)), 1, most)
+    kept = F.slice(F.filter(every, lambda s: ~any_of(F.lower(s), discarded)), 1, most)
     return F.when(F.size(kept) > 0, kept).otherwise(F.slice(every, 1, 1))
 
 
+def labelled_claims(answer: Column, cited: Column, most: int = 4) -> Column:
+    """array<struct(claim, labels)>: an answer's first sentences without those that speak of the evidence or give advice, each
+    with the labels [E…] in it or else all that are ``cited``. If no sentence is left, 300 characters of the first."""
+    trimmed = F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s+|\s+$", "")
+    every = F.filter(F.split(trimmed, r"(?<=[.!?])\s+"), lambda s: s != "")
+    own = lambda s: F.regexp_extract_all(s, F.lit(r"\[E[0-9]+\]"), F.lit(0))
+    made = lambda s: F.struct(s.alias("claim"), F.when(F.size(own(s)) > 0, own(s)).otherwise(cited).alias("labels"))
+    kept = F.slice(F.filter(every, lambda s: ~any_of(F.lower(s), ASIDES)), 1, most)
+    first = F.transform(F.slice(every, 1, 1), lambda s: F.struct(F.substring(s, 1, 300).alias("claim"), cited.alias("labels")))
+    return F.when(F.size(kept) > 0, F.transform(kept, made)).otherwise(first)
+
+
 def verdict(text: Column) -> Column:
     """supported, contradicted, refusal_valid or not_mentioned; negated forms are read first."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -63,19 +97,28 @@ def choice(answer: Column) -> Column:
     return F.when(~refused, F.nullif(F.regexp_extract(F.substring(a, 1, 60), r"\b([A-D])\b", 1), F.lit("")))
 
 
-def qa_metrics(df: DataFrame, by: list[str], gold: str, given: str) -> DataFrame:
-    """Accuracy of all and of answered, rates of answers, refusals and wrong assertions, in percent of each group."""
+def qa_metrics(df: DataFrame, by: list[str], gold: str, given: str, answer: str | None = None) -> DataFrame:
+    """Accuracy of all and of answered, rates of answers, refusals and wrong assertions, in percent of each group; with the
+    answers' text, also the rate of answers that hedge."""
     n, done, right = F.count(F.lit(1)), F.count(given), F.count_if(F.col(given) == F.col(gold))
     pct = lambda a, b: F.round(F.try_divide(100.0 * a, b), 2)
-    return df.groupBy(*by).agg(n.alias("n"), pct(right, n).alias("accuracy"), pct(right, done).alias("accuracy_answered"), pct(done, n).alias("answered"), pct(n - done, n).alias("refused"), pct(done - right, n).alias("wrong"))
-
-
-def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """sorted[n // 2] of each group, from counts per value: no group's rows are gathered, only its distinct values in order."""
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(*by).orderBy(value)
-    total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    upto = counts.withColumn("upto", F.sum("c").over(order)).join(total, by)
-    return upto.where((F.col("upto") > F.floor(F.col("n") / 2)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") / 2))).select(*by, F.col(value).alias("median"), "n")
+    out = [n.alias("n"), pct(right, n).alias("accuracy"), pct(right, done).alias("accuracy_answered"), pct(done, n).alias("answered"), pct(n - done, n).alias("refused"), pct(done - right, n).alias("wrong")]
+    if answer:
+        out.append(pct(F.count_if(F.col(given).isNotNull() & any_of(F.lower(F.col(answer)), HEDGES)), n).alias("hedged"))
+    return df.groupBy(*by).agg(*out)
+
+
+def upper_median(df: DataFrame, by: list[str], value: str, ranges: int = 4096) -> DataFrame:
+    """sorted[n // 2] of each group. Counts of equal ranges between a group's extremes say which range holds it; only that
+    range's different values are put in order, so no group is sorted as a whole."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    ends = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    share = F.coalesce((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
+    placed = rows.join(ends, by).withColumn("_at", F.floor(F.col("n") / 2)).withColumn("_range", F.least(F.floor(share * ranges), F.lit(ranges - 1)))
+    counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"), F.first("_at").alias("_at"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_range"))  # at most ``ranges`` rows a group
+    holds = counts.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))
+    inside = placed.join(holds.select(*by, "_range", (F.col("_upto") - F.col("_c")).alias("_before")), [*by, "_range"])
+    values = inside.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("_at").alias("_at"), F.first("n").alias("n"))
+    values = values.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")))
+    return values.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at"))).select(*by, F.col("_v").alias("median"), "n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators.verification import OUT_OF_SCOPE, RELATIONAL, answer_status, claims, choice, faithfulness, final_confidence, qa_metrics, routed, tier, upper_median, verdict
+from quillstone.operators.verification import ASIDES, OUT_OF_SCOPE, RELATIONAL, answer_status, choice, faithfulness, final_confidence, labelled_claims, qa_metrics, routed, tier, upper_median, verdict
 from quillstone.plans.catalog import query, table
 
 
@@ -19,10 +19,24 @@ def route_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", routed(F.col("text"), (F.col("turn") == 0) & (F.col("conv_id") % 10 == 0)).alias("route"))
 
 
-@query()
+_CITED = "['[E1]', '[E' || (1 + turn % 3) || ']']"
+_ASIDE = " OR ".join(f"contains(lower(s), '{p}')" for p in ASIDES)
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, {_CITED} AS cited, CASE WHEN turn % 4 = 1 THEN text || ' This is medical advice [E2].' WHEN turn % 4 = 3 THEN 'Based on the given evidence [E9] it is. ' || text || ' See [E2] and [E3].' ELSE text END AS text FROM conversations WHERE role = 'assistant'),
+s AS (SELECT conv_id, turn, cited, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM a),
+k AS (SELECT conv_id, turn, cited, s AS every, list_filter(s, lambda s: NOT ({_ASIDE}))[1:4] AS kept FROM s),
+u AS (SELECT conv_id, turn, cited, CASE WHEN len(kept) > 0 THEN kept ELSE [left(every[1], 300)] END AS c, len(kept) > 0 AS own FROM k WHERE len(every) > 0),
+n AS (SELECT conv_id, turn, cited, own, c, unnest(range(1, len(c) + 1)) AS i FROM u)
+SELECT conv_id, turn, (i - 1)::INT AS n, c[i] AS claim, array_to_string(CASE WHEN own AND len(regexp_extract_all(c[i], '\[E[0-9]+\]')) > 0 THEN regexp_extract_all(c[i], '\[E[0-9]+\]') ELSE cited END, ',') AS labels FROM n""")
 def answer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of answers as claims, with the labels of the evidence that each names (some answers get an aside or labels)."""
+    t, text = F.col("turn") % 4, F.col("text")
+    said = F.when(t == 1, F.concat(text, F.lit(" This is medical advice [E2]."))).when(t == 3, F.concat(F.lit("Based on the given evidence [E9] it is. "), text, F.lit(" See [E2] and [E3]."))).otherwise(text)
+    cited = F.array(F.lit("[E1]"), F.format_string("[E%d]", 1 + F.col("turn") % 3))
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", F.posexplode(claims(F.col("text"))).alias("n", "claim"))
+    found = c.select("conv_id", "turn", F.posexplode(labelled_claims(said, cited)).alias("n", "c"))
+    return found.select("conv_id", "turn", "n", "c.claim", F.array_join("c.labels", ",").alias("labels"))
 
 
 _VERDICT = "CASE l_linenumber % 5 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'Supported by [E1]' WHEN 2 THEN 'contradicted' WHEN 3 THEN 'valid refusal' ELSE 'supported' END"

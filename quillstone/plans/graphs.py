@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.tables import broadcast_if_small
 from quillstone.operators.graph import expand, limited, linked_edges, merge_passes, query_terms
 from quillstone.operators.ranking import top_n
 from quillstone.plans.catalog import query, table
+from quillstone.plans.texts import _TERMS
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -43,14 +45,14 @@ def two_hop_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY node) AS ord FROM (SELECT DISTINCT s.s_suppkey AS query_id, c.l_orderkey * 10 + c.l_linenumber AS node
-FROM supplier s JOIN lineitem p ON p.l_suppkey = s.s_suppkey AND p.l_returnflag IN ('R', 'A') JOIN lineitem m ON m.l_partkey = p.l_partkey AND m.l_linestatus = 'O' AND m.l_linenumber = 1
+FROM supplier s JOIN lineitem p ON p.l_suppkey = s.s_suppkey AND p.l_returnflag IN ('R', 'A') JOIN lineitem m ON m.l_partkey = p.l_partkey
 JOIN lineitem c ON c.l_orderkey = m.l_orderkey WHERE s.s_suppkey % 20 = 0) QUALIFY ord <= 6""")
 def three_hop_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier -[returned or accepted]-> part <- order -> lines: two kinds of edges in the first hop."""
     li = table(spark, sf_dir, "lineitem")
     kind = lambda flag: li.where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     first = kind("R").unionByName(kind("A")).distinct()
-    orders = li.where("l_linestatus = 'O' and l_linenumber = 1").select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst")).distinct()
+    orders = li.select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst")).distinct()
     seeds = table(spark, sf_dir, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("node"))
     return limited(expand(seeds, first, orders, _edges(spark, sf_dir)["has_line"]).select("query_id", "node"), 6, "query_id")
 
@@ -63,19 +65,24 @@ def optional_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PIVOT = """pivoted AS (SELECT o.o_orderkey AS query_id, m.l_partkey AS part, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY m.l_partkey) AS r FROM orders o
   JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) m ON m.l_orderkey = o.o_orderkey WHERE o.o_orderkey % 20 = 0 QUALIFY r <= 10),
-other AS (SELECT p.query_id, x.l_orderkey AS node, row_number() OVER (PARTITION BY p.query_id ORDER BY x.l_orderkey) AS ord FROM (SELECT DISTINCT p.query_id, l.l_orderkey FROM pivoted p JOIN lineitem l ON l.l_partkey = p.part AND l.l_orderkey <> p.query_id) x JOIN (SELECT DISTINCT query_id FROM pivoted) p USING (query_id) QUALIFY ord <= 6)"""
+near AS (SELECT p.query_id, l.l_orderkey AS node, row_number() OVER (PARTITION BY p.query_id, p.part ORDER BY l.l_orderkey) AS k FROM pivoted p
+  JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON l.l_partkey = p.part AND l.l_orderkey <> p.query_id QUALIFY k <= 6),
+other AS (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY node) AS ord FROM (SELECT DISTINCT query_id, node FROM near))"""
 
 
 def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six orders of each part are cut out before any seed meets them (seven, as one may be the seed itself)."""
     mentions = _edges(spark, sf_dir)["mentions"].distinct()
     seeds = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderkey").alias("node"))
-    parts = limited(expand(seeds, mentions).select("query_id", "node"), 10, "query_id").select("query_id", "node")
-    return limited(expand(parts, _back(mentions)).where("node <> query_id").select("query_id", "node"), 6, "query_id")
+    parts = limited(expand(seeds, mentions).select("query_id", "node"), 10, "query_id").select("query_id", F.col("node").alias("dst"))
+    of_part = top_n(mentions, ["dst"], [F.asc("src")], 7, "_k").select("dst", F.col("src").alias("node"))
+    near = top_n(parts.join(of_part, "dst").where("node <> query_id"), ["query_id", "dst"], [F.asc("node")], 6, "_k")
+    return near.select("query_id", "node").distinct().withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("node")))
 
 
 @query(f"WITH {_PIVOT} SELECT query_id, node, ord FROM other")
 def entity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order -> its first ten parts -> the first six other orders with one of them."""
+    """Order -> its first ten parts -> the first six other orders of each of them."""
     return _pivot(spark, sf_dir)
 
 
@@ -83,14 +90,14 @@ def entity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 customer_ AS (SELECT a.o_orderkey AS query_id, b.o_orderkey AS node, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_orderkey) AS ord FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey % 20 = 0 QUALIFY ord <= 6),
 u AS (SELECT * FROM own UNION ALL SELECT query_id, node, ord, 1, 0.70::DOUBLE FROM other UNION ALL SELECT query_id, node, ord, 2, 0.75::DOUBLE FROM customer_),
 d AS (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY pass, ord) AS one FROM u QUALIFY one = 1)
-SELECT query_id, node, pass, score, row_number() OVER (PARTITION BY query_id ORDER BY pass, ord, node) AS rank FROM d QUALIFY rank <= 8""")
+SELECT query_id, node, pass, score, row_number() OVER (PARTITION BY query_id ORDER BY pass, ord, node) AS rank FROM d QUALIFY rank <= 20""")
 def traversal_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The document itself, the pivot through its entities, then through its customer; each node once, eight a query."""
+    """The document itself, the pivot through its entities, then through its customer; each node once, twenty a query."""
     e = _edges(spark, sf_dir)
     own = e["has_line"].where("src % 20 = 0").select(F.col("src").alias("query_id"), F.col("src").alias("node")).distinct().withColumn("ord", F.lit(1))
     seeds = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderkey").alias("node"))
     by_customer = limited(expand(seeds, e["ordered_by"], _back(e["ordered_by"])).select("query_id", "node"), 6, "query_id")
-    return merge_passes([(own, 0.85), (_pivot(spark, sf_dir), 0.70), (by_customer, 0.75)], limit=8).select("query_id", "node", "pass", "score", "rank")
+    return merge_passes([(own, 0.85), (_pivot(spark, sf_dir), 0.70), (by_customer, 0.75)], limit=20).select("query_id", "node", "pass", "score", "rank")
 
 
 @query("""SELECT l_orderkey AS src, l_partkey AS dst, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL""")
@@ -111,9 +118,9 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT round(100.0::DOUBLE * count(DISTINCT l_partkey) / (SELECT count(*) FROM part), 2) AS parts_pct, round(100.0::DOUBLE * count(DISTINCT l_suppkey) / (SELECT count(*) FROM supplier), 2) AS suppliers_pct FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45""")
+@query("""SELECT round(100.0::DOUBLE * count(DISTINCT l_partkey) / (SELECT count(*) FROM part), 2) AS parts_pct, round(100.0::DOUBLE * count(DISTINCT l_suppkey) / (SELECT count(*) FROM supplier), 2) AS suppliers_pct FROM lineitem WHERE l_returnflag = 'R'""")
 def coverage_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45")
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     n = lambda t, c: table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias(c))
     one = li.agg(F.count_distinct("l_partkey").alias("p"), F.count_distinct("l_suppkey").alias("s")).join(F.broadcast(n("part", "np"))).join(F.broadcast(n("supplier", "ns")))
     return one.select(F.round(100.0 * F.col("p") / F.col("np"), 2).alias("parts_pct"), F.round(100.0 * F.col("s") / F.col("ns"), 2).alias("suppliers_pct"))
@@ -139,10 +146,17 @@ def group_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {_TERMS}, u AS (SELECT conv_id, turn, term, min(n) AS ord FROM (SELECT conv_id, turn, unnest(list_distinct(t)) AS term, 0 AS n FROM terms) GROUP BY ALL),
+o AS (SELECT u.conv_id, u.turn, u.term, list_position(terms.t, u.term) AS ord FROM u JOIN terms ON u.conv_id = terms.conv_id AND u.turn = terms.turn),
+h AS (SELECT o.*, b.item_id, row_number() OVER (PARTITION BY o.conv_id, o.turn, o.term ORDER BY b.item_id) AS n FROM o JOIN benchmark b ON contains(lower(b.text), o.term) QUALIFY n <= 3),
+d AS (SELECT conv_id, turn, item_id, min((ord, term)) AS first FROM h GROUP BY ALL)
+SELECT conv_id, turn, item_id, first[2] AS term, row_number() OVER (PARTITION BY conv_id, turn ORDER BY first[1], item_id) AS rank FROM d QUALIFY rank <= 10""")
 def entity_seeding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of the users' turns against the words of benchmark passages: three entities a term, ten a turn, in the order of the terms."""
+    """Benchmark passages as named entities: those that hold a term of a user's turn, three a term, ten different ones a turn,
+    in the order of the terms. Each different term is looked for once, whoever asked it."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(query_terms(F.col("text"))).alias("ord", "term"))
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("term"))
-    first = top_n(words, ["term"], [F.asc("item_id")], 3, "n").drop("n")
-    return top_n(c.join(first, "term"), ["conv_id", "turn"], [F.asc("ord"), F.asc("item_id")], 10)
+    names = broadcast_if_small(table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("name")), 10_000)
+    held = c.select("term").distinct().join(names, F.col("name").contains(F.col("term")))
+    first = top_n(held, ["term"], [F.asc("item_id")], 3, "n").select("term", "item_id")
+    found = c.join(first, "term").groupBy("conv_id", "turn", "item_id").agg(F.min(F.struct("ord", "term")).alias("f"))
+    return top_n(found.select("conv_id", "turn", "item_id", "f.term", "f.ord"), ["conv_id", "turn"], [F.asc("ord"), F.asc("item_id")], 10).drop("ord")

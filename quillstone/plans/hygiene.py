@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.expressions import let
+from quillstone.functions.tables import broadcast_if_small
 from quillstone.operators.dedup import alias_fold, best_by_priority, content_first, first_non_empty, last_wins, settle, unprocessed, upsert
 from quillstone.plans.catalog import query, table
 
 # Files that are scaffolding rather than data, in the order in which they are tested.
-SKIP_PATHS = ("/blobs/", "/refs/", "/.huggingface/", "/snapshots/")
+SKIP_PATHS = (
+    "/blobs/", "/refs/", "/.huggingface/", "/snapshots/", "/UMLS Output/LEX/DOCS/", "/UMLS Output/LEX/LEX_PGMS/", "/UMLS Output/LEX/LEX_DB/", "/UMLS Output/LEX/MISC/", "/UMLS Output/LEX/NUMBERS/",
+    "/UMLS Output/LEX/VERB_COMPLEMENTS/",
+)
 SKIP_DIRS = (".cache", ".git", ".huggingface", "__pycache__", "blobs", "refs")
 SKIP_EXTENSIONS = (
     "py pyc sh bat cmd exe dll so dylib o a ipynb sfv crc md5 sha1 sha256 sha512 sig asc lock toml cfg ini yml yaml css js ts map svg png jpg jpeg gif ico webp "
@@ -18,7 +22,7 @@ SKIP_EXTENSIONS = (
 ).split()
 SKIP_STEMS = ("readme", "license", "licence", "citation")
 SKIP_NAMES = (".gitattributes", ".gitignore", ".ds_store", "thumbs.db", "dataset_info.json", "dataset_dict.json", "config.json")
-SKIP_METADATA = ("removed_files.csv", "download_failed.csv", "download_success.csv", "CACHEDIR.TAG")
+SKIP_METADATA = ("removed_files.csv", "removed_files_20260720_155732.csv", "download_failed.csv", "download_success.csv", "CACHEDIR.TAG")
 SKIP_REVIEW = ("open_guidelines.jsonl", "summary.json")
 
 
@@ -80,11 +84,12 @@ def contamination_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a passage's words but the first and last stand whole in any text that holds it; passages under ten words are looked for as they are
     w = F.split("passage", " ")
     key = F.xxhash64(F.array_join(F.slice(w, 2, 8), " "))
+    items = broadcast_if_small(items, 100_000)
     long_ = items.where(F.size(w) >= 10).withColumn("key", key)
-    seen = docs.select("doc_id", F.explode(F.array_distinct(let(F.split("text", " "), windows))).alias("key")).join(F.broadcast(long_.select("key").distinct()), "key", "left_semi")
-    pairs = seen.join(F.broadcast(long_), "key").select("doc_id", "item_id", "passage")  # the benchmark is a fixed small table
+    seen = docs.select("doc_id", F.explode(F.array_distinct(let(F.split("text", " "), windows))).alias("key")).join(long_.select("key").distinct(), "key", "left_semi")
+    pairs = seen.join(long_, "key").select("doc_id", "item_id", "passage")
     hits = docs.join(pairs, "doc_id").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
-    short = F.broadcast(items.where(F.size(w) < 10))
+    short = items.where(F.size(w) < 10)
     hits = hits.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct())
     return hits.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("items"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.tables import broadcast_if_small
 from quillstone.operators.graph import path_text
 from quillstone.operators.ranking import top_n, within_budget
 from quillstone.plans.catalog import query, table
@@ -75,12 +76,13 @@ def coverage_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("user_id").agg(strong.alias("strong"), partial.alias("partial"), none.alias("none"), overall.alias("overall"))
 
 
-@query("SELECT n_nationkey, count(*) AS suppliers, min(s_suppkey) AS first FROM nation JOIN supplier ON contains(lower(s_name), lower(substr(n_name, length(n_name), 1))) GROUP BY n_nationkey")
+@query("SELECT b.p_brand AS brand, count(*) AS parts, min(p_partkey) AS first FROM (SELECT DISTINCT p_brand FROM part) b JOIN part p ON contains(lower(p.p_brand || ' ' || p.p_type), lower(b.p_brand)) GROUP BY b.p_brand")
 def substring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that hold another name's text; the short side is 25 fixed rows, so the nested loop is one pass over the other."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.substring("n_name", -1, 1)).alias("part"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("name"))
-    return s.join(F.broadcast(n), F.col("name").contains(F.col("part"))).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("suppliers"), F.min("s_suppkey").alias("first"))
+    """Labels that hold another's whole name. Names are looked for in the different labels, not in all rows."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lower(F.concat_ws(" ", "p_brand", "p_type")).alias("label"))
+    labels = p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("low"))
+    names = broadcast_if_small(p.select(F.col("p_brand").alias("brand")).distinct(), 10_000)
+    return labels.join(names, F.col("label").contains(F.lower("brand"))).groupBy("brand").agg(F.sum("n").alias("parts"), F.min("low").alias("first"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'MENTIONS' WHEN l_linenumber % 3 = 1 THEN 'P' || l_partkey || ' -[MENTIONS]-> Document' ELSE 'P' || l_partkey || ' -[MENTIONS]-> S' || l_suppkey END AS path FROM lineitem""")

@@ -52,8 +52,8 @@ def discover(spark: SparkSession, root: str, folder: str | None = None) -> DataF
     return files.withColumns({"reader": reader_of(F.col("path")), "skip_reason": skip_reason(F.col("relative"))})
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, cap: int | None = ROW_CAP, encoding: str = "UTF-8", comment: str | None = None, strings: bool = False, schema: StructType | None = None) -> DataFrame:
-    """Rows of a delimited table, at most ``cap`` of them (a stated limit of the reader; None reads all)."""
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, cap: int | None = None, encoding: str = "UTF-8", comment: str | None = None, strings: bool = False, schema: StructType | None = None) -> DataFrame:
+    """Rows of a delimited table: all, or the first ``cap`` if the caller sets one (ROW_CAP is a common choice)."""
     r = spark.read.option("sep", sep).option("header", header).option("encoding", encoding).option("multiLine", True).option("mode", "PERMISSIVE").option("inferSchema", not strings and schema is None)
     if comment:
         r = r.option("comment", comment)
@@ -86,11 +86,17 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, st
     return parsed.where("not _bad").select("_p.*"), parsed.where("_bad").select("value")
 
 
-def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, title, abstract, body): whole JSON files, with the first title and abstract that are strings."""
+def read_json_documents(spark: SparkSession, path: str, strings_only: bool = False) -> DataFrame:
+    """(path, title, abstract, body): whole JSON files, with the first title and abstract that are there; numbers count as
+    texts, unless ``strings_only``."""
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"), F.try_parse_json("value").alias("v"))
-    first = lambda *keys: F.coalesce(*[F.try_variant_get("v", f"$.{k}", "string") for k in keys])
-    return docs.select("path", first("title", "Title", "TITLE").alias("title"), first("abstract", "Abstract", "ABSTRACT").alias("abstract"), "body")
+
+    def one(key: str) -> Column:
+        value = F.try_variant_get("v", f"$.{key}", "string")
+        return F.when(F.schema_of_variant(F.try_variant_get("v", f"$.{key}", "variant")) == "STRING", value) if strings_only else value
+
+    first = lambda *keys: F.coalesce(*[one(k) for k in keys])
+    return docs.select("path", first("title", "Title", "TITLE").alias("title"), first("abstract", "Abstract", "abstractText", "ABSTRACT").alias("abstract"), "body")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
