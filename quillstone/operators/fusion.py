@@ -57,3 +57,9 @@ def rrf(vector: DataFrame, graph: DataFrame, query: str, item: str, weights: Fus
 def favour_guidelines(score: Column, category: Column, weights: FusionWeights = FusionWeights()) -> Column:
     """Guidelines' scores times a factor, rounded to 4 digits; others as they are."""
     return F.when(F.lower(category).contains("guideline"), F.round(score * weights.guideline, 4)).otherwise(score)
+
+
+def trusted_score(score: Column, trust: Column, weights: FusionWeights = FusionWeights(), unknown: float = 0.5) -> Column:
+    """The graph's own score of a hit (``unknown`` without one), lowered for edges of low trust."""
+    own = F.coalesce(score, F.lit(unknown))
+    return F.when(trust == "low", own * weights.low_trust).otherwise(own)
