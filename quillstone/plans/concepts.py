@@ -29,7 +29,7 @@ def concept_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VOCABULARY = "CASE l_suppkey % 7 WHEN 0 THEN 'SNOMEDCT_US' WHEN 1 THEN 'NCI' WHEN 2 THEN 'MSH' WHEN 3 THEN 'ICD10CM' WHEN 4 THEN 'ICD10' WHEN 5 THEN 'CPT' ELSE 'XX' END"
 _TERM_SQL = f"""t AS (SELECT 'C' || l_partkey AS id, {_VOCABULARY} AS vocabulary, l_returnflag || l_suppkey AS code, 'term ' || l_suppkey AS term, l_linenumber = 1 AS preferred,
-  CASE {_VOCABULARY} WHEN 'SNOMEDCT_US' THEN 10 WHEN 'NCI' THEN 8 WHEN 'MSH' THEN 7 WHEN 'ICD10CM' THEN 6 WHEN 'ICD10' THEN 5 END AS priority, l_orderkey * 10 + l_linenumber AS ord
+  CASE {_VOCABULARY} WHEN 'SNOMEDCT_US' THEN 10 WHEN 'NCI' THEN 8 WHEN 'MSH' THEN 7 WHEN 'ICD10CM' THEN 6 WHEN 'ICD10' THEN 5 END AS priority, (l_orderkey * 10 + l_linenumber) * 1000000 + l_suppkey AS ord
   FROM lineitem WHERE l_returnflag <> 'N' AND NOT (l_linestatus = 'F' AND l_orderkey % 4 = 0) AND {_VOCABULARY} NOT IN ('CPT', 'XX') AND l_orderkey % 11 <> 0 AND 'C' || l_partkey IN ({_TYPED}))"""
 
 
@@ -143,6 +143,6 @@ def concept_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N' and not (l_linestatus = 'F' and l_orderkey % 4 = 0) and l_orderkey % 11 <> 0")
     known = F.element_at(F.array(*map(F.lit, [10, 8, 7, 6, 5])), (F.col("l_suppkey") % 7 + 1).cast("int"))
     rows = li.where("l_suppkey % 7 < 5").select(
-        F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("id"), F.concat(F.lit("term "), F.col("l_suppkey").cast("string")).alias("term"), known.alias("priority"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")
+        F.concat(F.lit("C"), F.col("l_partkey").cast("string")).alias("id"), F.concat(F.lit("term "), F.col("l_suppkey").cast("string")).alias("term"), known.alias("priority"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey")).alias("ord")
     )
     return alias_fold(rows.join(_concepts(spark, sf_dir), "id", "left_semi"), "id", "term", "priority", "ord").withColumn("aliases", F.array_join("aliases", ","))

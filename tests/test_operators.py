@@ -2,7 +2,9 @@
 
 import json
 import random
+import re
 import zipfile
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -11,9 +13,13 @@ from quillstone.operators.chunking import accumulate, estimate
 from quillstone.operators.dedup import alias_fold, settle
 from quillstone.operators.fusion import canonical_id
 from quillstone.operators.graph import query_terms
+from quillstone.operators.intake import decoded, run_phases
 from quillstone.operators.lab import RANGES, assessed, missing_checks, normalised, report_lines, trends
 from quillstone.operators.ranking import category_caps, within_budget
-from quillstone.operators.verification import choice, claims, verdict
+from quillstone.operators.tabular import listed_strings, measured, pdf_date, range_bounds, report_date, said_tables
+from quillstone.operators.vectors import exact_topk
+from quillstone.operators.verification import choice, claims, upper_median, verdict
+from quillstone.plans import library
 from quillstone.sources import files, sinks
 from quillstone.streaming.flows import file_stream, running_trend, to_table
 
@@ -169,3 +175,121 @@ def test_streams(spark, sf_dir, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         to_table(file_stream(spark, src, events.schema), out, str(tmp_path / "c2")).start().awaitTermination(120)
     assert spark.read.parquet(out).count() == 300
+
+
+def split_sentences(text):
+    return [s.strip() for p in re.split(r"\n{2,}", text or "") for s in re.split(r"(?<=[.!?])\s+(?=[A-Z\-0-9\"(])", p) if s.strip(" ")]
+
+
+def chunked(text):
+    """The chunks of a text by the rule as it is written: flush before a sentence that passes the target, from the least size on."""
+    size = lambda t: max(1, int(len(t.split()) * 1.3))
+    chunks, held, total, own = [], [], 0, False
+    for s in split_sentences(text):
+        if held and total + size(s) > 500 and total >= 300:
+            words = " ".join(held).split()
+            chunks.append(" ".join(held))
+            tail = words[len(words) - int(len(words) * 0.15) :]
+            held, total, own = ([" ".join(tail)], size(" ".join(tail)), False) if tail else ([], 0, False)
+        held.append(s)
+        total, own = total + size(s), True
+    return chunks + [" ".join(held)] * own
+
+
+def test_chunk_queries_are_the_rules(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    q = library.queries()
+    got = {(r.id, r.n): r.text for r in q["chunk_body"](spark, sf_dir).collect()}
+    norm = lambda t: t.replace("\xa0", " ")
+    assert {k: norm(v) for k, v in got.items()} == {(str(i), n): norm(c) for i, t in texts.items() for n, c in enumerate(chunked(t))}
+    chunks = q["chunk_documents"](spark, sf_dir).collect()
+    assert len({c.chunk_id for c in chunks}) == len(chunks)
+    kinds = Counter((c.doc_id, c.chunk_type) for c in chunks)
+    flags = {r.doc_id: r for r in q["chunk_branches"](spark, sf_dir).collect()}
+    for i, t in texts.items():
+        assert kinds[i, "abstract"] == (i % 3 == 0 and bool(t[:60].strip(" "))) and kinds[i, "figure"] == (i % 5 == 0) and kinds[i, "structured_row"] == flags[i].said
+        assert kinds[i, "body"] == (len(chunked(t)) if flags[i].chunk_body else 0)
+
+
+def test_settled_orders_are_the_ordered_scan(spark, sf_dir):
+    keys = sorted(r.o_orderkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").collect())
+    hashes, ids, want = set(), set(), set()
+    for k in keys:
+        h, i = k * 7919 % 400_001, k * 104_729 % 500_003
+        if h not in hashes and i not in ids:
+            hashes.add(h), ids.add(i), want.add(k)
+    assert {r.ord for r in library.queries()["document_dedup_hash_or_id"](spark, sf_dir).collect()} == want
+
+
+def test_long_chains_of_conflicts_settle(spark):
+    rows = [(i, i // 2, (i + 1) // 2) for i in range(60)]  # each row shares a key with the next
+    got = {r.o for r in settle(spark.createDataFrame(rows, "o long, h long, d long"), "h", "d", "o").collect()}
+    assert got == {i for i in range(60) if i % 2 == 0}
+
+
+def test_upper_median_on_odd_groups(spark):
+    rnd = random.Random(3)
+    rows = [("a", float(rnd.randint(0, 5))) for _ in range(101)] + [("b", 7.0)] * 4 + [("c", None)] + [("d", x) for x in (-1e9, 0.0, 1e-9, 2e-9, 1e9)] + [("e", rnd.random() ** 9) for _ in range(500)]
+    got = {r.g: (r.median, r.n) for r in upper_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    want = {}
+    for g in "abde":
+        v = sorted(x for k, x in rows if k == g)
+        want[g] = (v[len(v) // 2], len(v))
+    assert got == want
+
+
+def test_tables_said(spark):
+    headers = ["Test Name", "Unit", "Critical Low", "Normal Low", "Normal High", "Test Name"]
+    rows = [["A", "g", "1", "2", "3"], ["A", "g", "1", "2", "3", "B"], ["A", "nan", "", "", "9"], ["", "g", "1"], ["A", "g", "None", "", ""], [], ["A"]]
+    df = spark.createDataFrame([(1, 0, headers, rows), (2, 0, ["x", "Unnamed: 1", "y"], [["1", "2", "3"], ["1"], ["w " * 600, "q", "z"]]), (3, 0, [], [["a"]])], "doc_id long, table int, headers array<string>, rows array<array<string>>")
+    got = {(r.doc_id, r.n): r.text for r in said_tables(df).collect()}
+    assert [got[1, i] for i in range(7)] == ["A: normal range 2–3 g; critical low 1 g.", "B: normal range 2–3 g; critical low 1 g.", "A: normal high 9.", None, None, None, None]
+    assert got[2, 0] == "x: 1; y: 3." and got[2, 1] is None and got[2, 2].endswith("…") and len(got[2, 2].split()) == 384 and (3, 0) not in got
+
+
+def test_measurements_dates_and_lists(spark):
+    cells = [["Glucose", "n/a", "5.5", "mmol/L", "3.9-5.6"], ["Test Name", "Result"], ["Result", "Unit", "1"], ["K", "1"], ["Na+", "x", "140"], [None, "3"], ["Only"], ["Iron", "-2.5", None]]
+    got = [tuple(r) for r in measured(spark.createDataFrame([(c,) for c in cells], "cells array<string>")).select("test_name", "value", "unit", "range").collect()]
+    assert got == [("Glucose", 5.5, "mmol/L", "3.9-5.6"), ("Na+", 140.0, "", ""), ("Iron", -2.5, "", "")]
+    df = spark.createDataFrame([("3.9 - 5.6",), ("<7.",), ("none",), (None,)], "r string")
+    assert [tuple(r.b) for r in df.select(range_bounds(F.col("r")).alias("b")).collect()] == [(3.9, 5.6), (0.0, 7.0), (0.0, 9999.0), (0.0, 9999.0)]
+    df = spark.createDataFrame([("DATE: 2020-01-02 2019-01-01", "D:20241016000000Z"), ("on 2019-01-01", "2024-1"), (None, " ")], "t string, p string")
+    assert [tuple(r) for r in df.select(report_date(F.col("t"), F.lit("d")), pdf_date(F.col("p"))).collect()] == [("2020-01-02", "2024-10-16"), ("2019-01-01", "2024-1"), ("d", None)]
+    replies = ['{"sub_questions": [" a ", "", "b"]}', 'x ```json\n{"sub_questions": ["c"]}\n``` y', 'say "first question" or "other question"', 'only "one question"', "{", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in replies], "t string").select(listed_strings(F.col("t"))).collect()]
+    assert got == [["a", "b"], ["c"], ["first question", "other question"], [], [], []]
+
+
+def test_encodings_and_strings_only(spark, tmp_path):
+    texts = {"u": "naïve €".encode(), "b": b"\xef\xbb\xbfx", "l": "naïve".encode("latin-1"), "w": "naïve".encode("utf-16"), "e": b""}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in texts.items()], "k string, c binary")
+    assert {r.k: (r.d.text, r.d.encoding) for r in df.select("k", decoded(F.col("c")).alias("d")).collect()} == {"u": ("naïve €", "UTF-8"), "b": ("x", "UTF-8"), "l": ("naïve", "ISO-8859-1"), "w": ("naïve", "UTF-16"), "e": ("", "UTF-8")}
+    (tmp_path / "d.json").write_text(json.dumps({"title": 7, "Title": "T", "abstract": 3, "abstractText": "A"}))
+    r = files.read_json_documents(spark, str(tmp_path / "d.json"), strings_only=True).first()
+    assert (r.title, r.abstract) == ("T", "A")
+
+
+def test_phases_resume(spark, tmp_path):
+    ran = []
+
+    def phase(name, f):
+        def go(done):
+            ran.append(name)
+            return f(done)
+
+        return name, go
+
+    phases = [phase("a", lambda d: spark.range(5)), phase("b", lambda d: d["a"].where("id > 2"))]
+    assert run_phases(spark, str(tmp_path / "p"), phases[:1])["a"].count() == 5
+    out = run_phases(spark, str(tmp_path / "p"), phases)
+    assert out["b"].count() == 2 and ran == ["a", "b"]
+    assert run_phases(spark, str(tmp_path / "p"), phases)["b"].count() == 2 and ran == ["a", "b"]
+
+
+def test_top_k_over_many_batches(spark):
+    rnd = random.Random(8)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = {(r.query_id, r.item_id) for r in exact_topk(spark, df.where("vec_id % 1000 = 0"), df, 7).collect()}
+    want = {(q, i) for q in range(0, 6000, 1000) for _, i in sorted((-sum(a * b for a, b in zip(rows[q][1], v, strict=True)), i) for i, v in rows)[:7]}
+    assert got == want
