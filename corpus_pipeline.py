@@ -30,11 +30,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stage = Stage(spark, "near-copies")
     rows = stage.cut(as_struct(docs, F.monotonically_increasing_id().alias("_row")), "rows")
     found = minhash_near_dedup(spark, rows.select("_row", F.col("_d.text").alias("text")), id_col="_row")
-    of_row = stage.cut(found.select("_row", F.col("component_id").alias("_component")), "components")
-    grouped = of_row.groupBy("_component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_component")
-    members = of_row.join(grouped, "_component").join(rows.select("_row", F.col("_d.doc_id").alias("_id")), "_row")
-    first = members.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
-    gone = members.join(first, "_component").where("_row <> _first._row").select("_row")
+    ids = rows.select("_row", F.col("_d.doc_id").alias("_id"))
+    of_row = stage.cut(found.select("_row", F.col("component_id").alias("_component")).join(ids, "_row"), "components")
+    first = of_row.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = stage.cut(first.where("_n > 1").select("_component", F.col("_first._row").alias("_kept")), "first")  # a row per group
+    gone = of_row.join(broadcast_if_small(first, first.count()), "_component").where("_row <> _kept").select("_row")
     gone = stage.cut(gone, "gone")
     kept = rows.join(broadcast_if_small(gone, gone.count()), "_row", "left_anti")
     return from_struct(kept, docs, {})
