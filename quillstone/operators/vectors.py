@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Queries that go to every task at most in one block; more are done block by block.
+from quillstone.sources.sinks import write_vectors
+
+#: Queries that go to every task at most; with more of them, blocks of so many queries meet blocks of so many items.
 QUERY_BLOCK = 20_000
+_HITS = "query_id long, item_id long, score double"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,53 +26,77 @@ def l2_normalise(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size))
 
 
-def exact_topk(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+def exact_topk(
+    spark: SparkSession, queries: DataFrame, items: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK
+) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of greatest inner product with each query (ties: smallest id).
 
-    A stated query set against all items: queries go out in blocks of bounded size, each task keeps k items per query of what
-    it reads, and only those are shuffled.
+    A stated query set against all items, whose ids are unique. At most ``block`` queries (counted) go to every task, which keeps k items
+    per query of what it reads; more of them are hashed into blocks, as are the items, and every pair of blocks is one task's work.
+    Only the k best of a task are shuffled.
     """
-    q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null").dropDuplicates(["query_id"])
+    q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v")).where("v is not null").dropDuplicates(["query_id"])
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
     n = q.count()
-    found: DataFrame | None = None
-    parts = max(1, -(-n // block))
-    for p in range(parts):
-        own = q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toPandas()  # at most about QUERY_BLOCK rows
-        some = _scores(spark, own, items, k, id_col, vector_col)
-        found = some if found is None else found.unionByName(some)
+    found = _by_broadcast(spark, q.toPandas(), rows, k) if n <= block else _by_blocks(q, rows, k, -(-n // block), -(-rows.count() // block))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of each column, ties by id."""
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (column, row) of the k best of each column, and of what ties with the last of them."""
     if scores.shape[0] > 4 * k:
         floor = np.partition(scores, -k, axis=0)[-k]
         return np.nonzero((scores >= floor).T)
     return np.nonzero(np.ones(scores.T.shape, dtype=bool))
 
 
-def _scores(spark: SparkSession, queries: pd.DataFrame, items: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    held = spark.sparkContext.broadcast((queries["query_id"].to_numpy(), np.array(queries["v"].tolist(), dtype=np.float64).T))
+def _none() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": "int64", "item_id": "int64"})
+
+
+def _kept(best: pd.DataFrame, query_ids: np.ndarray, q: np.ndarray, items: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best items of each query among those held and ``items``; ``q`` has a column for each query."""
+    items = items[items["v"].map(lambda v: v is not None and len(v) == q.shape[0])]
+    for a in range(0, len(items), 2048):
+        part = items.iloc[a : a + 2048]
+        ids, scores = part["id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64) @ q
+        at_q, at_i = _best(scores, k)
+        found = pd.concat([best, pd.DataFrame({"query_id": query_ids[at_q], "item_id": ids[at_i], "score": scores[at_i, at_q]})])
+        found = found.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
+        best = found[found.groupby("query_id").cumcount() < k]
+    return best
+
+
+def _columns(queries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return queries["query_id"].to_numpy(), np.array(queries["v"].tolist(), dtype=np.float64).T
+
+
+def _by_broadcast(spark: SparkSession, queries: pd.DataFrame, items: DataFrame, k: int) -> DataFrame:
+    held = spark.sparkContext.broadcast(_columns(queries))
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, q = held.value
-        if not len(query_ids):
-            return
-        best = pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": "int64", "item_id": "int64"})
+        best = _none()
         for batch in batches:
-            batch = batch[batch["v"].map(lambda v: v is not None and len(v) == q.shape[0])]
-            for a in range(0, len(batch), 2048):
-                part = batch.iloc[a : a + 2048]
-                ids, scores = part["id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64) @ q
-                at_q, at_i = _best(ids, scores, k)
-                found = pd.concat([best, pd.DataFrame({"query_id": query_ids[at_q], "item_id": ids[at_i], "score": scores[at_i, at_q]})])
-                found = found.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
-                best = found[found.groupby("query_id").cumcount() < k]  # k a query, whatever the task reads
+            if len(query_ids):
+                best = _kept(best, query_ids, q, batch, k)
         yield best
 
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
-    return rows.mapInPandas(f, "query_id long, item_id long, score double")
+    return items.mapInPandas(f, _HITS)
+
+
+def _by_blocks(queries: DataFrame, items: DataFrame, k: int, n_queries: int, n_items: int) -> DataFrame:
+    """As above, for queries that are too many for every task: each pair of a query block and an item block is a group of both."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(max(n, 1))).cast("int")
+    left = queries.withColumn("p", block("query_id", n_queries)).withColumn("i", every(n_items))
+    right = items.withColumn("i", block("id", n_items)).withColumn("p", every(n_queries))
+
+    def f(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        return _kept(_none(), *_columns(own), others, k) if len(own) else _none()
+
+    return left.groupBy("p", "i").cogroup(right.groupBy("p", "i")).applyInPandas(f, _HITS)
 
 
 class CellIndex:
@@ -78,15 +105,35 @@ class CellIndex:
     The centroids are fitted on at most ``sample`` vectors (a bounded, hashed sample); every vector is indexed.
     """
 
-    def __init__(self, spark: SparkSession, items: DataFrame, cells: int = 64, sample: int = 50_000, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 1) -> None:
+    def __init__(self, spark: SparkSession, centroids: np.ndarray, cells: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> None:
+        self.spark, self.centroids, self.cells, self.id_col, self.vector_col, self.stored = spark, centroids, cells, id_col, vector_col, False
+
+    @classmethod
+    def fit(
+        cls, spark: SparkSession, items: DataFrame, cells: int = 64, sample: int = 50_000, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 1
+    ) -> CellIndex:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        self.spark, self.id_col, self.vector_col = spark, id_col, vector_col
         rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
         few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select(array_to_vector("v").alias("features"))
-        self.centroids = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(few).clusterCenters())
-        self.cells = self._assigned(rows, 1).select("id", "v", F.col("near")[0].alias("cell"))
+        index = cls(spark, np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(few).clusterCenters()), id_col=id_col, vector_col=vector_col)
+        index.cells = index._assigned(rows, 1).select("id", "v", F.col("near")[0].alias("cell"))
+        return index
+
+    def save(self, path: str) -> None:
+        """Writes the centroids, and the vectors by cell."""
+        centroids = [(i, c.tolist()) for i, c in enumerate(self.centroids)]
+        self.spark.createDataFrame(centroids, "cell int, v array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
+        write_vectors(self.cells, f"{path}/cells")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> CellIndex:
+        """A saved index: nothing is fitted or assigned again, and a search reads only the cells that it probes."""
+        centroids = spark.read.parquet(f"{path}/centroids").orderBy("cell").toPandas()  # one row a cell
+        index = cls(spark, np.array(centroids["v"].tolist(), dtype=np.float64), spark.read.parquet(f"{path}/cells"), id_col, vector_col)
+        index.stored = True
+        return index
 
     def _assigned(self, rows: DataFrame, n: int) -> DataFrame:
         held = self.spark.sparkContext.broadcast(self.centroids)
@@ -104,6 +151,9 @@ class CellIndex:
     def search(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
         q = queries.select(F.col(self.id_col).cast("long").alias("query_id"), F.col(self.vector_col).cast("array<double>").alias("v")).where("v is not null")
         q = self._assigned(q, nprobe).select("query_id", F.col("v").alias("q"), F.explode("near").alias("cell"))
-        hits = q.join(self.cells, "cell").select("query_id", F.col("id").alias("item_id"), dot(F.col("v"), F.col("q")).alias("score"))
+        cells = self.cells
+        if self.stored:
+            cells = cells.where(F.col("cell").isin([r.cell for r in q.select("cell").distinct().collect()]))  # as many as there are cells at most
+        hits = q.join(cells, "cell").select("query_id", F.col("id").alias("item_id"), dot(F.col("v"), F.col("q")).alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
         return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

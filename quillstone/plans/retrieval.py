@@ -65,7 +65,7 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 10 by the cell-pruned index; its recall is tested against exact search. These vectors hardly cluster: eleven of sixteen cells
     are needed for a recall above 0.9 (eight give 0.896 on sf0.01)."""
     e = table(spark, sf_dir, "embeddings")
-    return CellIndex(spark, e, cells=16).search(_queries(e), 10, nprobe=11).select("query_id", "item_id", F.round("score", 5).alias("score"), "rank")
+    return CellIndex.fit(spark, e, cells=16).search(_queries(e), 10, nprobe=11).select("query_id", "item_id", F.round("score", 5).alias("score"), "rank")
 
 
 _CAPPED = f"""capped AS (

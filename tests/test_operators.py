@@ -17,7 +17,7 @@ from quillstone.operators.intake import decoded, run_phases
 from quillstone.operators.lab import RANGES, assessed, missing_checks, normalised, report_lines, trends
 from quillstone.operators.ranking import category_caps, within_budget
 from quillstone.operators.tabular import listed_strings, measured, pdf_date, range_bounds, report_date, said_tables
-from quillstone.operators.vectors import exact_topk
+from quillstone.operators.vectors import CellIndex, exact_topk
 from quillstone.operators.verification import choice, claims, upper_median, verdict
 from quillstone.plans import library
 from quillstone.sources import files, sinks
@@ -293,3 +293,23 @@ def test_top_k_over_many_batches(spark):
     got = {(r.query_id, r.item_id) for r in exact_topk(spark, df.where("vec_id % 1000 = 0"), df, 7).collect()}
     want = {(q, i) for q in range(0, 6000, 1000) for _, i in sorted((-sum(a * b for a, b in zip(rows[q][1], v, strict=True)), i) for i, v in rows)[:7]}
     assert got == want
+
+
+def test_topk_in_blocks_is_topk_by_broadcast(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    some = e.where("vec_id % 3 = 0")
+    rows = lambda df: sorted((r.query_id, r.item_id, round(r.score, 9), r.rank) for r in df.collect())
+    assert rows(exact_topk(spark, some, e, 4, block=20)) == rows(exact_topk(spark, some, e, 4))
+    none = e.where("vec_id < 0")
+    assert rows(exact_topk(spark, none, e, 4)) == rows(exact_topk(spark, some, none, 4, block=20)) == rows(exact_topk(spark, some, none, 4)) == []
+
+
+def test_saved_index_finds_the_same(spark, sf_dir, tmp_path):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index, few = CellIndex.fit(spark, e, cells=8), e.where("vec_id % 40 = 0")
+    index.save(str(tmp_path / "index"))
+    saved = CellIndex.load(spark, str(tmp_path / "index"))
+    rows = lambda df: sorted((r.query_id, r.item_id, round(r.score, 9), r.rank) for r in df.collect())
+    assert rows(index.search(few, 5, nprobe=2)) == rows(saved.search(few, 5, nprobe=2)) != []
+    plan = saved.search(few.limit(1), 5, nprobe=1)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*\(cell#\d+ = \d\)", plan)  # the one cell that is probed
