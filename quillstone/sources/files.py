@@ -119,6 +119,18 @@ def read_owl_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(v != "").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_owl_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, format, declarations, annotations, lines) of each ontology, in functional syntax or RDF/XML, counted line by line: what it
+    declares under a name, and its labels, comments and definitions."""
+    v = F.trim("value")
+    functional = v.startswith("Prefix(") | v.startswith("Ontology(") | v.startswith("Declaration(")
+    declared = v.startswith("Declaration(") | v.rlike(r"<owl:(Class|ObjectProperty|DatatypeProperty|AnnotationProperty|NamedIndividual)\b[^>]*\brdf:(about|ID)=")
+    annotated = v.startswith("AnnotationAssertion(") | v.rlike(r"<(rdfs:label|rdfs:comment|skos:definition)\b")
+    lines = spark.read.text(path).where(v != "").select(F.col("_metadata.file_path").alias("path"), functional.alias("f"), declared.alias("d"), annotated.alias("a"))
+    kind = F.when(F.max("f"), "functional").otherwise("rdf/xml")
+    return lines.groupBy("path").agg(kind.alias("format"), F.count_if("d").alias("declarations"), F.count_if("a").alias("annotations"), F.count(F.lit(1)).alias("lines"))
+
+
 def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
@@ -157,10 +169,43 @@ def read_archive_listing(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path).mapInPandas(f, "path string, name string, size long")
 
 
-def read_xml_records(spark: SparkSession, path: str, tag: str, schema: StructType | None = None) -> DataFrame:
-    """One row per element ``tag``, streamed by the built-in reader; attributes are _name, text is _VALUE."""
-    r = spark.read.format("xml").option("rowTag", tag)
-    return (r.schema(schema) if schema else r).load(path)
+def read_xml_records(spark: SparkSession, path: str, tag: str, schema: StructType | None = None, most: int | None = None) -> DataFrame:
+    """One row per element ``tag``, whatever its namespace, streamed by the built-in reader; attributes are _name, text is _VALUE, repeated
+    children are arrays. ``most`` is a caller's limit of rows, None for all."""
+    r = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True)
+    rows = (r.schema(schema) if schema else r).load(path)
+    return rows if most is None else rows.limit(most)
+
+
+def _article(content: bytes) -> tuple[str | None, str | None, str | None, str | None]:
+    """Title, abstract, body and error of an XML document; only articles have the first two, other documents are body as a whole."""
+    try:
+        root = ElementTree.fromstring(content)
+    except (ElementTree.ParseError, ValueError, LookupError) as e:
+        return None, None, None, f"XML parse error: {e}"
+    for e in root.iter():
+        if isinstance(e.tag, str):
+            e.tag = e.tag.rsplit("}", 1)[-1]
+    words = lambda e: " ".join("".join(e.itertext()).split())
+    texts = lambda e: "\n".join(t for t in (" ".join(x.split()) for x in e.itertext()) if t)
+    if root.tag != "article":
+        return None, None, texts(root), None
+    title, abstract, body = (root.find(at) for at in ("front/article-meta/title-group/article-title", "front/article-meta/abstract", "body"))
+    said = [] if abstract is None else [words(p) for p in abstract.iter("p")] or [words(abstract)]
+    return title is not None and words(title) or None, " ".join(x for x in said if x) or None, texts(root if body is None else body), None
+
+
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """(path, title, abstract, body, error) of whole XML files: an article's title, its abstract's paragraphs and its body's texts in
+    order, a line each; the file's name where there is no title. Broken files have an error only."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(p, *_article(bytes(c))) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=["path", "title", "abstract", "body", "error"])
+
+    found = _binary(spark, path).mapInPandas(f, "path string, title string, abstract string, body string, error string")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return found.withColumn("title", F.when(F.col("error").isNull(), F.coalesce("title", name)))
 
 
 class _Tables(HTMLParser):

@@ -313,3 +313,30 @@ def test_saved_index_finds_the_same(spark, sf_dir, tmp_path):
     assert rows(index.search(few, 5, nprobe=2)) == rows(saved.search(few, 5, nprobe=2)) != []
     plan = saved.search(few.limit(1), 5, nprobe=1)._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^]]*\(cell#\d+ = \d\)", plan)  # the one cell that is probed
+
+
+def test_xml_readers(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.xml").write_text(
+        "<article xmlns='urn:j'><front><article-meta><title-group><article-title>Iron <i>and</i> blood</article-title></title-group>"
+        "<abstract><title>Aim</title><p>One.</p><p>Two <b>three</b>.</p></abstract></article-meta></front>"
+        "<body><sec><title>Intro</title><p>First <i>part</i> here.</p></sec><p>Last &amp; least.</p></body></article>"
+    )
+    (tmp_path / "x" / "b.xml").write_text("<list><item>x</item><item/><item> y z </item></list>")
+    (tmp_path / "x" / "c.xml").write_text("<article><body>")
+    (tmp_path / "x" / "d.xml").write_text("<article><front/></article>")
+    got = {r.path[-5:]: (r.title, r.abstract, r.body, r.error is None) for r in files.read_articles(spark, str(tmp_path / "x")).collect()}
+    assert got == {
+        "a.xml": ("Iron and blood", "One. Two three.", "Intro\nFirst\npart\nhere.\nLast & least.", True),
+        "b.xml": ("b", None, "x\ny z", True),
+        "c.xml": (None, None, None, False),
+        "d.xml": ("d", None, "", True),
+    }
+    (tmp_path / "drugs.xml").write_text("<n:db xmlns:n='urn:d'>" + "".join(f"<n:drug id='{i}'><n:name>d{i}</n:name></n:drug>" for i in range(4)) + "</n:db>")
+    drugs = files.read_xml_records(spark, str(tmp_path / "drugs.xml"), "drug", most=3)
+    assert {(r._id, r.name) for r in drugs.collect()} < {(i, f"d{i}") for i in range(4)} and drugs.count() == 3
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "f.owl").write_text("Prefix(:=<x>)\nOntology(<x>\n\nDeclaration(Class(:A))\nDeclaration(Class(:B))\nAnnotationAssertion(rdfs:label :A \"a\")\n)\n")
+    (tmp_path / "o" / "r.owl").write_text('<rdf:RDF>\n<owl:Class rdf:about="#A">\n<rdfs:label>a</rdfs:label>\n<rdfs:subClassOf rdf:resource="#B"/>\n</owl:Class>\n</rdf:RDF>\n')
+    got = {r.path[-5:]: tuple(r)[1:] for r in files.read_owl_files(spark, str(tmp_path / "o")).collect()}
+    assert got == {"f.owl": ("functional", 2, 1, 6), "r.owl": ("rdf/xml", 1, 1, 6)}
