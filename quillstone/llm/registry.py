@@ -20,6 +20,7 @@ from quillstone.llm.pii import personal_data
 from quillstone.llm.quality import quality_rules
 from quillstone.llm.secret_scan import secret_scan
 from quillstone.llm.toxicity import toxicity
+from quillstone.llm.url_filters import stated_rules, url_filter
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -77,13 +78,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), *stated_rules(spark))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(spark, _documents(spark, sf_dir))
 
 
 QUERIES = (
     op1_embedding_near_dedup, op2_minhash_near_dedup, op3_quality_rules, op4_license_scan, op5_html_main_text, op6_secret_scan, op7_bpe,
-    op8_mix_sources, op9_personal_data, op10_toxicity, op13_merkle_manifest,
+    op8_mix_sources, op9_personal_data, op10_toxicity, op11_url_filters, op13_merkle_manifest,
 )
 
 
@@ -92,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": sql.OP1, "op2_minhash_near_dedup": sql.OP2, "op3_quality_rules": sql.OP3, "op8_mix_sources": sql.OP8, "op13_merkle_manifest": sql.OP13}
+    return {"op1_embedding_near_dedup": sql.OP1, "op2_minhash_near_dedup": sql.OP2, "op3_quality_rules": sql.OP3, "op8_mix_sources": sql.OP8, "op11_url_filters": sql.OP11, "op13_merkle_manifest": sql.OP13}

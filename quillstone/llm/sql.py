@@ -1,5 +1,7 @@
 """The operators' results in SQL, where SQL can express them."""
 
+from quillstone.llm.url_filters import HOST_RULES, PATTERNS
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP8 = rf"""
@@ -126,3 +128,27 @@ WITH RECURSIVE d AS (
 SELECT d0.doc_id, leaf, subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
 FROM d0 JOIN e ON e.g = d0.g AND e.pos = d0.pos AND e.c = 1 JOIN s0 ON s0.g = d0.g, (SELECT h FROM u WHERE c = 1) r
 """
+
+_HOSTS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in HOST_RULES)
+_PATTERNS = ", ".join(f"('{p}')" for p in PATTERNS)
+_ESCAPED = r"regexp_replace(ltrim(replace(pattern, '@@', ''), '|'), '([^A-Za-z0-9%/\-])', '\\\1', 'g')"
+#: Every rule on every URL.
+OP11 = rf"""
+WITH x AS (
+  SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, strpos(coalesce(url, ''), '://') AS s FROM pages
+), y AS (
+  SELECT page_id, url, low, CASE WHEN s > 0 THEN regexp_extract(low[s + 3 :], '^[^/?#]*') ELSE '' END AS host, CASE WHEN s > 0 THEN url[s + 3 :] ELSE '' END AS rest FROM x
+), u AS (
+  SELECT page_id, url, low, host, regexp_extract(rest[length(host) + 1 :], '^[^?#]*') AS path FROM y
+), h AS (SELECT * FROM (VALUES {_HOSTS}) AS v(action, rule_host, rule_path)), r AS (
+  SELECT pattern, CASE WHEN starts_with(pattern, '@@') THEN 'allow' ELSE 'block' END AS action,
+         CASE WHEN pattern LIKE '||%' OR pattern LIKE '@@||%' THEN '^(?s:.*?)://(?:[^/?#]*\.)?' WHEN pattern LIKE '|%' OR pattern LIKE '@@|%' THEN '^' ELSE '' END ||
+         regexp_replace(replace(replace({_ESCAPED}, '\*', '(?s:.*)'), '\^', '(?:^|[^a-z0-9%]|\z)'), '\\\|$', '\\z') AS regex FROM (VALUES {_PATTERNS}) AS v(pattern)
+), a AS (
+  SELECT DISTINCT ON (url) url, rule_host || rule_path AS rule, action FROM u JOIN h ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  ORDER BY url, length(rule_host || rule_path) DESC, length(rule_host) DESC, action
+), b AS (
+  SELECT DISTINCT ON (url) url, pattern, r.action FROM u JOIN r ON regexp_matches(low, regex) ORDER BY url, r.action, length(pattern) DESC, encode(pattern)
+)
+SELECT page_id, host, path, rule, coalesce(a.action, b.action, 'allow') AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern FROM u LEFT JOIN a ON a.url = u.url LEFT JOIN b ON b.url = u.url
+"""
