@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import sql
 from quillstone.llm.bpe import bpe_encode
+from quillstone.llm.centroids import clustered
 from quillstone.llm.embedding_dedup import embedding_near_dedup
 from quillstone.llm.html_extract import extract_main_text
 from quillstone.llm.license_scan import license_scan
@@ -82,13 +83,17 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), *stated_rules(spark))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(spark, _documents(spark, sf_dir))
 
 
 QUERIES = (
     op1_embedding_near_dedup, op2_minhash_near_dedup, op3_quality_rules, op4_license_scan, op5_html_main_text, op6_secret_scan, op7_bpe,
-    op8_mix_sources, op9_personal_data, op10_toxicity, op11_url_filters, op13_merkle_manifest,
+    op8_mix_sources, op9_personal_data, op10_toxicity, op11_url_filters, op12_centroid_clusters, op13_merkle_manifest,
 )
 
 
@@ -97,4 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": sql.OP1, "op2_minhash_near_dedup": sql.OP2, "op3_quality_rules": sql.OP3, "op8_mix_sources": sql.OP8, "op11_url_filters": sql.OP11, "op13_merkle_manifest": sql.OP13}
+    return {
+        "op1_embedding_near_dedup": sql.OP1, "op2_minhash_near_dedup": sql.OP2, "op3_quality_rules": sql.OP3, "op8_mix_sources": sql.OP8,
+        "op11_url_filters": sql.OP11, "op12_centroid_clusters": sql.OP12, "op13_merkle_manifest": sql.OP13,
+    }

@@ -152,3 +152,31 @@ WITH x AS (
 )
 SELECT page_id, host, path, rule, coalesce(a.action, b.action, 'allow') AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern FROM u LEFT JOIN a ON a.url = u.url LEFT JOIN b ON b.url = u.url
 """
+
+
+def _round(r: int) -> str:
+    """Assignments to centroids c{r}, and from their means (whole, rounded down) the next centroids."""
+    return f"""d{r} AS MATERIALIZED (
+  SELECT v.vec_id, v.pos, v.x, c.n AS cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r} c
+), a{r} AS MATERIALIZED (
+  SELECT vec_id, pos, x, cluster, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY pos ORDER BY d, cluster) = 1
+), m{r} AS (
+  SELECT cluster, i, sum(y)::HUGEINT AS s, count(*)::HUGEINT AS k FROM (SELECT cluster, unnest(range(1, 65)) AS i, unnest(x) AS y FROM a{r}) GROUP BY cluster, i
+), c{r + 1} AS MATERIALIZED (
+  SELECT c.n, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT cluster, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS x FROM m{r} GROUP BY cluster) m ON m.cluster = c.n
+)"""
+
+
+OP12 = f"""
+WITH w AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(least(greatest(64 * x::DOUBLE, -134217728.0), 134217728.0))::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND NOT list_has_any(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), [true])
+), v AS MATERIALIZED (
+  SELECT vec_id, x, row_number() OVER () AS pos FROM w
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS n, x FROM v QUALIFY n < 16
+), {", ".join(map(_round, range(4)))}
+SELECT vec_id, cluster::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 c ON c.n = a3.cluster
+"""
