@@ -28,8 +28,17 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-_QUARTILES = ", ".join(f"quantile_disc({x}, 0.25) AS {x}_1, quantile_disc({x}, 0.75) AS {x}_3" for x in ("a", "b", "c", "d"))
-_CHOSEN = ", ".join(f"CASE WHEN o.n >= 100 THEN o.{x}_{q} WHEN g.n >= 100 THEN g.{x}_{q} ELSE z.{x}_{q} END AS {x}_{q}" for x in ("a", "b", "c", "d") for q in (1, 3))
+_PERCENTS = (25, 50, 75, 90, 99)
+
+
+def _cell(x: str) -> str:
+    """A value cut to a multiple of its range's step."""
+    ends = ((16, 1 / 1024), (256, 1 / 64), (4096, 1 / 4), (65536, 4), (1048576, 64))
+    return "CASE " + " ".join(f"WHEN {x} < {end} THEN floor({x} / {step}::DOUBLE) * {step}::DOUBLE" for end, step in ends) + f" ELSE floor({x} / 1024) * 1024 END"
+
+
+_QUANTILES = ", ".join(f"list_sort(list({_cell(x)}))[({p} * count(*) + 99) // 100] AS {x}_{p}" for x in ("a", "b", "c", "d") for p in _PERCENTS)
+_CHOSEN = ", ".join(f"CASE WHEN o.n >= 100 THEN o.{x}_{p} WHEN g.n >= 100 THEN g.{x}_{p} ELSE z.{x}_{p} END AS {x}_{p}" for x in ("a", "b", "c", "d") for p in _PERCENTS)
 
 OP3 = rf"""
 WITH t AS (
@@ -49,13 +58,13 @@ WITH t AS (
 ), x AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars::DOUBLE / greatest(n_words, 1) AS a, n_symbols::DOUBLE / greatest(n_words, 1) AS b,
          n_dup_lines::DOUBLE / greatest(n_lines, 1) AS c, n_repeat_words::DOUBLE / greatest(n_words, 1) AS d FROM f
-), o AS (SELECT lang, source, count(*) AS n, {_QUARTILES} FROM x WHERE NOT base_failed GROUP BY lang, source),
-g AS (SELECT lang, count(*) AS n, {_QUARTILES} FROM x WHERE NOT base_failed GROUP BY lang),
-z AS (SELECT count(*) AS n, {_QUARTILES} FROM x WHERE NOT base_failed),
+), o AS (SELECT lang, source, count(*) AS n, {_QUANTILES} FROM x WHERE NOT base_failed GROUP BY lang, source),
+g AS (SELECT lang, count(*) AS n, {_QUANTILES} FROM x WHERE NOT base_failed GROUP BY lang),
+z AS (SELECT count(*) AS n, {_QUANTILES} FROM x WHERE NOT base_failed),
 q AS (SELECT o.lang, o.source, {_CHOSEN} FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang, z)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(NOT base_failed AND a >= a_1 - 3 * greatest(a_3 - a_1, 0.5::DOUBLE) AND a <= a_3 + 3 * greatest(a_3 - a_1, 0.5::DOUBLE)
-         AND b <= b_3 + 3 * greatest(b_3 - b_1, 0.05::DOUBLE) AND c <= c_3 + 3 * greatest(c_3 - c_1, 0.15::DOUBLE) AND d <= d_3 + 3 * greatest(d_3 - d_1, 0.15::DOUBLE), false) AS kept
+       coalesce(NOT base_failed AND a >= a_25 - 4 * greatest(a_75 - a_25, 0.05::DOUBLE) AND a <= a_75 + 4 * greatest(a_75 - a_25, 0.05::DOUBLE)
+         AND b <= b_90 + 3 * greatest(b_90 - b_50, 0.01::DOUBLE) AND c <= c_99 + 2 * greatest(c_99 - c_50, 0.02::DOUBLE) AND d <= d_99 + 2 * greatest(d_99 - d_50, 0.02::DOUBLE), false) AS kept
 FROM x LEFT JOIN q ON x.lang IS NOT DISTINCT FROM q.lang AND x.source IS NOT DISTINCT FROM q.source
 """
 
