@@ -22,6 +22,11 @@ def planes(dim: int, bits: int, tables: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, bits * tables))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of 2, so that the largest component is near 1: no square over- or underflows, and no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def _signs(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
     """The code of each vector in each table."""
     key = (x.shape[1], bits, tables, seed)
@@ -40,7 +45,7 @@ def _codes(batches: Iterator[pd.DataFrame], bits: int, tables: int, seed: int, k
         for dim in np.unique(sizes):
             part = batch[sizes == dim]
             x = np.array(part["vector"].tolist(), dtype=np.float64)
-            codes = _signs(x, bits, tables, seed)
+            codes = _signs(scaled(x), bits, tables, seed)
             packed = list(map(bytes, x.astype(kind)))
             yield pd.DataFrame({"rep": part["rep"], "label": part["label"], "packed": packed, "copies": part["copies"], "item": part["item"], "codes": list(map(bytes, codes.astype("<u4"))), "code": codes.tolist()})
 
@@ -68,9 +73,10 @@ def _links(batches: Iterator[pd.DataFrame], threshold: float, kind: str) -> Iter
             continue
         run = run.sort_values("rep", kind="stable")
         rep, copies, table = run["rep"].to_numpy(), run["copies"].to_numpy(), int(run["table"].iat[0])
-        x = np.frombuffer(b"".join(run["packed"]), dtype=kind).reshape(n, -1).astype(np.float64)
+        x = scaled(np.frombuffer(b"".join(run["packed"]), dtype=kind).reshape(n, -1).astype(np.float64))
         norm = np.sqrt((x * x).sum(axis=1))
-        near = np.triu(x @ x.T >= threshold * norm[:, None] * norm[None, :] - 1e-12, 1)
+        unit = x / norm[:, None]
+        near = np.triu(unit @ unit.T >= threshold - 1e-9, 1)  # the slack is far above rounding; the exact test follows
         label = run["label"].to_numpy()
         near &= label[:, None] == label[None, :]  # two labels' buckets may clash
         if run["p"].iat[0] != run["q"].iat[0]:
@@ -104,7 +110,7 @@ def embedding_near_dedup(
     """One row per row of ``vectors``: its id, n_links, component_id, kept, and n_copies (equal vectors, itself included).
 
     Vectors of one label (null labels link with nothing; without ``label_col`` all are compared) whose cosine in
-    double precision is at least ``threshold`` are linked. Candidates share a sign code in one of ``tables`` tables.
+    double precision is at least ``threshold`` are linked, whatever their size (1e-200 or 1e200). Candidates share a sign code in one of ``tables`` tables.
     Equal vectors are collapsed first and counted as links to each other. A bucket is compared in pairs of blocks of
     ``block`` items, and a pair counts only in the first table whose code it shares, so pairs are never written:
     each run returns a count and a root per item.
