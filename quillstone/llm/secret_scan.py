@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.shared import Stage, arrow_map, as_struct, broadcast_if_small, from_struct
 
 #: Raise it when a rule changes: contents scanned under another version are scanned anew.
-RULE_VERSION = 3
+RULE_VERSION = 4
 
 _KEYWORD = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 #: Kind, pattern, the group whose length counts, least length; in the order of kinds in a digest. A run of a class is
@@ -24,9 +24,11 @@ RULES: list[tuple[str, str, int, int]] = [
     ("hex", r"[0-9a-f]{24,}", 0, 24),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
     ("platform", r"\bgh[pousr]_[A-Za-z0-9]{36,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bAIza[A-Za-z0-9_-]{35}|\bsk_(?:live|test)_[A-Za-z0-9]{16,}", 0, 1),
-    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("url_password", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@", 0, 1),
+    ("jwt", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?=(\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+))", 1, 1),
+    ("url_password", r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+://[^\s/:@]++:[^\s/:@]++@)", 1, 1),
 ]
+#: Where a token starts in the first run that the jwt rule finds.
+_TOKEN = re.compile(r"\beyJ(?=[A-Za-z0-9_-]{8})")
 BASE = ("assign", "access", "hex")
 _COMPILED = [(kind, re.compile(p), group, least) for kind, p, group, least in RULES]
 #: What a text must hold for any rule to match: one of these strings in lower case, or a run of 24 hex digits. A text
@@ -42,10 +44,20 @@ def screened(text: Column) -> Column:
     return found
 
 
+def _matches(kind: str, pattern: re.Pattern, group: int, least: int, text: str) -> Iterator[tuple[int, int]]:
+    last = 0
+    for m in pattern.finditer(text):
+        if kind == "jwt":  # a run is read once, however often it could start a token
+            if m.start() >= last and (t := _TOKEN.search(text, m.start(), m.end())):
+                last = m.end(group)
+                yield t.start(), last
+        elif m.end(group) - m.start(group) >= least:
+            yield (m.start(group) if kind == "url_password" else m.start()), m.end()
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
-    """(start, number of the kind, end) in code points, by start and then kind."""
-    found = [(m.start(), k, m.end()) for k, (_, p, group, least) in enumerate(_COMPILED) for m in p.finditer(text) if m.end(group) - m.start(group) >= least]
-    return sorted(found)
+    """(start, number of the kind, end) in code points, by start and then kind; in time linear in the text's length."""
+    return sorted((a, k, b) for k, rule in enumerate(_COMPILED) for a, b in _matches(*rule, text))
 
 
 def joined(spans: list[tuple[int, int, int]], names: list[str]) -> str:
@@ -94,7 +106,7 @@ def secret_scan(
     their distinct contents that the ledger lacks are scanned, and the findings go back to all rows with the content.
     Contents that the screen clears are clean under every ledger and never stored.
 
-    A null text is an empty one and clean. Repeated rows and null ids are kept, each with its content's findings. An
+    Texts of any length are scanned whole. A null text is an empty one and clean. A ledger may hold a blob more than once. Repeated rows and null ids are kept, each with its content's findings. An
     empty table gives no rows. Other columns are ignored.
     """
     stage = Stage(spark, "secret-scan")
@@ -103,7 +115,9 @@ def secret_scan(
     rows = stage.cut(rows, "screened")
     flagged = rows.where("text is not null")
     new = stage.cut(scan_unseen(spark, flagged, ledger, rule_version), "ledger")
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version).select(new.columns))
+    if ledger is not None:  # two runs at once may have added a blob twice
+        held = ledger.where(F.col("rule_version") == rule_version).select(new.columns).dropDuplicates(["blob"])
+    known = new if ledger is None else new.unionByName(held)
     hit = flagged.select("rid", "blob").join(known.drop("rule_version"), "blob")
     clean = rows.where("text is null").select("rid", "blob")
     clean = clean.select("*", *[F.lit(v).cast("long" if isinstance(v, int) else "string").alias(k) for k, v in CLEAN.items()])
