@@ -148,23 +148,30 @@ def fit(x: list[np.ndarray], gone: list[np.ndarray], come: list[np.ndarray], y:
     return Classifier(out, b)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, toxic, x, and what the counterfactual loses and gains) of at most ``sample`` labelled rows a class, without the held-out ids."""
+def known_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """(id, toxic) of each labelled id that may be learned from: one row per id, 1 if any of its labels is."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("id").cast("string")) % HOLD_OUT != 0))
+    return known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+
+
+def training_rows(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, toxic, x, and what the counterfactual loses and gains) of at most ``sample`` labelled ids a class; of an id with
+    several texts, the first in order counts, so there is one row per id."""
     order = [F.xxhash64("id"), F.col("id")]
-    few = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample))
-    few = few.groupBy("id").agg(F.max("toxic").alias("toxic"))  # at most 2 * sample rows: that bound allows the broadcast
+    few = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample))  # at most 2 * sample rows: that bound allows the broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(few), "id").select("id", "toxic", "text")
+    rows = texts.join(F.broadcast(few), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     return arrow_map(rows, _examples, "id long, toxic int, x binary, gone binary, come binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Classifier:
-    rows = training_rows(docs, labels, sample, id_col, text_col, label_col).toPandas().drop_duplicates("id").sort_values("id")
+    """Fitted on at most 2 * sample rows, each of at most BUCKETS features."""
+    known = known_labels(labels, id_col, label_col)
+    rows = training_rows(docs, known, sample, id_col, text_col).toPandas().sort_values("id")
     lists = [[np.frombuffer(v, dtype="<i4") for v in rows[c]] for c in ("x", "gone", "come")]
     y = rows["toxic"].to_numpy(dtype=np.float64)
-    counts = {r["toxic"]: r["n"] for r in labels.where(F.crc32(F.col(id_col).cast("long").cast("string")) % HOLD_OUT != 0).groupBy(F.col(label_col).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).where("toxic in (0, 1)").collect()}
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = np.array([counts[int(v)] / max(1, (y == v).sum()) for v in y]) if len(y) else np.zeros(0)
     return fit(*lists, y, weight, **options)
 
@@ -177,7 +184,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: in
     a penalty on the score change between each text and its counterfactual. The sample's features reach the driver; its
     bound is the parameter. Every text is scored where it is read; nothing of ``docs`` is shuffled.
 
-    A null or empty text gets the bias's score. Null ids are kept with held_out null. Labels other than 0 and 1 are
+    A null or empty text gets the bias's score. Null ids are kept, not held out. Of an id with several texts the first in order is learned from. Labels other than 0 and 1 are
     left out; an id labelled both ways counts as 1. Without labels of both classes every score is the (smoothed) share
     of 1. Repeated rows are kept. Other columns are ignored. An empty table gives no rows.
     """
@@ -193,4 +200,4 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: in
     rows = passed.select(*names, F.col(text_col).cast("string").alias("_text"))
     schema = StructType([*(rows.schema[c] for c in names), StructField("score", DoubleType())])
     scored = arrow_map(rows, f, schema)
-    return scored.select(*names, (F.crc32(F.col(id_col).cast("string")) % HOLD_OUT == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select(*names, F.coalesce(F.crc32(F.col(id_col).cast("string")) % HOLD_OUT == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
