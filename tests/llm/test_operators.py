@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -97,6 +98,21 @@ def test_embeddings_of_two_lengths(spark):
     assert got == {i: (0, i) for i, _, _ in rows} | {0: (1, 0), 20: (1, 0), 10: (1, 10), 30: (1, 10)}
 
 
+def test_embeddings_of_any_size(spark):
+    """Directions count, whatever the length: components of 1e200, 1e-200 and between; pairs at the threshold link alike."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 16))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other = rng.standard_normal((40, 16))
+    other -= (other * base).sum(1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    near = 0.98000001 * base + np.sqrt(1 - 0.98000001**2) * other
+    for size in (1e200, 1e-200, 8000.0, 1.0):
+        rows = [(i, (size * v).tolist(), 1) for i, v in enumerate(base)] + [(100 + i, (size * v).tolist(), 1) for i, v in enumerate(near)]
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_dedup(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+        assert all(got[i] == got[100 + i] == (1, i) for i in range(40))
+
+
 # ---------------------------------------------------------------- 2 MinHash
 
 
@@ -222,6 +238,30 @@ def test_quality_thresholds_adapt(spark):
     assert kept == set(range(120))
 
 
+def test_quality_judges_by_group(spark):
+    """The same shares pass in a source whose texts have them and fail in one whose texts don't; nulls and repeats stay rows."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))
+    text = lambda share: " ".join(word() + "#" * (rnd.random() < share) for _ in range(200))
+    rows = [(i, text(0.0 if i % 2 else rnd.uniform(0, 0.4)), "en", f"s{i % 2}") for i in range(400)]
+    same = " ".join(word() + "#" * (k % 4 == 0) for k in range(200))
+    rows += [(1000, same, "en", "s0"), (1001, same, "en", "s1"), (1001, same, "en", "s1"), (None, same, "en", "s0"), (None, None, None, None), (1002, same, None, None)]
+    rows += [(1003, "w" * 3_000_000 + " x" * 60, "en", "s1")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n long, cell int")
+    found = [sorted(map(str, quality.quality_rules(spark, df.repartition(n)).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)  # a sketch doesn't depend on the order of rows
+    got = [(r.doc_id, r.kept) for r in quality.quality_rules(spark, df).collect()]
+    assert {k for i, k in got if i == 1000} == {True} and [k for i, k in got if i == 1001] == [False, False]
+    assert sorted(k for i, k in got if i is None) == [False, True] and dict(got)[1003] is False
+
+
+def test_quality_sketch_is_exact_to_its_cells(spark):
+    values = [0.0, 0.00099, 1 / 1024, 15.9999, 16.0, 255.99, 4000.3, 65535.9, 1e6, 3e9]
+    got = [r.c for r in spark.createDataFrame([(v,) for v in values], "v double").select(quality.cell(F.col("v")).alias("c")).collect()]
+    for v, c in zip(values, got, strict=True):
+        assert c <= v and v - c < max(1 / 1024, v / 200) and (c == v or c < v)
+
+
 # ---------------------------------------------------------------- 4 licenses
 
 
@@ -427,17 +467,18 @@ def merged(pages, least_pages=html_extract.LEAST_PAGES):
     for n, (blocks, shapes) in enumerate(trees.values()):
         for b in blocks:
             page = on.setdefault(html_extract._branch(b), (b, {}))[1].setdefault(n, (set(), shapes[b.parent]))
-            page[0].add(b.text)
+            page[0].add((b.text, b.linked))
     entropy = lambda seen, m: -sum(seen.count(x) / m * math.log(seen.count(x) / m, m) for x in set(seen))
     out = {}
     for branch, (b, per) in on.items():
         m = len(per)
         if m < least_pages:
             continue
-        texts = [t for ts, _ in per.values() for t in ts]
+        texts = [t for ts, _ in per.values() for t, _ in ts]
+        links = sum(x for ts, _ in per.values() for _, x in ts) / sum(map(len, texts))
         content = sum(1 - math.log(texts.count(t), m) for t in texts) / len(texts)
         presentation = max(entropy([len(ts) for ts, _ in per.values()], m), entropy([s for _, s in per.values()], m))
-        out[branch] = content, presentation, (content + presentation) / 2 + html_extract.prior(b.main, b.mark)
+        out[branch] = content, presentation, (content + presentation) / 2 * (1 - links / 2) + html_extract.prior(b.main, b.mark)
     return out
 
 
@@ -460,12 +501,46 @@ def test_style_tree_is_merge_and_entropy(spark):
     assert all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k], strict=True))
     out = {r.page_id: r.text for r in html_extract.extract_main_text(spark, rows).collect()}
     for i, p in enumerate(pages):
-        keep = [b for b in html_extract.page_tree(p)[0] if (html_extract._branch(b) in want and want[html_extract._branch(b)][2] >= html_extract.LEAST_IMPORTANCE) or (html_extract._branch(b) not in want and not b.mark)]
+        blocks = html_extract.page_tree(p)[0]
+        alone = dict(zip(map(html_extract._branch, blocks), html_extract.kept_alone(blocks), strict=True))
+        keep = [b for b in blocks if (want[x][2] >= html_extract.LEAST_IMPORTANCE if (x := html_extract._branch(b)) in want else alone[x])]
         assert out[i] == "\n".join(b.text for b in keep)
         # a name alone doesn't drop what varies as an article does; an advert of a fixed shape, a shared strip and comments go
         assert f"T{i}" in out[i] and "\nw0." in out[i] and not re.search(r"Buy|Join|^c0|\nc0|^\d", out[i])
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>A<section class='related-work'>B</section><div id='comments-on-the-law'>C</div><div class='side-effects'>D</div><div class='notice-period promo-article'>E</div></article>", "A\nB\nC\nD\nE"),
+        ("<div class='side-effects'>D</div><div class='notice-period'>E</div><div class='promo-article'>F</div><div class='related-posts'>N</div><div class='comment-list'>N</div><div class='ad-slot-2'>N</div>", "D\nE\nF"),
+        ("<form id='aspnetForm'><div><h1>T</h1><p>Text of the page, that a form wraps.</p></div><nav><a href='/'>Home</a></nav></form><div>Site</div>", "T\nText of the page, that a form wraps."),
+        ("<form>Sign in: <label>name</label></form><p>Text of a page with a form beside it, not around.</p>", "Text of a page with a form beside it, not around."),
+        ("<p>Some text with <a href='x'>a link</a> in it.</p><ul class='x1'><li><a href='/a'>One</a><li><a href='/b'>Two</a></ul><h2><a href='/'>Linked title</a></h2>", "Some text with a link in it.\nLinked title"),
+        ("<article><p>Read:</p><ul><li><a href='/a'>One source</a><li><a href='/b'>Another</a></ul></article>", "Read:\nOne source\nAnother"),
+    ],
+)
+def test_names_alone_drop_no_article(spark, page, text):
+    got = html_extract.extract_main_text(spark, spark.createDataFrame([(1, "http://h", page)], "page_id long, url string, html string")).first().text
+    assert got.startswith(text) and got.replace(text, "").strip() in ("", "Site")
+
+
+def test_style_tree_settles_either_way(spark):
+    """Of branches that names and tags alone would judge: a varied body in a marked part is saved, unmarked link lists and strips go."""
+    rnd = random.Random(6)
+    pages = []
+    for i in range(40):
+        body = "".join(f"<{t}>{rnd.random()} {i}</{t}>" for t in rnd.choices(["p", "h3", "blockquote"], k=rnd.randint(1, 30)))
+        menu = "".join(f"<div><a href='/{x}'>{rnd.random()}</a></div>" for x in range(rnd.randint(3, 5)))
+        pages.append(f"<div class='z'>{menu}</div><aside>{body}</aside><div class='y'>Join our club</div><aside class='q'>{rnd.random()}</aside>")
+    rows = spark.createDataFrame([(i, "https://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    outline = shared.arrow_map(rows.selectExpr("page_id as page", "url as host", "html"), html_extract._outline, html_extract._OUTLINE)
+    tree = html_extract.style_tree(outline).where("mark = 4 and presentation > 0.5")
+    assert tree.where("importance >= 0.4").count() > 0
+    for r in html_extract.extract_main_text(spark, rows).collect():
+        assert not re.search("Join", r.text) and r.text
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<div>", "<b><p>x", "<!", "<textarea>", "<nav><div>", "<div></b>", "<!--", '<a "', "<", "<p>x &amp; y</p>", "<p hidden ", "<li>", "<iframe>", "x"])
 def test_long_pages_take_linear_time(unit):
     page = "<div><b>" * 50 + unit * (1_000_000 // len(unit))
@@ -755,16 +830,27 @@ def test_toxicity(spark):
     held = [i for i in truth if got[i].held_out]
     assert 60 < len(held) < 200 and sum(got[i].predicted == truth[i] for i in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
-    assert got[1000].score == got[1001].score and got[1004].predicted == 1 and got[None].held_out is None
+    assert got[1000].score == got[1001].score and got[1004].predicted == 1 and got[None].held_out is False
     # the penalty keeps neutral mentions apart from the label they go with
     assert abs(got[1002].score - got[1003].score) < 0.05 and got[1002].predicted == 0
-    import zlib
-
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in truth)
     assert toxicity.toxicity(spark, docs.limit(0), labels).count() == 0
     assert toxicity.toxicity(spark, docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_each_id_once(spark):
+    """An id repeated thousands of times is one row of the sample, and which of its texts counts is no chance."""
+    rows = [(1, f"vile {i % 7}") for i in range(20_000)] + [(2, "kind words"), (3, "nice day"), (4, "vile thing"), (6, "x " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 0), (3, 0), (4, 1), (4, 1), (6, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    known = toxicity.known_labels(labels)
+    want = {i: t for i, t in [(1, 1), (2, 0), (3, 0), (4, 1), (6, 0)] if zlib.crc32(str(i).encode()) % 5}
+    assert {r.id: r.toxic for r in known.collect()} == want
+    got = [bytes(r.x) for r in toxicity.training_rows(docs, known).orderBy("id").collect()]
+    assert len(got) == len(want)
+    assert got == [bytes(r.x) for r in toxicity.training_rows(docs.repartition(3), known).orderBy("id").collect()]
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     both_ = registry.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
@@ -825,6 +911,30 @@ def test_stages_on_odd_rows(spark, sf_dir, name):
     assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["-eyJ", "eyJabcdefgh.", "eyJabcdefgh-eyJ", "a://", "a://b:c", "ab+", "x.eyJabcdefghi.eyJabcdefghi", "token=", "AKIA", "0a", "-----BEGIN PRIVATE KEY-----A"])
+def test_secret_rules_take_linear_time(unit):
+    began = time.process_time()
+    secret_scan.spans_of(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 20
+
+
+def test_secret_rules_of_the_method():
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    kinds = [r[0] for r in secret_scan.RULES]
+    found = lambda t: [(kinds[k], t[a:b]) for a, k, b in secret_scan.spans_of(t) if kinds[k] in ("jwt", "url_password")]
+    assert found(f"x {jwt} y") == [("jwt", jwt)] and found(f"é-{jwt}") == [("jwt", jwt)] and found(f"a.{jwt}!") == [("jwt", jwt)] and found(f"a{jwt}") == []
+    assert found(f"{jwt}.{jwt}")[0] == ("jwt", jwt) and found("eyJshort.eyJhbGciOiJI.eyJhbGciOiJI.eyJhbGciOiJI") == [("jwt", "eyJhbGciOiJI.eyJhbGciOiJI.eyJhbGciOiJI")]
+    assert found("postgres+psycopg2-binary-driver://u:p@h") == [("url_password", "postgres+psycopg2-binary-driver://u:p@")]
+    assert found("9http://user:pw@h http://h:80/@ s://:x@") == [("url_password", "http://user:pw@")]
+
+
+def test_ledger_may_hold_a_blob_twice(spark):
+    docs = documents(spark, ["password = hunter22", "clean", "token: abcdef123"])
+    findings, new = secret_scan.secret_scan(spark, docs)
+    again, none = secret_scan.secret_scan(spark, docs, new.unionByName(new))
+    assert sorted(map(str, again.collect())) == sorted(map(str, findings.collect())) and none.count() == 0
+
+
 def test_kept_ledger(spark, tmp_path):
     docs, path = documents(spark, secret_texts()[:80]), str(tmp_path / "ledger")
     first = {r.doc_id: r.spans for r in secret_scan.kept_secret_scan(spark, docs, path).collect()}
