@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators.answering import DISCLAIMER, OUT_OF_SCOPE_ANSWER, coverage, final_answers, graph_statistics, path_edges, report_texts, rephrased, retry_mode, sub_questions, trajectories
-from quillstone.operators.ranking import top_n
+from quillstone.operators.answering import (
+    DISCLAIMER, OUT_OF_SCOPE_ANSWER, final_answers, graph_statistics, path_edges, report_texts, retry_mode, sub_questions, trajectories,
+)
 from quillstone.operators.verification import OUT_OF_SCOPE, qa_metrics, routed
 from quillstone.plans.answers import _has
 from quillstone.plans.catalog import SQL, query, table
 from quillstone.plans.clinical import _ASSESSED, _TEST, _UNIT, _classes, caregap_missing, caregap_out_of_target
-from quillstone.plans.retrieval import _FUSED, _HYBRID, _fused, hybrid
+from quillstone.plans.retrieval import _FUSED, _fused
 
 _ONCE = r"regexp_replace({}, '(^|[^\p{{L}}\p{{N}}_])(and|with|for)($|[^\p{{L}}\p{{N}}_])', '\1,\3', 'gi')"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -27,18 +28,6 @@ def question_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(1)).alias("second"))
 
 
-@query(f"""WITH {_HYBRID}, r AS (SELECT *, item_id % 2 AS part, row_number() OVER (PARTITION BY query_id, item_id % 2 ORDER BY final DESC, item_id) AS rank FROM best QUALIFY rank <= 10),
-cov AS (SELECT query_id, part, max(fused) AS top, count(DISTINCT canonical) AS documents, count(*) AS evidence FROM r GROUP BY ALL)
-SELECT query_id, part, round(top, 4) AS top, documents, evidence, CASE WHEN top >= 0.12 AND documents >= 2 THEN 'strong' WHEN top >= 0.03 THEN 'partial' ELSE 'none' END AS coverage,
-CASE WHEN NOT (top >= 0.12 AND documents >= 2) THEN 'Try searching with standard medical nomenclature: ''part ' || part || ' of ' || query_id || ' diagnosis treatment guidelines''' END AS rephrase FROM cov""")
-def sub_question_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of a query's two halves as hits of its sub-questions: evidence, class, and what to ask instead."""
-    best = top_n(hybrid(spark, sf_dir).withColumn("part", F.col("item_id") % 2), ["query_id", "part"], [F.desc("final"), F.asc("item_id")], 10)
-    found = coverage(best, ["query_id", "part"], "fused", "canonical")
-    asked = F.format_string("What is part %d of %d?", "part", "query_id")
-    return found.withColumn("rephrase", F.when(F.col("coverage") != "strong", rephrased(asked)))
-
-
 @query(f"""WITH m AS ({SQL["caregap_missing"]}), o AS ({SQL["caregap_out_of_target"]}), a AS (SELECT user_id, count(*) AS missing, 0 AS outside FROM m GROUP BY user_id UNION ALL SELECT user_id, 0, count(*) FROM o GROUP BY user_id),
 s AS (SELECT user_id, sum(missing)::BIGINT AS missing, sum(outside)::BIGINT AS outside FROM a GROUP BY user_id)
 SELECT user_id, missing, outside, 'Identified ' || (missing + outside) || ' item(s):' || CASE WHEN outside > 0 THEN chr(10) || ' - ' || outside || ' value(s) outside targets.' ELSE '' END || CASE WHEN missing > 0 THEN chr(10) || ' - ' || missing || ' check(s) not observed.' ELSE '' END AS summary FROM s""")
