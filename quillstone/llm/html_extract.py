@@ -291,9 +291,14 @@ def _code(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 15)
+def _node(branch: int, main: bool, mark: int) -> int:
+    return _code(f"{branch} {main:d} {mark}")
+
+
 def _branch(b: Block) -> int:
     """The style tree's node of a block: branches in and outside articles, and marked and clear ones, are judged apart."""
-    return _code(f"{b.branch} {b.main:d} {b.mark}")
+    return _node(b.branch, b.main, b.mark)
 
 
 def prior(main: bool, mark: int) -> float:
@@ -307,13 +312,13 @@ def importance(entropy: float, links: float, main: bool, mark: int) -> float:
 
 def kept_alone(blocks: list[Block]) -> list[bool]:
     """Which blocks a page keeps without its host's other pages: branches have no entropy, but links and priors."""
-    chars: dict[int, list[int]] = {}
+    chars: dict[tuple, list[int]] = {}
     for b in blocks:
-        own = chars.setdefault(_branch(b), [0, 0])
+        own = chars.setdefault((b.branch, b.main, b.mark), [0, 0])
         own[0] += len(b.text)
         own[1] += b.linked
-    share = {branch: linked / n for branch, (n, linked) in chars.items()}
-    return [importance(UNKNOWN, share[_branch(b)], b.main, b.mark) >= LEAST_IMPORTANCE for b in blocks]
+    stays = {(branch, main, mark): importance(UNKNOWN, linked / n, main, mark) >= LEAST_IMPORTANCE for (branch, main, mark), (n, linked) in chars.items()}
+    return [stays[b.branch, b.main, b.mark] for b in blocks]
 
 
 _OUTLINE = "page long, host string, content long, branch long, text long, main boolean, mark int, parent long, shape long, alone boolean, chars long, linked long"
