@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,8 +11,15 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.expressions import clean_null, sentences
 
-#: Estimated tokens a chunk aims at and needs, and share of its last words that the next one begins with.
-TARGET, LEAST, OVERLAP = 500, 300, 0.15
+#: Estimated tokens a chunk aims at and needs, share of its last words that the next one begins with, and tokens above which it is told of.
+TARGET, LEAST, OVERLAP, HARD_MOST = 500, 300, 0.15, 800
+# What marks a sentence with measurements, tables or ranges, which is never put together with others beyond the target.
+DENSE = (
+    r"(?i)([0-9]+\s*[-–]\s*[0-9]+"
+    r"|[0-9]+\.?[0-9]*\s*(?:mg|mL|mcg|µg|IU|mmol|mEq|kg|g|L|dL|µL|U/L|pg|ng|nmol|mmHg|bpm|%|sec|min|ms|ug|meq|mosm|mOsm|mEq/L|g/dL|ng/mL|µmol/L|pmol)\b"
+    r"|\bTable\s+[0-9]+|\|\s*\w|[0-9]+\.[0-9]+\s+\w{2,})"
+)
+_DENSE = re.compile(DENSE)
 NUMERIC = r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:mg|g|kg|ml|l|mmol|umol|µmol|mcg|ng|iu|u|%|mm|cm|bpm)\b|[0-9]+(?:\.[0-9]+)?\s*[-–]\s*[0-9]+"
 
 
@@ -22,13 +30,18 @@ def estimate(text: str) -> int:
 def accumulate(parts: list[str], target: int = TARGET, least: int = LEAST, overlap: float = OVERLAP) -> list[str]:
     """Sentences gathered until the next would pass the target; a flushed chunk lends its last words to the next.
 
-    A chunk is flushed only from ``least`` on, so it may pass the target before that.
+    A chunk is flushed only from ``least`` on, so it may pass the target before that. A sentence with measurements that
+    passes the target by itself is a chunk alone, and what was gathered before it another; neither lends words.
     """
     out: list[str] = []
     held: list[str] = []
     size = fresh = 0
     for s in parts:
         n = estimate(s)
+        if n > target and _DENSE.search(s):
+            out += [" ".join(held)] * bool(fresh) + [s]
+            held, size, fresh = [], 0, 0
+            continue
         if held and size + n > target and size >= least:
             chunk = " ".join(held)
             out.append(chunk)
@@ -44,7 +57,8 @@ def accumulate(parts: list[str], target: int = TARGET, least: int = LEAST, overl
 
 
 def chunk_bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, chunk_id, text, tokens): the chunks of each text. Sentences are cut natively; the scan over them is per text."""
+    """(id, n, chunk_id, text, tokens, warning): the chunks of each text, and what is to be said of one above HARD_MOST tokens.
+    Sentences are cut natively; the scan over them is per text."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), sentences(F.col(text_col)).alias("parts"))
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,7 +67,8 @@ def chunk_bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame(out, columns=["id", "n", "text", "tokens"])
 
     chunks = rows.mapInPandas(f, "id string, n int, text string, tokens int")
-    return chunks.select("id", "n", F.concat("id", F.lit("__c"), F.col("n").cast("string")).alias("chunk_id"), "text", "tokens")
+    warning = F.when(F.col("tokens") > HARD_MOST, F.format_string("chunk %d: %d tokens (numeric block hard-max exceeded, kept atomic)", "n", "tokens"))
+    return chunks.select("id", "n", F.concat("id", F.lit("__c"), F.col("n").cast("string")).alias("chunk_id"), "text", "tokens", warning.alias("warning"))
 
 
 def numeric_islands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.expressions import key16, safe_float
-from quillstone.operators.lab import RANGES, assessed, normalised
+from quillstone.operators.lab import assessed, normalised
 from quillstone.operators.tabular import field
 
 # What a category holds for each kind of citation that can be asked for.
@@ -56,6 +56,10 @@ def chunk_nodes(chunks: DataFrame, documents: DataFrame, document: str = "docume
     return out.withColumns(typed)
 
 
+# The bounds that a report's page shows for tests that come without, by a part of the test's name.
+SHOWN_RANGES = [("creatinine", 53.0, 115.0), ("potassium", 3.5, 5.0), ("hba1c", 4.0, 5.7), ("a1c", 4.0, 5.7), ("glucose", 3.9, 5.6), ("egfr", 60.0, 120.0)]
+
+
 def citations_of(citations: DataFrame, by: str, category: str, score: str, item: str) -> DataFrame:
     """(shown, by, item, rank): a query's citations of every kind that can be asked for, and all of them, best score first."""
     low = F.lower(F.coalesce(F.col(category), F.lit("")))
@@ -65,11 +69,12 @@ def citations_of(citations: DataFrame, by: str, category: str, score: str, item:
     return each.select("shown", by, item, F.row_number().over(order).alias("rank"))
 
 
-def with_default_ranges(spark: SparkSession, values: DataFrame, key: str = "canonical", low: str = "ref_low", high: str = "ref_high") -> DataFrame:
-    """``low`` and ``high`` as a report gives them, each else the reference's bound of that test. The table is fixed and small."""
-    known = spark.createDataFrame([r[:3] for r in RANGES], f"{key} string, _low double, _high double")
-    out = values.join(F.broadcast(known), key, "left")
-    return out.withColumns({low: F.coalesce(low, "_low"), high: F.coalesce(high, "_high")}).drop("_low", "_high")
+def with_default_ranges(values: DataFrame, name: str = "test_name", low: str = "ref_low", high: str = "ref_high") -> DataFrame:
+    """``low`` and ``high`` as a report gives them both; if either is missing, both of the first kind of test that is part of the name, if any."""
+    told = F.lower(F.coalesce(F.col(name), F.lit("")))
+    lacks = F.col(low).isNull() | F.col(high).isNull()
+    ends = [F.coalesce(*[F.when(told.contains(part), F.lit(bound)) for part, *bounds in SHOWN_RANGES for bound in bounds[i : i + 1]], F.col(end)) for i, end in enumerate((low, high))]
+    return values.withColumns({low: F.when(lacks, ends[0]).otherwise(F.col(low)), high: F.when(lacks, ends[1]).otherwise(F.col(high))})
 
 
 def interpreted(spark: SparkSession, values: DataFrame, ranges: DataFrame, by: list[str], order: str, source: str, kind: str) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.expressions import any_of, sentences
+from quillstone.functions.expressions import any_of
 
 # Words that send a question one way or the other, and what ends an answer as a refusal.
 RELATIONAL = ["which drugs", "what drugs", "drugs treat", "what tests", "lab test for", "interactions", "side effects of", "causes of", "treats", "mapped to", "relationship between", "mechanism of action"]
 OUT_OF_SCOPE = ["poem", "haiku", "sing", "code", "python", "weather", "recipe", "joke", "capital of", "who wrote", "sports", "football"]
-#: Phrases of caution, and what marks a sentence about the evidence rather than of it.
-DISCARDED = ["consult", "disclaimer", "not a substitute", "i am an ai"]
-
+MEDICAL = [
+    "guideline", "treatment", "diagnosis", "symptom", "dosage", "inr", "hemoglobin", "troponin", "metformin", "aspirin", "dvt", "sepsis",
+    "potassium", "hyperkalemia", "beta blocker", "ace inhibitor", "hypertension", "disease", "drug", "blood pressure", "anemia", "cardiac", "infarction",
+]
+# What marks a sentence about the evidence rather than of it.
 ASIDES = [
     "this is information",
     "medical advice",
@@ -45,11 +47,10 @@ def routed(text: Column, has_report: Column, whole_words: bool = False) -> Colum
     return F.when(has_report, "report").when(hit(OUT_OF_SCOPE), "out_of_scope").when(hit(RELATIONAL), "knowledge_graph").otherwise("medical_query")
 
 
-def claims(answer: Column, most: int = 4, discarded: list[str] = DISCARDED) -> Column:
-    """The first sentences that aren't phrases of caution; the first sentence if all are."""
-    every = sentences(answer)
-    kept = F.slice(F.filter(every, lambda s: ~any_of(F.lower(s), discarded)), 1, most)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(every, 1, 1))
+def mechanism(text: Column, has_report: Column) -> Column:
+    """rule_first where a rule decides the route (a word of medicine is one), else rule_default."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(has_report | any_of(low, [*OUT_OF_SCOPE, *RELATIONAL, *MEDICAL]), "rule_first").otherwise("rule_default")
 
 
 def labelled_claims(answer: Column, cited: Column, most: int = 4) -> Column:
@@ -87,7 +88,12 @@ def tier(confidence: Column) -> Column:
 
 
 def answer_status(refused: Column, contradicted: Column, confidence: Column) -> Column:
-    return F.when(refused, "refused").when(contradicted, "contradiction_detected").when(confidence >= 0.75, "verified").when(confidence >= 0.5, "caution").otherwise("uncertain")
+    return F.when(refused, "refusal").when(contradicted, "contradiction_detected").when(confidence >= 0.75, "verified").when(confidence >= 0.5, "caution").otherwise("uncertain")
+
+
+def needs_retry(refused: Column, contradicted: Column, confidence: Column, least: float = 0.5) -> Column:
+    """Whether an answer is tried again: not a refusal, and of low confidence or contradicted by its evidence."""
+    return ~refused & ((confidence < least) | contradicted)
 
 
 def choice(answer: Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators.verification import ASIDES, OUT_OF_SCOPE, RELATIONAL, answer_status, choice, faithfulness, final_confidence, labelled_claims, qa_metrics, routed, tier, upper_median, verdict
+from quillstone.operators.verification import (
+    ASIDES, MEDICAL, OUT_OF_SCOPE, RELATIONAL, answer_status, choice, faithfulness, final_confidence, labelled_claims, mechanism, needs_retry, qa_metrics, routed, tier,
+    upper_median, verdict,
+)
 from quillstone.plans.catalog import query, table
 
 
@@ -19,6 +22,13 @@ def route_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", routed(F.col("text"), (F.col("turn") == 0) & (F.col("conv_id") % 10 == 0)).alias("route"))
 
 
+@query(f"""SELECT conv_id, turn, CASE WHEN (turn = 0 AND conv_id % 10 = 0) OR {_has(OUT_OF_SCOPE)} OR {_has(RELATIONAL)} OR {_has(MEDICAL)} THEN 'rule_first' ELSE 'rule_default' END AS mechanism FROM conversations WHERE role = 'user'""")
+def route_mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a rule decided a turn's route."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", mechanism(F.col("text"), (F.col("turn") == 0) & (F.col("conv_id") % 10 == 0)).alias("mechanism"))
+
+
 _CITED = "['[E1]', '[E' || (1 + turn % 3) || ']']"
 _ASIDE = " OR ".join(f"contains(lower(s), '{p}')" for p in ASIDES)
 
@@ -56,11 +66,12 @@ def answer_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_FAITH}, c AS (SELECT answer, contradicted, o_orderstatus = 'P' AS refused, round(least(1, greatest(0, 0.4::DOUBLE * least(1, o_totalprice / 400000) + 0.6::DOUBLE * faithfulness)), 3) AS confidence FROM f JOIN orders ON o_orderkey = answer)
 SELECT answer, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS tier,
-CASE WHEN refused THEN 'refused' WHEN contradicted THEN 'contradiction_detected' WHEN confidence >= 0.75 THEN 'verified' WHEN confidence >= 0.5 THEN 'caution' ELSE 'uncertain' END AS status FROM c""")
+NOT refused AND (confidence < 0.5 OR contradicted) AS need_retry, CASE WHEN refused THEN 'refusal' WHEN contradicted THEN 'contradiction_detected' WHEN confidence >= 0.75 THEN 'verified' WHEN confidence >= 0.5 THEN 'caution' ELSE 'uncertain' END AS status FROM c""")
 def final_confidence_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("answer"), (F.col("o_orderstatus") == "P").alias("refused"), F.least(F.lit(1.0), F.col("o_totalprice") / 400000).alias("evidence"))
     c = _faith(spark, sf_dir).join(o, "answer").withColumn("confidence", final_confidence(F.col("evidence"), F.col("faithfulness")))
-    return c.select("answer", "confidence", tier(F.col("confidence")).alias("tier"), answer_status(F.col("refused"), F.col("contradicted"), F.col("confidence")).alias("status"))
+    again = needs_retry(F.col("refused"), F.col("contradicted"), F.col("confidence")).alias("need_retry")
+    return c.select("answer", "confidence", again, tier(F.col("confidence")).alias("tier"), answer_status(F.col("refused"), F.col("contradicted"), F.col("confidence")).alias("status"))
 
 
 _ANSWER = "CASE l_partkey % 7 WHEN 0 THEN 'Please consult your doctor' WHEN 1 THEN 'no idea' ELSE 'Answer: ' || chr((65 + l_suppkey % 4)::INT) || ' because' END"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators.lab import RANGES
-from quillstone.operators.projections import ESCALATION, batches, chunk_nodes, citations_of, interpreted, test_nodes, with_default_ranges
+from quillstone.operators.projections import ESCALATION, SHOWN_RANGES, batches, chunk_nodes, citations_of, interpreted, test_nodes, with_default_ranges
 from quillstone.plans.catalog import query, table
 from quillstone.plans.clinical import measurements
 from quillstone.plans.tabular import CRITICAL, _clean, _table
@@ -72,13 +72,18 @@ _KNOWN = ", ".join(f"('{n}', {low}::DOUBLE, {high}::DOUBLE)" for n, low, high, *
 _NAME = "CASE event_type WHEN 'click' THEN 'Creatinine' WHEN 'view' THEN 'Hemoglobin A1c' WHEN 'purchase' THEN 'Potassium' WHEN 'signup' THEN 'Glucose' ELSE 'Ferritin' END"
 
 
-@query(f"""SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 20.0::DOUBLE END, r.low) AS ref_low, coalesce(CASE WHEN event_id % 5 = 0 THEN 80.0::DOUBLE END, r.high) AS ref_high
-FROM (SELECT event_id, {_NAME} AS name FROM events) LEFT JOIN (VALUES {_KNOWN}) r(name, low, high) USING (name)""")
+_SHOWN = "CASE event_type WHEN 'click' THEN 'Creatinine, serum' WHEN 'view' THEN 'Hemoglobin A1C' WHEN 'purchase' THEN 'POTASSIUM' WHEN 'signup' THEN 'eGFR (MDRD)' ELSE 'Ferritin' END"
+_PARTS = [f"WHEN contains(lower(name), '{part}') THEN {{{i}}}" for i, (part, *_) in enumerate(SHOWN_RANGES)]
+_LOWS, _HIGHS = ("CASE " + " ".join(_PARTS).format(*[f"{r[i]}::DOUBLE" for r in SHOWN_RANGES]) + " ELSE {} END" for i in (1, 2))
+
+
+@query(f"""WITH m AS (SELECT event_id, {_SHOWN} AS name, CASE WHEN event_id % 3 = 0 THEN 20.0::DOUBLE END AS low, CASE WHEN event_id % 5 = 0 THEN 80.0::DOUBLE END AS high FROM events)
+SELECT event_id, CASE WHEN low IS NULL OR high IS NULL THEN {_LOWS.format("low")} ELSE low END AS ref_low, CASE WHEN low IS NULL OR high IS NULL THEN {_HIGHS.format("high")} ELSE high END AS ref_high FROM m""")
 def default_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements with the bounds that some reports leave out."""
     own = {"ref_low": F.when(F.col("event_id") % 3 == 0, 20.0), "ref_high": F.when(F.col("event_id") % 5 == 0, 80.0)}
-    m = table(spark, sf_dir, "events").select("event_id", F.expr(_NAME).alias("canonical")).withColumns(own)
-    return with_default_ranges(spark, m).select("event_id", "ref_low", "ref_high")
+    m = table(spark, sf_dir, "events").select("event_id", F.expr(_SHOWN).alias("test_name")).withColumns(own)
+    return with_default_ranges(m).select("event_id", "ref_low", "ref_high")
 
 
 _FACTOR = "CASE event_type WHEN 'click' THEN 88.4::DOUBLE WHEN 'signup' THEN 0.0555::DOUBLE ELSE 1.0::DOUBLE END"

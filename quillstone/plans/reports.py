@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.tables import broadcast_if_small
+from quillstone.operators.answering import DISCLAIMER
+from quillstone.operators.evidence import overall
 from quillstone.operators.graph import path_text
 from quillstone.operators.ranking import top_n, within_budget
-from quillstone.plans.catalog import query, table
+from quillstone.plans.catalog import SQL, query, table
 from quillstone.plans.clinical import measurements
-from quillstone.plans.retrieval import _HYBRID, hybrid
-
-DISCLAIMER = "This is no medical advice."
-
+from quillstone.plans.retrieval import _HYBRID, evidence_confidence, hybrid
 
 @query(f"""WITH {_HYBRID}, r AS (SELECT b.query_id, b.item_id, d.source, row_number() OVER (PARTITION BY b.query_id ORDER BY b.final DESC, b.item_id) AS rank, greatest(1, length(d.text) // 4)::BIGINT AS tokens FROM best b JOIN documents d ON d.doc_id = b.item_id),
 t AS (SELECT *, 150 + sum(tokens) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS total FROM r)
@@ -66,14 +65,13 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurements(spark, sf_dir).select("event_id", status.alias("status"), said.alias("said"))
 
 
-@query("""SELECT user_id, count(*) FILTER (n >= 14) AS strong, count(*) FILTER (n BETWEEN 10 AND 13) AS partial, count(*) FILTER (n < 10) AS none, CASE WHEN count(*) FILTER (n < 10) = 0 AND count(*) FILTER (n >= 14) >= 3 THEN 'strong'
-WHEN count(*) FILTER (n >= 10) > 0 THEN 'partial' ELSE 'none' END AS overall FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id""")
+@query(f"""WITH c AS (SELECT label, coverage FROM ({SQL["evidence_confidence"]}) JOIN embeddings ON vec_id = query_id), n AS (SELECT label, count(*) FILTER (coverage = 'strong') AS strong, count(*) FILTER (coverage = 'partial') AS partial,
+count(*) FILTER (coverage = 'none') AS none, count(*) AS n FROM c GROUP BY label) SELECT label, strong, partial, none, CASE WHEN none = n THEN 'none' WHEN strong = n OR (strong >= 1 AND none = 0) THEN 'strong'
+WHEN strong >= 1 OR partial > 0 THEN 'partial' ELSE 'none' END AS overall FROM n""")
 def coverage_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of a user's series have enough evidence, and the verdict over them."""
-    n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    strong, partial, none = F.count_if(F.col("n") >= 14), F.count_if(F.col("n").between(10, 13)), F.count_if(F.col("n") < 10)
-    overall = F.when((none == 0) & (strong >= 3), "strong").when(strong + partial > 0, "partial").otherwise("none")
-    return n.groupBy("user_id").agg(strong.alias("strong"), partial.alias("partial"), none.alias("none"), overall.alias("overall"))
+    """How many of a label's vector queries have enough evidence, and the verdict over them."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    return overall(evidence_confidence(spark, sf_dir).join(e, "query_id"), ["label"])
 
 
 @query("SELECT b.p_brand AS brand, count(*) AS parts, min(p_partkey) AS first FROM (SELECT DISTINCT p_brand FROM part) b JOIN part p ON contains(lower(p.p_brand || ' ' || p.p_type), lower(b.p_brand)) GROUP BY b.p_brand")
