@@ -90,7 +90,7 @@ class ProductIndex:
         length = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").first()
         rows = rows.where(F.size("v") == (length.s if length else 0))
         few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-        x = np.array(few["v"].tolist(), dtype=np.float64).reshape(len(few), -1)
+        x = np.array(few["v"].tolist(), dtype=np.float64)
         if not len(x):
             raise ValueError("an index needs vectors to be fitted on")
         centers = fitted(x, cells, seed)
