@@ -30,3 +30,12 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 def broadcast_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """A broadcast hint if ``df`` has at most ``most`` rows (counted, up to one more); else Spark shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """``df`` with each row's place in an order (whose rows are all different): ranges are numbered apart and moved by the sizes of those before."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    ranges = written(ranges, "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_low"), F.min(F.struct(*order)).alias("_first"))
+    before = sizes.select("_range", "_low", F.expr("coalesce(sum(_c) over (order by _first rows between unbounded preceding and 1 preceding), 0)").alias("_before"))  # a row per range
+    return ranges.join(F.broadcast(before), "_range").withColumn(name, F.col("_i") - F.col("_low") + F.col("_before") + start).drop("_range", "_i", "_low", "_before")

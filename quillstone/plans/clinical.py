@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.lab import assessed, direction, latest_values, missing_checks, normalised, out_of_target, trends
 from quillstone.operators.ranking import first_last, scaled
+from quillstone.functions.tables import numbered, written
+from quillstone.operators.aliases import UNIT_FACTORS, mapped_names, unit_factor
 from quillstone.plans.catalog import query, table
 
 # Stand-ins: event types as tests (name, unit) with ranges for their values.
@@ -108,3 +110,47 @@ def caregap_out_of_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trend_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = measurements(spark, sf_dir)
     return e.select("event_id", direction(F.col("test_name"), F.col("value"), (F.col("event_id") % 100).cast("double"), F.lit(_LOW), F.lit(_HIGH))["direction"].alias("direction"))
+
+
+_ALIASED = r"""al AS (SELECT w AS alias, row_number() OVER (ORDER BY encode(w)) AS ord, upper(w) AS canonical, CASE WHEN length(w) % 2 = 0 THEN 'u' || length(w) END AS target FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS w FROM documents)),
+nm AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' ' || b.text[:40] || ' (of ' || o_orderkey || ')' WHEN 1 THEN upper(a.alias) WHEN 2 THEN p_name ELSE 'x' || o_custkey END AS name
+  FROM orders JOIN benchmark b ON b.item_id = o_orderkey % 40 JOIN al a ON a.ord = 1 + o_orderkey % 500 JOIN part ON p_partkey = o_orderkey % 100)"""
+
+
+@query(rf"""WITH {_ALIASED}, c AS (SELECT DISTINCT name, trim(regexp_replace(lower(trim(name, ' ')), '\(.*?\)', '', 'g'), ' ') AS clean FROM nm),
+m AS (SELECT clean, arg_max({{'c': canonical, 't': target, 'e': clean = alias}}, (clean = alias, length(alias), -ord)) AS m FROM (SELECT DISTINCT clean FROM c) JOIN al ON contains(clean, alias) GROUP BY clean),
+t AS (SELECT clean, arg_min(s_name, s_suppkey) AS test FROM (SELECT DISTINCT clean FROM c WHERE clean <> '' AND clean NOT IN (SELECT clean FROM m)) JOIN (SELECT s_suppkey, s_name || ' ' || p_name AS s_name FROM supplier JOIN part ON p_partkey = s_suppkey) ON contains(lower(s_name), clean[:15]) GROUP BY clean)
+SELECT o_orderkey, coalesce(m.c, test, nm.name) AS canonical, m.t AS target, CASE WHEN m.e THEN 1.0::DOUBLE WHEN m.c IS NOT NULL THEN 0.85::DOUBLE WHEN test IS NOT NULL THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS confidence
+FROM nm JOIN c ON c.name = nm.name LEFT JOIN m ON m.clean = c.clean LEFT JOIN t ON t.clean = c.clean""")
+def mapped_test_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' texts as names of tests, with the words of seven letters or more of all documents as aliases, and suppliers' names as tests."""
+    d, o, b, p, s = (table(spark, sf_dir, t) for t in ("documents", "orders", "benchmark", "part", "supplier"))
+    words = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("alias")).distinct()
+    words = written(numbered(words, ["alias"], "ord"), "words")
+    target = F.when(F.length("alias") % 2 == 0, F.concat(F.lit("u"), F.length("alias").cast("string")))
+    aliases = words.select("alias", "ord", F.upper("alias").alias("canonical"), target.alias("target"))
+    few = words.where("ord <= 500").select(F.col("alias").alias("_alias"), (F.col("ord") - 1).alias("_a"))
+    k = F.col("o_orderkey")
+    rows = o.join(F.broadcast(b.select(F.col("item_id").alias("_b"), "text")), k % 40 == F.col("_b")).join(F.broadcast(few), k % 500 == F.col("_a"))  # a benchmark; 500 words
+    rows = rows.join(p.where("p_partkey < 100").select(F.col("p_partkey").alias("_p"), "p_name"), k % 100 == F.col("_p"))
+    said = F.when(k % 4 == 0, F.concat(F.lit(" "), F.substring("text", 1, 40), F.lit(" (of "), k.cast("string"), F.lit(")"))).when(k % 4 == 1, F.upper("_alias")).when(k % 4 == 2, F.col("p_name"))
+    names = rows.select("o_orderkey", said.otherwise(F.concat(F.lit("x"), F.col("o_custkey").cast("string"))).alias("name"))
+    tests = s.join(p, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("ord"), F.concat_ws(" ", "s_name", "p_name").alias("test_name"))
+    return mapped_names(names, "name", aliases, tests).select("o_orderkey", "canonical", "target", "confidence")
+
+
+_UNITS = "['mg/dL', 'mmol/L', 'umol/l', 'g/dl', 'G/L', ' meq / l ']"
+_FACTOR_KEYS = ", ".join(f"('{k}', {f}::DOUBLE, {i})" for i, (k, f) in enumerate(UNIT_FACTORS))
+
+
+@query(f"""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, ['creatinine', 'glucose', 'potassium', 'hemoglobin', 'hb', 'so'][1 + l_partkey % 6] AS n, {_UNITS}[1 + l_suppkey % 6] AS u, {_UNITS}[1 + l_linenumber % 6] AS t FROM lineitem),
+w AS (SELECT *, replace(lower(trim(u, ' ')), ' ', '') AS a, replace(lower(trim(t, ' ')), ' ', '') AS b FROM v), k AS (SELECT * FROM (VALUES {_FACTOR_KEYS}) AS k(k, f, i)),
+d AS (SELECT DISTINCT n, a, b FROM w), f AS (SELECT n, a, b, coalesce((SELECT any_value(k.f) FROM k WHERE k.k = n || '_' || a || '->' || b), CASE WHEN a = b THEN 1.0::DOUBLE END,
+  (SELECT arg_min(k.f, k.i) FROM k WHERE starts_with(k.k, n) AND contains(k.k, a) AND contains(k.k, b)), 1.0::DOUBLE) AS factor FROM d)
+SELECT l_orderkey, l_linenumber, l_partkey, factor FROM w JOIN f USING (n, a, b)""")
+def unit_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors between units, by exact keys, equal units, and the first key that fits."""
+    li = table(spark, sf_dir, "lineitem")
+    units = F.expr(f"array({_UNITS[1:-1]})")
+    name = F.get(F.array(*map(F.lit, ["creatinine", "glucose", "potassium", "hemoglobin", "hb", "so"])), (F.col("l_partkey") % 6).cast("int"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", unit_factor(name, F.get(units, (F.col("l_suppkey") % 6).cast("int")), F.get(units, F.col("l_linenumber") % 6)).alias("factor"))
