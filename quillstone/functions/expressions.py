@@ -25,7 +25,7 @@ def token_estimate(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Paragraphs at blank lines, then ends of sentences before a capital, dash, digit, quote or bracket; empty ones go."""
     cut = F.transform(F.split(F.coalesce(text, F.lit("")), r"\n{2,}"), lambda p: F.split(p, r'(?<=[.!?])\s+(?=[A-Z\-0-9"(])'))
-    return F.filter(F.transform(F.flatten(cut), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.flatten(cut), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def clean_null(text: Column) -> Column:

@@ -41,6 +41,39 @@ OVERRIDES = {
 }
 
 
+# Files that are scaffolding rather than data, in the order in which they are tested.
+SKIP_PATHS = (
+    "/blobs/", "/refs/", "/.huggingface/", "/snapshots/", "/UMLS Output/LEX/DOCS/", "/UMLS Output/LEX/LEX_PGMS/", "/UMLS Output/LEX/LEX_DB/", "/UMLS Output/LEX/MISC/", "/UMLS Output/LEX/NUMBERS/",
+    "/UMLS Output/LEX/VERB_COMPLEMENTS/",
+)
+SKIP_DIRS = (".cache", ".git", ".huggingface", "__pycache__", "blobs", "refs")
+SKIP_EXTENSIONS = (
+    ".py", ".pyc", ".sh", ".bat", ".cmd", ".exe", ".dll", ".so", ".dylib", ".o", ".a", ".ipynb", ".sfv", ".crc", ".md5", ".sha1", ".sha256",
+    ".sha512", ".sig", ".asc", ".lock", ".toml", ".cfg", ".ini", ".yml", ".yaml", ".css", ".js", ".ts", ".map", ".svg", ".png", ".jpg", ".jpeg",
+    ".gif", ".ico", ".webp", ".woff", ".woff2", ".ttf", ".eot", ".mp3", ".mp4", ".wav", ".avi", ".mov", ".ctl", ".xsd", ".dtd", ".sql", ".log",
+    ".xslt", ".crlf", ".cff",
+)
+SKIP_STEMS = ("readme", "license", "licence", "citation")
+SKIP_NAMES = (".gitattributes", ".gitignore", ".ds_store", "thumbs.db", "dataset_info.json", "dataset_dict.json", "config.json")
+SKIP_METADATA = ("removed_files.csv", "removed_files_20260720_155732.csv", "download_failed.csv", "download_success.csv", "CACHEDIR.TAG")
+SKIP_REVIEW = ("open_guidelines.jsonl", "summary.json")
+
+
+def skip_reason(path: Column) -> Column:
+    """Why a file isn't read, null if it is: path pattern, directory, extension, stem, name, metadata, review list."""
+    name = F.element_at(F.split(path, "/"), -1)
+    parts, extension = F.split(path, "/"), F.lower(F.regexp_extract(name, r"[^.](\.[^.]*)$", 1))
+    stem = F.lower(F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", ""))
+    reason = F.when(F.lit(False), F.lit(""))
+    for p in SKIP_PATHS:
+        reason = reason.when(path.contains(p), f"skip_huggingface:{p}")
+    for d in SKIP_DIRS:
+        reason = reason.when(F.array_contains(parts, d), f"skip_dir:{d}")
+    reason = reason.when(extension.isin(*SKIP_EXTENSIONS), F.concat(F.lit("skip_extension:"), extension))
+    reason = reason.when(stem.isin(*SKIP_STEMS), F.concat(F.lit("skip_stem:"), stem)).when(F.lower(name).isin(*SKIP_NAMES), F.concat(F.lit("skip_filename:"), name))
+    return reason.when(name.isin(*SKIP_METADATA), F.concat(F.lit("skip_metadata:"), name)).when(name.isin(*SKIP_REVIEW), F.concat(F.lit("skip_review:"), name))
+
+
 def categorised(spark: SparkSession, files: DataFrame, folder: str = "folder", extension: str = "extension") -> DataFrame:
     """Adds category: of the folder and format if there is one, else of the folder, else ``unknown``. The tables are fixed and small."""
     own = F.broadcast(spark.createDataFrame([(f, e, c) for f, (es, c) in OVERRIDES.items() for e in es], f"{folder} string, {extension} string, _own string"))

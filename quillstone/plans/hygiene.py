@@ -2,45 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.expressions import let
-from quillstone.functions.tables import broadcast_if_small
+from quillstone.functions.tables import broadcast_if_small, written
 from quillstone.operators.dedup import alias_fold, best_by_priority, content_first, first_non_empty, last_wins, settle, unprocessed, upsert
+from quillstone.operators.intake import skip_reason
 from quillstone.plans.catalog import query, table
 
-# Files that are scaffolding rather than data, in the order in which they are tested.
-SKIP_PATHS = (
-    "/blobs/", "/refs/", "/.huggingface/", "/snapshots/", "/UMLS Output/LEX/DOCS/", "/UMLS Output/LEX/LEX_PGMS/", "/UMLS Output/LEX/LEX_DB/", "/UMLS Output/LEX/MISC/", "/UMLS Output/LEX/NUMBERS/",
-    "/UMLS Output/LEX/VERB_COMPLEMENTS/",
-)
-SKIP_DIRS = (".cache", ".git", ".huggingface", "__pycache__", "blobs", "refs")
-SKIP_EXTENSIONS = (
-    "py pyc sh bat cmd exe dll so dylib o a ipynb sfv crc md5 sha1 sha256 sha512 sig asc lock toml cfg ini yml yaml css js ts map svg png jpg jpeg gif ico webp "
-    "woff woff2 ttf eot mp3 mp4 wav avi mov ctl xsd dtd sql log xslt crlf cff"
-).split()
-SKIP_STEMS = ("readme", "license", "licence", "citation")
-SKIP_NAMES = (".gitattributes", ".gitignore", ".ds_store", "thumbs.db", "dataset_info.json", "dataset_dict.json", "config.json")
-SKIP_METADATA = ("removed_files.csv", "removed_files_20260720_155732.csv", "download_failed.csv", "download_success.csv", "CACHEDIR.TAG")
-SKIP_REVIEW = ("open_guidelines.jsonl", "summary.json")
-
-
-def skip_reason(path: Column) -> Column:
-    """Why a file isn't read, null if it is: path pattern, directory, extension, stem, name, metadata, review list."""
-    name = F.element_at(F.split(path, "/"), -1)
-    parts, extension = F.split(path, "/"), F.lower(F.regexp_extract(name, r"[^.]\.([^.]*)$", 1))
-    stem = F.lower(F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", ""))
-    reason = F.when(F.lit(False), F.lit(""))
-    for p in SKIP_PATHS:
-        reason = reason.when(path.contains(p), f"skip_huggingface:{p}")
-    for d in SKIP_DIRS:
-        reason = reason.when(F.array_contains(parts, d), f"skip_dir:{d}")
-    reason = reason.when(extension.isin(SKIP_EXTENSIONS), F.concat(F.lit("skip_extension:."), extension))
-    reason = reason.when(stem.isin(*SKIP_STEMS), F.concat(F.lit("skip_stem:"), stem)).when(F.lower(name).isin(*SKIP_NAMES), F.concat(F.lit("skip_filename:"), name))
-    return reason.when(name.isin(*SKIP_METADATA), F.concat(F.lit("skip_metadata:"), name)).when(name.isin(*SKIP_REVIEW), F.concat(F.lit("skip_review:"), name))
-
-
 @query("SELECT sha256(text) AS hash, min(doc_id) AS original FROM documents GROUP BY 1")
 def content_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_first(table(spark, sf_dir, "documents"), F.col("text"), "doc_id")[0]
@@ -75,23 +47,27 @@ def skipped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, array_to_string(list_sort(list(b.item_id)), ',') AS items FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def contamination_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a whole benchmark passage: an equi-join on rolling 8-word windows finds candidates, then containment decides."""
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 8, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, 8), " ")))
+    """Documents that hold a whole benchmark passage: an equi-join on windows of words finds candidates, then containment decides.
 
-    # a passage's words but the first and last stand whole in any text that holds it; passages under ten words are looked for as they are
+    A passage's words but the first and last stand whole in any text that holds it; up to eight of them are its key. Texts
+    are read once and their windows meet the passages' keys where they are read, so only hits are shuffled."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     w = F.split("passage", " ")
-    key = F.xxhash64(F.array_join(F.slice(w, 2, 8), " "))
-    items = broadcast_if_small(items, 100_000)
-    long_ = items.where(F.size(w) >= 10).withColumn("key", key)
-    seen = docs.select("doc_id", F.explode(F.array_distinct(let(F.split("text", " "), windows))).alias("key")).join(long_.select("key").distinct(), "key", "left_semi")
-    pairs = seen.join(long_, "key").select("doc_id", "item_id", "passage")
-    hits = docs.join(pairs, "doc_id").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct()
-    short = items.where(F.size(w) < 10)
-    hits = hits.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("doc_id", "item_id").distinct())
-    return hits.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("items"))
+    items = written(items.withColumns({"m": F.least(F.size(w) - 2, F.lit(8)), "key": F.xxhash64(F.array_join(F.slice(w, 2, F.greatest(F.least(F.size(w) - 2, F.lit(8)), F.lit(1))), " "))}), "passages")
+    sizes = sorted(r.m for r in items.where("m > 0").select("m").distinct().collect())  # eight at most
+
+    def windows(words: Column) -> Column:
+        of = lambda m: F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - m, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, m), " ")))
+        return F.flatten(F.array(*[of(m) for m in sizes]))
+
+    keyed = broadcast_if_small(items.where("m > 0").select("item_id", "passage", "key"), 100_000)
+    hits = docs.select("doc_id", "text", F.explode(F.array_distinct(let(F.split("text", " "), windows))).alias("key")).join(keyed, "key").where(F.col("text").contains(F.col("passage"))) if sizes else None
+    tiny = items.where("m < 1")  # one or two words: no word is sure to stand whole
+    found = [] if hits is None else [hits.select("doc_id", "item_id")]
+    if not tiny.isEmpty():
+        found.append(docs.join(broadcast_if_small(tiny, 10_000), F.col("text").contains(F.col("passage"))).select("doc_id", "item_id"))
+    every = reduce(DataFrame.unionByName, found) if found else docs.where(F.lit(False)).select("doc_id", F.lit(0).cast("long").alias("item_id"))
+    return every.distinct().groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("items"))
 
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")

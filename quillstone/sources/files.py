@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillstone.plans.hygiene import skip_reason
+from quillstone.operators.intake import skip_reason
 
 #: Rows of a table that a reader takes at most (one more is looked at, to say so).
 ROW_CAP = 100_000
@@ -52,9 +53,13 @@ def discover(spark: SparkSession, root: str, folder: str | None = None) -> DataF
     return files.withColumns({"reader": reader_of(F.col("path")), "skip_reason": skip_reason(F.col("relative"))})
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True, cap: int | None = None, encoding: str = "UTF-8", comment: str | None = None, strings: bool = False, schema: StructType | None = None) -> DataFrame:
-    """Rows of a delimited table: all, or the first ``cap`` if the caller sets one (ROW_CAP is a common choice)."""
-    r = spark.read.option("sep", sep).option("header", header).option("encoding", encoding).option("multiLine", True).option("mode", "PERMISSIVE").option("inferSchema", not strings and schema is None)
+def read_delimited(
+    spark: SparkSession, path: str, sep: str = ",", header: bool = True, cap: int | None = None, encoding: str = "UTF-8", comment: str | None = None, strings: bool = False,
+    schema: StructType | None = None, multi_line: bool = True,
+) -> DataFrame:
+    """Rows of a delimited table: all, or the first ``cap`` if the caller sets one (ROW_CAP is a common choice). Without
+    ``multi_line`` no field may hold a line end, and a large file is many tasks' work."""
+    r = spark.read.option("sep", sep).option("header", header).option("encoding", encoding).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("inferSchema", not strings and schema is None)
     if comment:
         r = r.option("comment", comment)
     df = (r.schema(schema) if schema else r).csv(path)
@@ -135,38 +140,53 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
+_SHEETS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def xlsx_rows(blob: bytes) -> Iterator[tuple[str, int, list[str]]]:
+    """(sheet, row, cells) of a workbook, out of the package's XML."""
+    ns = _SHEETS
+    with zipfile.ZipFile(io.BytesIO(blob)) as z:
+        names = z.namelist()
+        shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
+            for i, row in enumerate(ElementTree.fromstring(z.read(name)).iter(f"{ns}row")):
+                cells = []
+                for c in row.iter(f"{ns}c"):
+                    v = c.find(f"{ns}v")
+                    inline = "".join(t.text or "" for t in c.iter(f"{ns}t"))
+                    cells.append((shared[int(v.text)] if c.get("t") == "s" else v.text or "").strip() if v is not None else inline.strip())
+                yield name.split("/")[-1][:-4], i, cells
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row, cells): every sheet's rows as strings, read from the package's XML."""
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-    def sheets(blob: bytes) -> Iterator[tuple[str, int, list[str]]]:
-        with zipfile.ZipFile(io.BytesIO(blob)) as z:
-            names = z.namelist()
-            shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-            for name in sorted(n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)):
-                for i, row in enumerate(ElementTree.fromstring(z.read(name)).iter(f"{ns}row")):
-                    cells = []
-                    for c in row.iter(f"{ns}c"):
-                        v = c.find(f"{ns}v")
-                        inline = "".join(t.text or "" for t in c.iter(f"{ns}t"))
-                        cells.append((shared[int(v.text)] if c.get("t") == "s" else v.text or "").strip() if v is not None else inline.strip())
-                    yield name.split("/")[-1][:-4], i, cells
+    """(path, sheet, row, cells, error): every sheet's rows as strings; a workbook that can't be read is one row with what is wrong."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(p, *r) for p, b in zip(batch["path"], batch["content"], strict=True) for r in sheets(b)], columns=["path", "sheet", "row", "cells"])
+            for p, b in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows = [(p, *r, None) for r in xlsx_rows(b)]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, OSError, zlib.error) as e:
+                    rows = [(p, None, None, None, f"XLSX parse error: {e}")]
+                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells", "error"])
 
-    return _binary(spark, path).mapInPandas(f, "path string, sheet string, row int, cells array<string>")
+    return _binary(spark, path).mapInPandas(f, "path string, sheet string, row int, cells array<string>, error string")
 
 
 def read_archive_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, size) of the members of ZIP files."""
+    """(path, name, size, error) of the members of ZIP files; one that can't be read is one row with what is wrong."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(p, i.filename, i.file_size) for p, b in zip(batch["path"], batch["content"], strict=True) for i in zipfile.ZipFile(io.BytesIO(b)).infolist()], columns=["path", "name", "size"])
-
-    return _binary(spark, path).mapInPandas(f, "path string, name string, size long")
+            for p, b in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows = [(p, i.filename, i.file_size, None) for i in zipfile.ZipFile(io.BytesIO(b)).infolist()]
+                except (zipfile.BadZipFile, OSError, ValueError) as e:
+                    rows = [(p, None, None, f"ZIP parse error: {e}")]
+                yield pd.DataFrame(rows, columns=["path", "name", "size", "error"]).astype({"size": "Int64"})
+
+    return _binary(spark, path).mapInPandas(f, "path string, name string, size long, error string")
 
 
 def read_xml_records(spark: SparkSession, path: str, tag: str, schema: StructType | None = None, most: int | None = None) -> DataFrame:

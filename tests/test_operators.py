@@ -116,6 +116,8 @@ def test_expressions(spark):
     a, b = df.select(sentences(F.col("t")), safe_float(F.col("n")), clean_null(F.col("z")), token_estimate(F.col("t")), any_of(F.col("t"), ["fell"])).collect()
     assert list(a) == [["Hb rose.", "It fell (a bit).", "3 left.", "End"], 4.5, "", 11, True]
     assert list(b) == [[], None, "x", 1, False]
+    spaced = " 00 begins. 1 and 2. 33 ends 3 "  # a sentence's place is no set of characters to trim
+    assert spark.createDataFrame([(spaced,)], "t string").select(sentences(F.col("t"))).first()[0] == ["00 begins.", "1 and 2.", "33 ends 3"]
     r = spark.createDataFrame([("What does INR of DVT mean",)], "t string").select(query_terms(F.col("t")).alias("x")).first().x
     assert r == ["inr dvt", "inr", "international normalized ratio", "warfarin", "dvt", "deep vein thrombosis"]
     ids = [r[0] for r in spark.createDataFrame([("a/PMC12_x",), ("b/PMID_7",), ("c/d/e",)], "d string").select(canonical_id(F.col("d"))).collect()]
