@@ -60,6 +60,8 @@ CLOSING = {"option": frozenset(), "button": frozenset(["button"]), "select": fro
 _HOLDERS = ("table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "blockquote")
 _AFTER_HEAD = frozenset("body article main div p section nav footer h1 h2 table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_PARAGRAPH = ("p",)
+_ENDED_BY = {tag: (*others, "p") for tag, others in CLOSED_BY.items()}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -277,7 +279,8 @@ def _tree(page: str, rescue: bool, forms: bool) -> tuple[list[Block], dict[int,
             if tag in _AFTER_HEAD and (i := stack.first(("head",))):
                 pop(i)
             flush()
-            if i := stack.first({*CLOSED_BY.get(tag, ()), "p"}, stack.last(_HOLDERS)):
+            ends = _ENDED_BY.get(tag, _PARAGRAPH)
+            if any(stack.at.get(t) for t in ends) and (i := stack.first(ends, stack.last(_HOLDERS))):
                 pop(i)
         stack.push(_child(stack.nodes[-1], tag, attributes, rescue, forms))
     flush()
