@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.expressions import any_of
+from quillstone.functions.tables import broadcast_if_small, written
 
 # Words that send a question one way or the other, and what ends an answer as a refusal.
 RELATIONAL = ["which drugs", "what drugs", "drugs treat", "what tests", "lab test for", "interactions", "side effects of", "causes of", "treats", "mapped to", "relationship between", "mechanism of action"]
@@ -114,17 +115,30 @@ def qa_metrics(df: DataFrame, by: list[str], gold: str, given: str, answer: str
     return df.groupBy(*by).agg(*out)
 
 
-def upper_median(df: DataFrame, by: list[str], value: str, ranges: int = 4096) -> DataFrame:
-    """sorted[n // 2] of each group. Counts of equal ranges between a group's extremes say which range holds it; only that
-    range's different values are put in order, so no group is sorted as a whole."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    ends = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("n"))
-    share = F.coalesce((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
-    placed = rows.join(ends, by).withColumn("_at", F.floor(F.col("n") / 2)).withColumn("_range", F.least(F.floor(share * ranges), F.lit(ranges - 1)))
-    counts = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_c"), F.first("_at").alias("_at"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_range"))  # at most ``ranges`` rows a group
-    holds = counts.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))
-    inside = placed.join(holds.select(*by, "_range", (F.col("_upto") - F.col("_c")).alias("_before")), [*by, "_range"])
-    values = inside.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("_at").alias("_at"), F.first("n").alias("n"))
+def upper_median(df: DataFrame, by: list[str], value: str, most: int = 10_000, splitters: int = 32) -> DataFrame:
+    """sorted[n // 2] of each group, exactly. In each round splitters of equal depth (mergeable sketches of what is left) cut a group's
+    range, exact counts say which part holds the median, and only that part goes on; a value that is a splitter is a part of
+    its own. So a part has about 1 / ``splitters`` of its rows however they lie, and no more than ``most`` rows of different
+    values of a group are put in order."""
+    rows = written(df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), "values")
+    state = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    state = written(state.withColumns({"_at": F.floor(F.col("n") / 2), "_before": F.lit(0).cast("long"), "_in": F.col("n")}), "medians")
+    wide = (F.col("_in") > most) & (F.col("_lo") < F.col("_hi"))
+    while not (large := state.where(wide)).isEmpty():
+        live = rows.join(broadcast_if_small(large), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        cuts = live.groupBy(*by).agg(F.percentile_approx("_v", [(i + 1) / splitters for i in range(splitters - 1)], 1000).alias("_cuts"))
+        placed = live.join(broadcast_if_small(written(cuts, "cuts")), by)
+        part = 2 * F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.array_contains("_cuts", F.col("_v")).cast("int")
+        counts = placed.groupBy(*by, part.alias("_part")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h"), *[F.first(c).alias(c) for c in ("n", "_at", "_before")]
+        )
+        upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_part"))  # at most 2 * splitters rows a group
+        held = counts.withColumn("_upto", upto).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at")))
+        held = held.select(*by, "n", F.col("_l").alias("_lo"), F.col("_h").alias("_hi"), "_at", (F.col("_upto") - F.col("_c")).alias("_before"), F.col("_c").alias("_in"))
+        state = written(state.where(~wide).unionByName(held), "medians")
+    alone = state.where("_lo = _hi").select(*by, F.col("_lo").alias("median"), "n")
+    inside = rows.join(broadcast_if_small(state.where("_lo < _hi")), by).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    values = inside.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in ("n", "_at", "_before")])
     values = values.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")))
-    return values.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at"))).select(*by, F.col("_v").alias("median"), "n")
+    found = values.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at"))).select(*by, F.col("_v").alias("median"), "n")
+    return alone.unionByName(found)

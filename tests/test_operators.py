@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 import zipfile
 from collections import Counter
 
@@ -243,6 +244,41 @@ def test_long_chains_of_conflicts_settle(spark):
     assert got == {i for i in range(60) if i % 2 == 0}
 
 
+def test_a_chain_of_a_hundred_thousand_rows_settles_in_few_rounds(spark):
+    """Row k shares its hash with the row before or its id, by turns, so every other row stays."""
+    n = 100_000
+    rows = spark.range(n).selectExpr("id as o", "cast((id + 1) div 2 as long) as h", "cast(id div 2 as long) as d")
+    began = time.time()
+    got = settle(rows, "h", "d", "o")
+    assert got.count() == n // 2 and got.where("o % 2 = 1").isEmpty() and time.time() - began < 240
+    assert str(got._jdf.queryExecution().optimizedPlan().toString()).count("Relation") == 1
+
+
+def test_settle_is_the_ordered_scan_on_tangles(spark):
+    rnd = random.Random(9)
+    for keys in (6, 40, 150):
+        rows = [(k, rnd.randint(0, keys), rnd.randint(0, keys)) for k in range(300)]
+        rnd.shuffle(rows)
+        hashes, ids, want = set(), set(), set()
+        for o, h, d in sorted(rows):
+            if h not in hashes and d not in ids:
+                hashes.add(h), ids.add(d), want.add(o)
+        for plain in (0, 2):
+            assert {r.o for r in settle(spark.createDataFrame(rows, "o long, h long, d long"), "h", "d", "o", plain).collect()} == want
+
+
+def test_upper_median_with_outliers_and_heavy_values(spark):
+    """One value of 1e12 leaves no part with more than its share; a value that is half of all rows is a part of its own."""
+    rnd = random.Random(3)
+    groups = {
+        "outlier": [rnd.random() for _ in range(6000)] + [1e12], "heavy": [7.0] * 5000 + [rnd.uniform(0, 20) for _ in range(3000)], "one": [3.0] * 4000, "few": [2.0, 1.0],
+        "powers": [10.0 ** rnd.uniform(-200, 200) for _ in range(5000)], "below": [-1e300] * 10 + [rnd.gauss(0, 1) for _ in range(4001)],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None)]
+    got = {r.g: (r.median, r.n) for r in upper_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", most=200, splitters=8).collect()}
+    assert got == {g: (sorted(vs)[len(vs) // 2], len(vs)) for g, vs in groups.items()}
+
+
 def test_upper_median_on_odd_groups(spark):
     rnd = random.Random(3)
     rows = [("a", float(rnd.randint(0, 5))) for _ in range(101)] + [("b", 7.0)] * 4 + [("c", None)] + [("d", x) for x in (-1e9, 0.0, 1e-9, 2e-9, 1e9)] + [("e", rnd.random() ** 9) for _ in range(500)]
