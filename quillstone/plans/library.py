@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.plans import answering, answers, clinical, concepts, evidence, extras, graphs, hygiene, intake, paths, projections, reports, retrieval, tabular, texts  # noqa: F401
+from quillstone.plans import answering, answers, clinical, concepts, evidence, extras, graphs, hygiene, intake, paths, projections, reporting, reports, retrieval, tabular, texts  # noqa: F401
 from quillstone.plans.catalog import QUERIES, SQL, Query
 
 
