@@ -86,11 +86,11 @@ def citation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT l_orderkey, round(sum(l_quantity), 2) AS parts, round(max(o_totalprice) / 1000, 2) AS total, abs(round(max(o_totalprice) / 1000, 2) - round(sum(l_quantity), 2)) <= 1 AS consistent FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey, round(sum(l_quantity), 2) AS parts, floor(max(o_totalprice) / 1000) AS total, abs(floor(max(o_totalprice) / 1000) - round(sum(l_quantity), 2)) <= 1 AS consistent FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey""")
 def latency_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a total is the sum of its stages, give or take 1."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_quantity"), 2).alias("parts"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.round(F.col("o_totalprice") / 1000, 2).alias("total"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("total"))
     return li.join(o, "l_orderkey").withColumn("consistent", F.abs(F.col("total") - F.col("parts")) <= 1)
 
 
