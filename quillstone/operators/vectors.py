@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quillstone.sources.sinks import write_vectors
 
-#: Queries that go to every task at most; with more of them, blocks of so many queries meet blocks of so many items.
-QUERY_BLOCK = 20_000
+#: Queries that go to every task at most; with more of them, blocks of so many queries meet blocks of ITEMS times as many items. Scores are
+#: computed for TILE queries and ROWS items at once, so a task's memory follows neither.
+QUERY_BLOCK, ITEMS, TILE, ROWS = 20_000, 5, 1_024, 2_048
 _HITS = "query_id long, item_id long, score double"
 
 
@@ -37,51 +38,101 @@ def exact_topk(
     """
     q = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v")).where("v is not null").dropDuplicates(["query_id"])
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    n = q.count()
-    found = _by_broadcast(spark, q.toPandas(), rows, k) if n <= block else _by_blocks(q, rows, k, -(-n // block), -(-rows.count() // block))
+    return ranked(found_best(spark, q, rows, k, block), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best (query_id, item_id, score) of each query, with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (column, row) of the k best of each column, and of what ties with the last of them."""
-    if scores.shape[0] > 4 * k:
-        floor = np.partition(scores, -k, axis=0)[-k]
-        return np.nonzero((scores >= floor).T)
-    return np.nonzero(np.ones(scores.T.shape, dtype=bool))
+def found_best(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, item_id, score): the k best of each task. Where queries (query_id, v) have cells too (near), only items (id, v, cell) of those count."""
+    n = queries.count()
+    return _by_broadcast(spark, queries.toPandas(), items, k) if n <= block else _by_blocks(queries, items, k, -(-n // block), -(-items.count() // (ITEMS * block)))
 
 
 def _none() -> pd.DataFrame:
     return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": "int64", "item_id": "int64"})
 
 
-def _kept(best: pd.DataFrame, query_ids: np.ndarray, q: np.ndarray, items: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best items of each query among those held and ``items``; ``q`` has a column for each query."""
-    items = items[items["v"].map(lambda v: v is not None and len(v) == q.shape[0])]
-    for a in range(0, len(items), 2048):
-        part = items.iloc[a : a + 2048]
-        ids, scores = part["id"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64) @ q
-        at_q, at_i = _best(scores, k)
-        found = pd.concat([best, pd.DataFrame({"query_id": query_ids[at_q], "item_id": ids[at_i], "score": scores[at_i, at_q]})])
-        found = found.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
-        best = found[found.groupby("query_id").cumcount() < k]
-    return best
-
-
-def _columns(queries: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return queries["query_id"].to_numpy(), np.array(queries["v"].tolist(), dtype=np.float64).T
+class _Tile:
+    """The k best items so far of a few queries: (query's place, item, score), in order of queries and ranks. Scores that are no number are greatest, as Spark orders them."""
+
+    def __init__(self, k: int, n: int) -> None:
+        self.k, self.n, self.least = k, n, np.full(n, -np.inf)
+        self.at, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def take(self, places: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` has a row for each of the queries at ``places`` and a column for each item."""
+        near = ~(scores < self.least[places][:, None])
+        if scores.shape[1] > 4 * self.k and near.sum() > 4 * self.k * len(places):
+            near &= ~(scores < np.partition(scores, -self.k, axis=1)[:, -self.k][:, None])
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        at, item, score = np.concatenate([self.at, places[i]]), np.concatenate([self.ids, ids[j]]), np.concatenate([self.scores, scores[i, j]])
+        key = np.where(np.isnan(score), np.inf, score)
+        order = np.lexsort((item, -key, at))
+        at, item, score, key = at[order], item[order], score[order], key[order]
+        first = np.searchsorted(at, np.arange(self.n))
+        nth = np.arange(len(at)) - first[at]
+        full = nth == self.k - 1
+        self.least[at[full]] = key[full]
+        kept = nth < self.k
+        self.at, self.ids, self.scores = at[kept], item[kept], score[kept]
+
+
+class _Best:
+    """The k best items so far of each of some queries, in tiles of TILE queries."""
+
+    def __init__(self, queries: pd.DataFrame, k: int) -> None:
+        self.ids = queries["query_id"].to_numpy()
+        self.q = np.array(queries["v"].tolist(), dtype=np.float64) if len(queries) else np.zeros((0, 0))
+        self.tiles = [_Tile(k, min(TILE, len(self.ids) - a)) for a in range(0, len(self.ids), TILE)]
+        self.near = None
+        if "near" in queries:
+            near = queries["near"].tolist()
+            self.near = np.zeros((len(near), 1 + max((max(x) for x in near if len(x)), default=0)), dtype=bool)
+            for i, cells in enumerate(near):
+                self.near[i, cells] = True
+
+    def take(self, items: pd.DataFrame) -> None:
+        if not len(self.ids):
+            return
+        for a in range(0, len(items), ROWS):
+            part = items.iloc[a : a + ROWS]
+            part = part[part["v"].map(lambda v: v is not None and len(v) == self.q.shape[1])]
+            if len(part):
+                x, ids = np.array(part["v"].tolist(), dtype=np.float64), part["id"].to_numpy()
+                for cell in [None] if self.near is None else np.unique(part["cell"]):
+                    own = slice(None) if cell is None else np.flatnonzero(part["cell"].to_numpy() == cell)
+                    self._meet(x[own], ids[own], cell)
+
+    def _meet(self, x: np.ndarray, ids: np.ndarray, cell: int | None) -> None:
+        for n, tile in enumerate(self.tiles):
+            a = n * TILE
+            places = np.arange(tile.n)
+            if cell is not None:
+                places = np.flatnonzero(self.near[a : a + TILE, cell]) if cell < self.near.shape[1] else places[:0]
+            if len(places):
+                tile.take(places, ids, self.q[a + places] @ x.T)
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        for n, t in enumerate(self.tiles):
+            yield pd.DataFrame({"query_id": self.ids[n * TILE + t.at], "item_id": t.ids, "score": t.scores})
 
 
 def _by_broadcast(spark: SparkSession, queries: pd.DataFrame, items: DataFrame, k: int) -> DataFrame:
-    held = spark.sparkContext.broadcast(_columns(queries))
+    held = spark.sparkContext.broadcast(queries)
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, q = held.value
-        best = _none()
+        best = _Best(held.value, k)
         for batch in batches:
-            if len(query_ids):
-                best = _kept(best, query_ids, q, batch, k)
-        yield best
+            best.take(batch)
+        yield _none()
+        yield from best.frames()
 
     return items.mapInPandas(f, _HITS)
 
@@ -94,7 +145,9 @@ def _by_blocks(queries: DataFrame, items: DataFrame, k: int, n_queries: int, n_i
     right = items.withColumn("i", block("id", n_items)).withColumn("p", every(n_queries))
 
     def f(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        return _kept(_none(), *_columns(own), others, k) if len(own) else _none()
+        best = _Best(own, k)
+        best.take(others)
+        return pd.concat([_none(), *best.frames()])
 
     return left.groupBy("p", "i").cogroup(right.groupBy("p", "i")).applyInPandas(f, _HITS)
 
@@ -148,12 +201,11 @@ class CellIndex:
 
         return rows.mapInPandas(f, rows.schema.simpleString()[7:-1].replace(":", " ") + ", near array<int>")
 
-    def search(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, nprobe: int = 8, block: int = QUERY_BLOCK) -> DataFrame:
+        """(query_id, item_id, score, rank) as ``exact_topk`` gives them, of the items in the cells probed: only the k best of a task are shuffled."""
         q = queries.select(F.col(self.id_col).cast("long").alias("query_id"), F.col(self.vector_col).cast("array<double>").alias("v")).where("v is not null")
-        q = self._assigned(q, nprobe).select("query_id", F.col("v").alias("q"), F.explode("near").alias("cell"))
+        q = self._assigned(q.dropDuplicates(["query_id"]), nprobe)
         cells = self.cells
         if self.stored:
-            cells = cells.where(F.col("cell").isin([r.cell for r in q.select("cell").distinct().collect()]))  # as many as there are cells at most
-        hits = q.join(cells, "cell").select("query_id", F.col("id").alias("item_id"), dot(F.col("v"), F.col("q")).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
-        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            cells = cells.where(F.col("cell").isin([r.cell for r in q.select(F.explode("near").alias("cell")).distinct().collect()]))  # as many as there are cells at most
+        return ranked(found_best(self.spark, q, cells.select("id", "v", "cell"), k, block), k)
