@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators.vectors import dot
+from quillstone.functions.tables import broadcast_if_small, written
+from quillstone.operators.vectors import dot, ranked
 
 #: Subspaces of a vector (a byte each), codes of a subspace, vectors that cells and codes are fitted on at most, rounds of fitting.
 PARTS, CODES, SAMPLE, ROUNDS = 16, 256, 50_000, 12
-#: Queries of one search at most: they go to every task.
-QUERY_BLOCK = 20_000
+#: Queries that are searched for at once at most, codes that they meet in one task, queries whose vectors are sent to all for the exact scores.
+QUERY_BLOCK, CODE_BLOCK, MOST_SENT = 5_000, 500_000, 100_000
 
 
 def fitted(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -153,62 +154,69 @@ class ProductIndex:
 
     # ------------------------------------------------------------ search
 
-    def search(self, queries: DataFrame, k: int, nprobe: int = 8, again: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    def search(self, queries: DataFrame, k: int, nprobe: int = 8, again: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
         """(query_id, item_id, score, rank, scanned): the k items of greatest inner product among the ``again * k`` best by codes in the
         ``nprobe`` cells nearest to each query; ``scanned`` codes were looked at for it. Scores are exact.
 
-        A stated query set of at most QUERY_BLOCK rows (counted) goes to every task, with its cells; tables of its inner
-        products with the codes are made where codes are read. Cells that no query probes aren't read."""
+        Queries of any number are hashed into blocks of about ``block``, codes into blocks of CODE_BLOCK; each pair of blocks is a
+        group, which makes the tables of its queries' inner products with the codes. Codes of cells that no query probes aren't read."""
         quantiser = self.quantiser()
-        few = _clean(queries, id_col, vector_col).where(F.size("v") == quantiser.dimensions).dropDuplicates(["id"])
-        n = few.count()
-        if n > QUERY_BLOCK:
-            raise ValueError(f"search in blocks of at most {QUERY_BLOCK} queries")
-        q = few.orderBy("id").toPandas()
-        ids, x = q["id"].to_numpy(), np.array(q["v"].tolist(), dtype=np.float64).reshape(n, quantiser.dimensions)
-        coarse = x @ quantiser.cells.T if n else np.zeros((0, len(quantiser.cells)))
-        probed = np.argsort(0.5 * (quantiser.cells**2).sum(1) - coarse, axis=1, kind="stable")[:, :nprobe]
-        of_cell: dict[int, list[int]] = {}
-        for i, cs in enumerate(probed.tolist()):
-            for c in cs:
-                of_cell.setdefault(c, []).append(i)
-        held = self.spark.sparkContext.broadcast((quantiser, ids, x, coarse, of_cell))
-        most = again * k
+        held = self.spark.sparkContext.broadcast(quantiser)
+        few = written(_clean(queries, id_col, vector_col).where(F.size("v") == quantiser.dimensions).dropDuplicates(["id"]), "asked")
 
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            quantiser, ids, x, coarse, of_cell = held.value
-            tables: dict[int, np.ndarray] = {}
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            seen: dict[int, int] = {}
+        def nearest_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cells = held.value.cells
             for batch in batches:
-                cell = batch.column("cell").to_numpy()
-                item = batch.column("id").to_numpy()
-                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(len(item), -1)
-                for c in np.unique(cell).tolist():
-                    at = np.flatnonzero(cell == c)
-                    for i in of_cell.get(c, ()):
-                        if i not in tables:
-                            tables[i] = quantiser.tables(x[i])
-                        score = coarse[i, c] + tables[i][np.arange(codes.shape[1]), codes[at]].sum(1)
-                        seen[i] = seen.get(i, 0) + len(at)
-                        old = best.get(i, (np.zeros(0), np.zeros(0, np.int64)))
-                        s, o = np.concatenate([old[0], score]), np.concatenate([old[1], item[at]])
-                        keep = np.lexsort((o, -s))[:most]
-                        best[i] = s[keep], o[keep]
-            for i, (s, o) in best.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(ids[i])] * len(s), pa.int64()), pa.array(o, pa.int64()), pa.array(s), pa.array([seen[i]] + [0] * (len(s) - 1), pa.int64())], ["query_id", "item_id", "near", "seen"]
-                )
-
-        codes = self._tables("codes").where(F.col("cell").isin(sorted(of_cell)) if of_cell else F.lit(False))
-        found = codes.mapInArrow(f, "query_id long, item_id long, near double, seen long")
+                if len(batch):
+                    x = np.array(batch["v"].tolist(), dtype=np.float64)
+                    yield batch.assign(near=np.argsort(0.5 * (cells**2).sum(1) - x @ cells.T, axis=1, kind="stable")[:, :nprobe].tolist())
+
+        probing = written(few.mapInPandas(nearest_cells, "id long, v array<double>, near array<int>"), "probing")
+        probed = [r.cell for r in probing.select(F.explode("near").alias("cell")).distinct().collect()]  # as many as there are cells at most
+        codes = self._tables("codes").where(F.col("cell").isin(sorted(probed)) if probed else F.lit(False))
+        n_queries, n_codes = max(1, -(-probing.count() // block)), max(1, -(-codes.count() // CODE_BLOCK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        left = probing.withColumn("p", dealt(n_queries)).withColumn("i", every(n_codes))
+        right = codes.withColumn("i", dealt(n_codes)).withColumn("p", every(n_queries))
+        most = again * k
+
+        def f(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+            return _scanned(held.value, own, others, most)
+
+        found = left.groupBy("p", "i").cogroup(right.groupBy("p", "i")).applyInPandas(f, "query_id long, item_id long, near double, seen long")
         order = Window.partitionBy("query_id").orderBy(F.desc("near"), F.asc("item_id"))
         found = found.withColumns({"_r": F.row_number().over(order), "scanned": F.sum("seen").over(Window.partitionBy("query_id"))}).where(F.col("_r") <= most)
         asked = few.select(F.col("id").alias("query_id"), F.col("v").alias("_q"))
-        exact = found.join(self._tables("vectors").withColumnRenamed("id", "item_id"), "item_id").join(F.broadcast(asked), "query_id")  # QUERY_BLOCK at most
+        exact = found.join(self._tables("vectors").withColumnRenamed("id", "item_id"), "item_id").join(broadcast_if_small(asked, MOST_SENT), "query_id")
         exact = exact.select("query_id", "item_id", dot(F.col("v"), F.col("_q")).alias("score"), "scanned")
-        last = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
-        return exact.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+        return ranked(exact, k)
+
+
+def _scanned(quantiser: Quantiser, queries: pd.DataFrame, codes: pd.DataFrame, most: int) -> pd.DataFrame:
+    """(query_id, item_id, near, seen): the ``most`` best by codes in each query's cells, and how many were looked at (in its first row)."""
+    out = [pd.DataFrame({"query_id": [], "item_id": [], "near": [], "seen": []}).astype({"query_id": "int64", "item_id": "int64", "seen": "int64"})]
+    if not len(codes):
+        return out[0]
+    codes = codes.sort_values("cell", kind="stable")
+    cell, item = codes["cell"].to_numpy(), codes["id"].to_numpy()
+    code = np.frombuffer(b"".join(codes["code"]), dtype=np.uint8).reshape(len(item), -1)
+    parts = np.arange(code.shape[1])
+    for id_, v, near in zip(queries["id"], queries["v"], queries["near"], strict=True):
+        x = np.asarray(v, dtype=np.float64)
+        table, scores, items = quantiser.tables(x), [], []
+        for c, a, b in zip(near, np.searchsorted(cell, near), np.searchsorted(cell, near, "right"), strict=True):
+            scores.append(quantiser.cells[c] @ x + table[parts, code[a:b]].sum(1))
+            items.append(item[a:b])
+        s, o = np.concatenate(scores), np.concatenate(items)
+        n = len(s)
+        if n > 2 * most:
+            high = np.flatnonzero(s >= np.partition(s, -most)[-most])
+            s, o = s[high], o[high]
+        keep = np.lexsort((o, -s))[:most]
+        if n:
+            out.append(pd.DataFrame({"query_id": np.full(len(keep), id_, np.int64), "item_id": o[keep], "near": s[keep], "seen": np.append(n, np.zeros(len(keep) - 1, np.int64))}))
+    return pd.concat(out)
 
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
