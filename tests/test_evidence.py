@@ -121,3 +121,30 @@ def test_answers_without_evidence_and_without_graph(spark):
     cited = {(r["query"], r.place): r.document_id for r in evidence.guideline_citations(asked, alone).collect()}
     assert cited[("n", 1)].startswith("guideline_") and cited[("w", 1)] == "3"
     assert {r["query"]: r.coverage for r in evidence.covered(asked, evidence.retrieve(held, asked)).collect()} == {"a": "none", "w": "partial", "n": "none"}
+
+
+def test_bm25_makes_no_row_for_a_pair(spark, monkeypatch):
+    """Questions and documents that all share a term meet in blocks: no join has a row for each pair; blocks don't change the answer, nor does an index of the terms asked for."""
+    rnd, docs = corpus(3, 120)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", "the of and w%d" % i) for i in range(60)], "query_id string, text string")
+    monkeypatch.setattr(lexical, "ASKED_BLOCK", 40)
+    monkeypatch.setattr(lexical, "POSTINGS_BLOCK", 100)
+    only = asked.select(F.explode(lexical.terms(F.col("text"))).alias("term"))
+    small, whole = lexical.inverted_index(df, only=only), lexical.inverted_index(df)
+    assert small.terms.count() < whole.terms.count()
+    found = lexical.bm25_top_k(small, asked, 5)
+    rows = lambda x: sorted((r.query_id, r["rank"], r.id, r.score) for r in x.collect())
+    assert rows(found) == rows(lexical.bm25_top_k(whole, asked, 5))
+    for i in (0, 59):
+        want = sorted((-s, d) for d, s in scores(docs, "the of and w%d" % i).items())[:5]
+        assert [x[2:] for x in rows(found) if x[0] == f"q{i}"] == [(d, -s) for s, d in want]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroupedMap" in plan or "FlatMapCoGroupsIn" in plan
+
+
+def test_a_weight_of_nothing_still_counts():
+    postings = lexical.pd.DataFrame({"t": [0, 0, 1], "id": [5, 3, 3], "w": [0, 0, 7]})
+    questions = lexical.pd.DataFrame({"_q": ["a", "b", "c"], "ts": [[0], [0, 1], []]})
+    got = lexical._best_documents(questions, postings, 2)
+    assert list(got.itertuples(index=False, name=None)) == [("a", 3, 0), ("a", 5, 0), ("b", 3, 7), ("b", 5, 0)]
