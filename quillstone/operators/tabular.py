@@ -20,7 +20,7 @@ CHUNK = "doc_id string, chunk_id string, chunk_type string, text string, tokens
 
 def present(value: Column) -> Column:
     """A cell that says something, else null."""
-    return F.nullif(clean_null(value), F.lit(""))
+    return let(value, lambda v: F.nullif(clean_null(v), F.lit("")))
 
 
 def field(headers: Column, cells: Column, *names: str) -> Column:
@@ -35,9 +35,20 @@ def field(headers: Column, cells: Column, *names: str) -> Column:
     return F.coalesce(*[one(n) for n in names])
 
 
+def fields(headers: Column, cells: Column, names: list[str]) -> Column:
+    """A struct of ``field`` for each name, f0, f1 and so on: the headers are turned round once for all."""
+
+    def each(r: Column) -> Column:
+        at = lambda name: F.array_position(r["h"], name)
+        return F.struct(*[F.when(at(n) > 0, present(F.get(r["c"], (F.size(r["h"]) - at(n)).cast("int")))).alias(f"f{i}") for i, n in enumerate(names)])
+
+    own = F.slice(headers, 1, F.least(F.size(headers), F.size(cells)))
+    return let(F.struct(F.reverse(own).alias("h"), cells.alias("c")), each)
+
+
 def joined(sep: str, *parts: Column) -> Column:
     """The parts that aren't null, joined; null if there is none."""
-    return F.nullif(F.concat_ws(sep, *parts), F.lit(""))
+    return let(F.concat_ws(sep, *parts), lambda s: F.nullif(s, F.lit("")))
 
 
 def _with(prefix: str, *parts: Column) -> Column:
@@ -47,27 +58,36 @@ def _with(prefix: str, *parts: Column) -> Column:
 
 def said_critical(headers: Column, cells: Column) -> Column:
     """A row of a table of critical values as a sentence; null without a test's name or any bound."""
-    f = lambda *n: field(headers, cells, *n)
-    low, high, unit = f("Normal Low"), f("Normal High"), f("Unit")
-    context = joined(", ", f("Category"), f("Specimen"))
-    both = F.when(high.isNotNull(), F.concat(F.lit("normal range "), low, F.lit("–"), F.concat_ws(" ", high, unit)))
-    normal = F.coalesce(both, _with("normal low ", low, unit), _with("normal high ", high, unit))
-    bounds = joined("; ", normal, _with("critical low ", f("Critical Low"), unit), _with("critical high ", f("Critical High"), unit))
-    whom = joined(", ", f("Age Group"), f("Gender"))
-    head = F.concat(f("Test Name"), F.coalesce(F.concat(F.lit(" ("), context, F.lit(")")), F.lit("")))
-    rest = F.when(bounds.isNotNull(), F.concat_ws("; ", bounds, F.concat(F.lit("for "), whom)))
-    return F.concat(head, F.lit(": "), rest, F.lit("."), F.coalesce(F.concat(F.lit(" "), f("Clinical Interpretation")), F.lit("")))
+    names = ["Normal Low", "Normal High", "Unit", "Category", "Specimen", "Critical Low", "Critical High", "Age Group", "Gender", "Test Name", "Clinical Interpretation"]
+
+    def said(r: Column) -> Column:
+        low, high, unit, category, specimen, critical_low, critical_high, age, gender, test, means = (r[f"f{i}"] for i in range(len(names)))
+        both = F.when(high.isNotNull(), F.concat(F.lit("normal range "), low, F.lit("–"), F.concat_ws(" ", high, unit)))
+        normal = F.coalesce(both, _with("normal low ", low, unit), _with("normal high ", high, unit))
+        bounds = joined("; ", normal, _with("critical low ", critical_low, unit), _with("critical high ", critical_high, unit))
+        head = F.concat(test, F.coalesce(F.concat(F.lit(" ("), joined(", ", category, specimen), F.lit(")")), F.lit("")))
+        rest = let(bounds, lambda b: F.when(b.isNotNull(), F.concat_ws("; ", b, F.concat(F.lit("for "), joined(", ", age, gender)))))
+        return F.concat(head, F.lit(": "), rest, F.lit("."), F.coalesce(F.concat(F.lit(" "), means), F.lit("")))
+
+    return let(fields(headers, cells, names), said)
 
 
 def said_loinc(headers: Column, cells: Column) -> Column:
     """A row of a table of reference intervals as a sentence; null without a test's name or anything to say of it."""
-    f = lambda *n: field(headers, cells, *n)
-    context = joined(", ", f("Specimen"), f("Gender-specific"), f("Age group-specific"), f("Women-related condition", "Other condition"))
-    code = F.coalesce(F.concat(F.lit(" (LOINC: "), f("LOINC"), F.lit(")")), F.lit(""))
-    head = F.concat(f("Lab Test"), code, F.coalesce(F.concat(F.lit(" ("), context, F.lit(")")), F.lit("")))
-    si = F.when(f("SI Units").isNotNull(), _with("SI interval ", f("SI Reference Interval"), f("SI Units")))
-    says = joined("; ", _with("reference type: ", f("Types of reference range")), _with("reference interval ", f("Traditional Reference Interval"), f("Traditional Units")), si)
-    return F.concat(head, F.lit(": "), says, F.lit("."))
+    names = [
+        "Specimen", "Gender-specific", "Age group-specific", "Women-related condition", "Other condition", "LOINC", "Lab Test", "SI Units", "SI Reference Interval", "Types of reference range",
+        "Traditional Reference Interval", "Traditional Units",
+    ]
+
+    def said(r: Column) -> Column:
+        specimen, gender, age, women, other, loinc, test, si_units, si_interval, kind, interval, units = (r[f"f{i}"] for i in range(len(names)))
+        code = F.coalesce(F.concat(F.lit(" (LOINC: "), loinc, F.lit(")")), F.lit(""))
+        head = F.concat(test, code, F.coalesce(F.concat(F.lit(" ("), joined(", ", specimen, gender, age, F.coalesce(women, other)), F.lit(")")), F.lit("")))
+        si = F.when(si_units.isNotNull(), _with("SI interval ", si_interval, si_units))
+        says = joined("; ", _with("reference type: ", kind), _with("reference interval ", interval, units), si)
+        return F.concat(head, F.lit(": "), says, F.lit("."))
+
+    return let(fields(headers, cells, names), said)
 
 
 def said_generic(headers: Column, cells: Column, most: int = LONGEST) -> Column:
@@ -79,7 +99,7 @@ def said_generic(headers: Column, cells: Column, most: int = LONGEST) -> Column:
     def cut(s: Column) -> Column:
         return F.when(token_estimate(s) > most, F.concat(F.array_join(F.slice(F.split(s, r"\s+"), 1, int(most / 1.3)), " "), F.lit("…"))).otherwise(s)
 
-    return F.when(F.size(kept) >= 2, let(F.concat(F.array_join(kept, "; "), F.lit(".")), cut))
+    return let(kept, lambda k: F.when(F.size(k) >= 2, let(F.concat(F.array_join(k, "; "), F.lit(".")), cut)))
 
 
 def said_row(headers: Column, cells: Column) -> Column:
