@@ -88,3 +88,11 @@ def unit_factor(name: Column, unit: Column, target: Column) -> Column:
     for k, f in UNIT_FACTORS:
         out = F.when(key == k, f).otherwise(out)
     return out
+
+
+def with_unit_factor(values: DataFrame, name: Column, unit: Column, target: Column) -> DataFrame:
+    """``values`` with factor: ``unit_factor`` of each different (name, unit, target), looked up once and joined, nulls too."""
+    keyed = values.withColumns({"_name": name, "_unit": unit, "_target": target})
+    different = keyed.select("_name", "_unit", "_target").distinct()
+    known = written(different.select(F.struct("_name", "_unit", "_target").alias("_k"), unit_factor(F.col("_name"), F.col("_unit"), F.col("_target")).alias("factor")), "factors")
+    return keyed.join(broadcast_if_small(known), F.struct("_name", "_unit", "_target").eqNullSafe(F.col("_k")), "left").drop("_name", "_unit", "_target", "_k")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.operators.lab import assessed, direction, latest_values, missing_checks, normalised, out_of_target, trends
 from quillstone.operators.ranking import first_last, scaled
 from quillstone.functions.tables import numbered, written
-from quillstone.operators.aliases import UNIT_FACTORS, mapped_names, unit_factor
+from quillstone.operators.aliases import UNIT_FACTORS, mapped_names, with_unit_factor
 from quillstone.plans.catalog import query, table
 
 # Stand-ins: event types as tests (name, unit) with ranges for their values.
@@ -153,4 +153,5 @@ def unit_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     units = F.expr(f"array({_UNITS[1:-1]})")
     name = F.get(F.array(*map(F.lit, ["creatinine", "glucose", "potassium", "hemoglobin", "hb", "so"])), (F.col("l_partkey") % 6).cast("int"))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", unit_factor(name, F.get(units, (F.col("l_suppkey") % 6).cast("int")), F.get(units, F.col("l_linenumber") % 6)).alias("factor"))
+    rows = with_unit_factor(li, name, F.get(units, (F.col("l_suppkey") % 6).cast("int")), F.get(units, F.col("l_linenumber") % 6))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "factor")
