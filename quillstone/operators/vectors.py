@@ -101,14 +101,12 @@ class _Best:
     def take(self, items: pd.DataFrame) -> None:
         if not len(self.ids):
             return
-        for a in range(0, len(items), ROWS):
-            part = items.iloc[a : a + ROWS]
-            part = part[part["v"].map(lambda v: v is not None and len(v) == self.q.shape[1])]
-            if len(part):
-                x, ids = np.array(part["v"].tolist(), dtype=np.float64), part["id"].to_numpy()
-                for cell in [None] if self.near is None else np.unique(part["cell"]):
-                    own = slice(None) if cell is None else np.flatnonzero(part["cell"].to_numpy() == cell)
-                    self._meet(x[own], ids[own], cell)
+        items = items[items["v"].map(lambda v: v is not None and len(v) == self.q.shape[1])]
+        parts = [(None, items)] if self.near is None else items.groupby("cell")
+        for cell, own in parts:
+            for a in range(0, len(own), ROWS):
+                part = own.iloc[a : a + ROWS]
+                self._meet(np.array(part["v"].tolist(), dtype=np.float64), part["id"].to_numpy(), cell)
 
     def _meet(self, x: np.ndarray, ids: np.ndarray, cell: int | None) -> None:
         for n, tile in enumerate(self.tiles):
