@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.tables import written
 from quillstone.operators.containment import contains_join
 from quillstone.operators.graph import STOPWORDS, query_terms
-from quillstone.operators.paths import Hop, chunk_heads, entity_chunks, own_chunks, passes, seeded_hits, seeds, shared_entities, tested_entities
+from quillstone.operators.paths import Hop, chunk_heads, entity_chunks, own_chunks, passes, seeded_hits, seeded_only, seeded_ranks, seeds, shared_entities, tested_entities
 from quillstone.operators.ranking import top_n
 from quillstone.plans.catalog import query, table
 
@@ -67,20 +67,24 @@ seeded AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ord, l, plac
 
 
 def _hits(g: dict[str, DataFrame], heads: DataFrame) -> DataFrame:
-    """Hits of all entities of the four labels, tests through their relation, drugs through treats or causes, terms against their mapping."""
-    out = entity_chunks(heads, "Disease", g["parts"]).withColumn("label", F.lit("Disease"))
-    for label, names, edges, back in (("LabTest", "tests", "related", False), ("Drug", "drugs", "treats", False), ("OntologyTerm", "terms", "mapped", True)):
-        out = out.unionByName(entity_chunks(heads, label, g[names], Hop(g[edges], "Disease", g["parts"], back)).withColumn("label", F.lit(label)))
+    """Hits of the entities of the four labels, tests through their relation, drugs through treats or causes, terms against their mapping."""
+    out = entity_chunks(heads, "Disease", g["seeded Disease"]).withColumn("label", F.lit("Disease"))
+    for label, edges, back in (("LabTest", "related", False), ("Drug", "treats", False), ("OntologyTerm", "mapped", True)):
+        out = out.unionByName(entity_chunks(heads, label, g[f"seeded {label}"], Hop(g[edges], "Disease", g["parts"], back)).withColumn("label", F.lit(label)))
     return out
 
 
-def _seeded(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
+def _seeded(spark: SparkSession, sf_dir: str, all_tests: bool = False) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, tuple[DataFrame, DataFrame]]:
+    """The graph, the first chunks of its diseases, the questions' terms, and what ``seeded_hits`` takes besides: seeds and
+    hits of the entities that a term seeds (and of all tests)."""
     g = _graph(spark, sf_dir)
     terms = written(_questions(spark, sf_dir).select("query", F.posexplode(query_terms(F.col("question"))).alias("ord", "term")), "terms")
-    found = written(seeds(terms, [("Disease", g["parts"]), ("LabTest", g["tests"]), ("Drug", g["drugs"]), ("OntologyTerm", g["terms"])]), "seeds")
+    labels = [("Disease", g["parts"]), ("LabTest", g["tests"]), ("Drug", g["drugs"]), ("OntologyTerm", g["terms"])]
+    found = written(seeds(terms, labels), "seeds")
     heads = written(chunk_heads(g["mentions"], g["chunks"]), "heads")
-    hits = written(_hits(g, heads), "hits")
-    return g, heads, hits, seeded_hits(found, hits, 20)
+    for label, names in labels:
+        g[f"seeded {label}"] = names if all_tests and label == "LabTest" else seeded_only(names, found, label)
+    return g, heads, terms, (found, written(_hits(g, heads), "hits"))
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -92,7 +96,8 @@ def _plain(df: DataFrame) -> DataFrame:
 @query(f"WITH {_FOUND} SELECT query, rank, term, label, d AS document, c AS chunk, path, ents AS entities, text, 0.85::DOUBLE AS score, 'high' AS trust FROM seeded")
 def seeded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of four labels that a question's terms name, and the chunks they lead to, with path, entities and score."""
-    return _plain(_seeded(spark, sf_dir)[3])
+    _, _, terms, (found, hits) = _seeded(spark, sf_dir)
+    return _plain(seeded_hits(terms, found, hits, 20))
 
 
 @query(f"""WITH {_FOUND}, docs AS (SELECT o_orderkey AS query, 1 AS place, o_orderkey AS d FROM orders WHERE o_orderkey % 20 = 0
@@ -112,16 +117,16 @@ SELECT query, row_number() OVER (PARTITION BY query ORDER BY pass, place, n) AS
 def typed_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named entities first (six hits here, so that every pass shows), then the documents' own chunks, those that share an
     entity and those reached through tests. Seeds are the order and its customer's first four others."""
-    g, heads, hits, named = _seeded(spark, sf_dir)
+    g, heads, terms, (found, hits) = _seeded(spark, sf_dir, all_tests=True)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     mine = o.where("o_orderkey % 20 = 0")
     other = mine.join(o.select("o_custkey", F.col("o_orderkey").alias("document")), "o_custkey").where("document <> o_orderkey")
     other = top_n(other, ["o_orderkey"], [F.asc("document")], 4, "_r").select(F.col("o_orderkey").alias("query"), (F.col("_r") + 1).alias("place"), "document")
     docs = written(mine.select(F.col("o_orderkey").alias("query"), F.lit(1).alias("place"), F.col("o_orderkey").alias("document")).unionByName(other), "seed-docs")
-    own = own_chunks(docs, g["chunks"], g["mentions"], g["parts"], "Disease")
-    shared = shared_entities(docs, g["mentions"], heads, g["parts"], "Disease")
-    tests = tested_entities(docs, g["tested"], hits.where("label = 'LabTest'"), g["tests"], "LabTest")
-    return _plain(passes(named.where("rank <= 6"), own, shared, tests))
+    own = lambda d: own_chunks(d, g["chunks"], g["mentions"], g["parts"], "Disease")
+    shared = lambda d: shared_entities(d, g["mentions"], heads, g["parts"], "Disease")
+    tests = lambda d: tested_entities(d, g["tested"], hits.where("label = 'LabTest'"), g["tests"], "LabTest")
+    return _plain(passes(seeded_ranks(terms, found, hits, 6), docs, own, shared, tests))
 
 
 @query("""WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part), t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{2,5}')) AS term FROM benchmark)
