@@ -48,10 +48,16 @@ def concepts_of_types(rows: DataFrame, types: list[str] = DISEASE_TYPES) -> Data
     return rows.where((F.size("cells") >= 4) & at(F.col("cells"), 3).isin(types)).select(at(F.col("cells"), 0).alias("id")).distinct()
 
 
+def made_once(rows: DataFrame) -> DataFrame:
+    """Rows whose cells are computed once: filters and columns above would each compute them again, as Spark moves filters below what
+    makes their columns, but not below an explode."""
+    return rows.select(F.explode(F.array("cells")).alias("cells"))
+
+
 def term_rows(rows: DataFrame, concepts: DataFrame) -> DataFrame:
     """(id, vocabulary, code, term, preferred, priority) of English terms of the concepts that aren't suppressed, from known vocabularies."""
     c = F.col("cells")
-    fine = rows.where((F.size(c) >= 15) & (at(c, 1) == "ENG") & not_suppressed(c, 16) & at(c, 11).isin(list(TERM_PRIORITY)))
+    fine = made_once(rows).where((F.size(c) >= 15) & (at(c, 1) == "ENG") & not_suppressed(c, 16) & at(c, 11).isin(list(TERM_PRIORITY)))
     known = F.create_map(*[F.lit(x) for kv in TERM_PRIORITY.items() for x in kv])
     out = fine.select(at(c, 0).alias("id"), at(c, 11).alias("vocabulary"), at(c, 13).alias("code"), at(c, 14).alias("term"), (at(c, 6) == "Y").alias("preferred"), known[at(c, 11)].alias("priority"))
     return out.join(concepts, "id", "left_semi")

@@ -58,8 +58,8 @@ def concept_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT b.id, b.term, count(DISTINCT o.term) AS terms FROM b JOIN o ON o.id = b.id GROUP BY b.id, b.term""")
 def concept_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name of each concept: its term from the vocabulary of the highest priority, the first code of equals."""
-    t = _terms(spark, sf_dir).groupBy("id", "term", "priority").agg(F.min(F.concat("vocabulary", "code")).alias("o"))
-    return best_by_priority(t, "id", "priority", "o").select("id", "term").join(t.groupBy("id").agg(F.count_distinct("term").alias("terms")), "id")
+    best = F.min(F.struct((-F.col("priority")).alias("p"), F.concat("vocabulary", "code").alias("o"))).alias("best")
+    return _terms(spark, sf_dir).groupBy("id", "term").agg(best).groupBy("id").agg(F.min_by("term", "best").alias("term"), F.count("term").alias("terms"))
 
 
 @query(f"""SELECT id, arg_min(definition, (-priority, definition)) AS definition FROM (SELECT 'C' || l_partkey AS id, 'about ' || l_shipdate::DATE AS definition,
