@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.tables import broadcast_if_small, written
-from quillstone.operators.vectors import dot, ranked
+from quillstone.functions.tables import written
+from quillstone.operators.vectors import ranked, rough_of
 
 #: Subspaces of a vector (a byte each), codes of a subspace, vectors that cells and codes are fitted on at most, rounds of fitting.
 PARTS, CODES, SAMPLE, ROUNDS = 16, 256, 50_000, 12
-#: Queries that are searched for at once at most, codes that they meet in one task, queries whose vectors are sent to all for the exact scores.
-QUERY_BLOCK, CODE_BLOCK, MOST_SENT = 5_000, 500_000, 100_000
+#: Queries that are searched for at once at most, codes of a cell that they meet in one task, codes of which candidates are taken, queries whose
+#: scores are computed at once.
+QUERY_BLOCK, CODE_BLOCK, PART, TILE = 40_000, 20_000, 4_096, 256
 
 
 def fitted(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -43,10 +44,12 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Quantiser:
-    """Centroids of the cells, and for each subspace the centroids of residuals."""
+    """Centroids of the cells, for each subspace the centroids of residuals, and by what each cell's residuals are divided for that: their
+    usual length, so that codes tell vectors of a tight cell apart too."""
 
     cells: np.ndarray
     books: list[np.ndarray]
+    scale: np.ndarray
 
     @property
     def dimensions(self) -> int:
@@ -58,18 +61,15 @@ class Quantiser:
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell of each vector, and the codes of what its centroid leaves of it."""
         cell = nearest(x, self.cells)
-        return cell, np.stack([nearest(r, b) for r, b in zip(self.cut(x - self.cells[cell]), self.books, strict=True)], axis=1).astype(np.uint8)
+        return cell, np.stack([nearest(r, b) for r, b in zip(self.cut((x - self.cells[cell]) / self.scale[cell, None]), self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """(parts, codes) of inner products of a query with the codes."""
-        out = np.zeros((len(self.books), CODES))
-        for i, (part, book) in enumerate(zip(self.cut(q[None]), self.books, strict=True)):
-            out[i, : len(book)] = book @ part[0]
-        return out
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """What the codes (rows, parts) say of scaled residuals, in single precision."""
+        return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1).astype(np.float32)
 
 
 class ProductIndex:
-    """A folder of an index: ``quantiser`` (fitted once), ``codes`` and ``vectors`` in slabs, and a ``manifest`` of the slabs that are whole.
+    """A folder of an index: ``quantiser`` (fitted once), ``codes`` in slabs, each with its vector, and a ``manifest`` of the slabs that are whole.
 
     Readers see the slabs of the manifest and nothing else; a slab is entered there after all its files are written. To append
     a slab that is there does nothing; one that was begun and not entered is written anew.
@@ -95,7 +95,11 @@ class ProductIndex:
         if not len(x):
             raise ValueError("an index needs vectors to be fitted on")
         centers = fitted(x, cells, seed)
-        rest = x - centers[nearest(x, centers)]
+        near = nearest(x, centers)
+        rest = x - centers[near]
+        scale = np.sqrt(np.bincount(near, (rest**2).sum(1), len(centers)) / np.maximum(np.bincount(near, minlength=len(centers)), 1))
+        scale = np.where(scale > 1e-9, scale, 1.0)
+        rest /= scale[near, None]
         cuts = [(i, part.ravel().tolist(), part.shape[1]) for i, part in enumerate(np.array_split(rest, parts, axis=1))]
 
         def book(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,13 +109,14 @@ class ProductIndex:
                     yield pd.DataFrame({"part": [i], "width": [c.shape[1]], "flat": [c.ravel().tolist()]})
 
         books = spark.createDataFrame(cuts, "part int, flat array<double>, width int").repartition(parts, "part").mapInPandas(book, "part int, width int, flat array<double>")
-        whole = [(-1, centers.shape[1], centers.ravel().tolist())]
+        whole = [(-1, centers.shape[1], centers.ravel().tolist()), (-2, 1, scale.tolist())]
         books.unionByName(spark.createDataFrame(whole, "part int, width int, flat array<double>")).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/quantiser")
         return index
 
     def quantiser(self) -> Quantiser:
         rows = {r.part: np.array(r.flat).reshape(-1, r.width) for r in self.spark.read.parquet(f"{self.path}/quantiser").collect()}  # a row a subspace
-        return Quantiser(rows.pop(-1), [rows[i] for i in sorted(rows)])
+        cells, scale = rows.pop(-1), rows.pop(-2).ravel()
+        return Quantiser(cells, [rows[i] for i in sorted(rows)], scale)
 
     def slabs(self) -> set[str]:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
@@ -135,88 +140,117 @@ class ProductIndex:
                 if batch.num_rows:
                     x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                     cell, codes = held.value.encode(x)
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "cell", "code"])
+                    code = pa.array([c.tobytes() for c in codes], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell, pa.int32()), code, batch.column("v")], ["id", "cell", "code", "v"])
 
         rows = _clean(vectors, id_col, vector_col).where(F.size("v") == held.value.dimensions)
         rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/vectors/{slab}")
-        there = self.spark.read.parquet(f"{self.path}/vectors/{slab}")
-        there.mapInArrow(f, "id long, cell int, code binary").hint("rebalance", "cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{self.path}/codes/{slab}")
+        rows.mapInArrow(f, _CODES).hint("rebalance", "cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{self.path}/codes/{slab}")
         n = self.spark.read.parquet(f"{self.path}/codes/{slab}").count()
         self.spark.createDataFrame([(slab, n)], "slab string, vectors long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{slab}")
         return True
 
-    def _tables(self, kind: str) -> DataFrame:
+    def codes(self) -> DataFrame:
         found = sorted(self.slabs())
-        if found:
-            return self.spark.read.parquet(*[f"{self.path}/{kind}/{s}" for s in found])
-        return self.spark.createDataFrame([], "id long, cell int, code binary" if kind == "codes" else "id long, v array<double>")
+        return self.spark.read.parquet(*[f"{self.path}/codes/{x}" for x in found]) if found else self.spark.createDataFrame([], _CODES)
 
     # ------------------------------------------------------------ search
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 8, again: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-        """(query_id, item_id, score, rank, scanned): the k items of greatest inner product among the ``again * k`` best by codes in the
-        ``nprobe`` cells nearest to each query; ``scanned`` codes were looked at for it. Scores are exact.
+        """(query_id, item_id, score, rank, scanned): the k items of greatest inner product with each query among those in the ``nprobe`` cells
+        nearest to it that are of the ``again * k`` best by codes of their cell's part; ``scanned`` codes were looked at for it. Scores are exact.
 
-        Queries of any number are hashed into blocks of about ``block``, codes into blocks of CODE_BLOCK; each pair of blocks is a
-        group, which makes the tables of its queries' inner products with the codes. Codes of cells that no query probes aren't read."""
+        Candidates are taken of each part of at most PART codes of a cell and scored where they are found, so recall doesn't fall as the
+        index grows and only the k best of a task are shuffled. Queries of any number are hashed into blocks of about ``block``, cells into
+        blocks of about CODE_BLOCK; the queries of a block that probe a cell meet each of its blocks in a task."""
         quantiser = self.quantiser()
         held = self.spark.sparkContext.broadcast(quantiser)
-        few = written(_clean(queries, id_col, vector_col).where(F.size("v") == quantiser.dimensions).dropDuplicates(["id"]), "asked")
+        few = _clean(queries, id_col, vector_col).where(F.size("v") == quantiser.dimensions).dropDuplicates(["id"])
 
-        def nearest_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def nearest_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = held.value.cells
             for batch in batches:
-                if len(batch):
-                    x = np.array(batch["v"].tolist(), dtype=np.float64)
-                    yield batch.assign(near=np.argsort(0.5 * (cells**2).sum(1) - x @ cells.T, axis=1, kind="stable")[:, :nprobe].tolist())
-
-        probing = written(few.mapInPandas(nearest_cells, "id long, v array<double>, near array<int>"), "probing")
-        probed = [r.cell for r in probing.select(F.explode("near").alias("cell")).distinct().collect()]  # as many as there are cells at most
-        codes = self._tables("codes").where(F.col("cell").isin(sorted(probed)) if probed else F.lit(False))
-        n_queries, n_codes = max(1, -(-probing.count() // block)), max(1, -(-codes.count() // CODE_BLOCK))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-        left = probing.withColumn("p", dealt(n_queries)).withColumn("i", every(n_codes))
-        right = codes.withColumn("i", dealt(n_codes)).withColumn("p", every(n_queries))
+                if batch.num_rows:
+                    x = _matrix(batch.column("v"), batch.num_rows)
+                    near = np.argsort(0.5 * (cells**2).sum(1) - x @ cells.T, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(list(near), pa.list_(pa.int32()))], ["id", "v", "near"])
+
+        probing = written(few.mapInArrow(nearest_cells, "id long, v array<double>, near array<int>"), "probing")
+        n_queries = max(1, -(-probing.count() // block))
+        codes = self.codes()
+        sizes = [(r.cell, -(-r["count"] // CODE_BLOCK)) for r in codes.groupBy("cell").count().collect()]  # as many as there are cells at most
+        parts = F.broadcast(self.spark.createDataFrame(sizes, "cell int, parts int"))
+        dealt = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = probing.select("id", "v", F.explode("near").alias("cell")).join(parts, "cell").select("id", "v", "cell", dealt(F.lit(n_queries)).alias("p"), every(F.col("parts")).alias("i"))
+        right = codes.join(parts, "cell").select("id", "code", "v", "cell", dealt(F.col("parts")).alias("i"), every(F.lit(n_queries)).alias("p"))
         most = again * k
 
-        def f(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-            return _scanned(held.value, own, others, most)
-
-        found = left.groupBy("p", "i").cogroup(right.groupBy("p", "i")).applyInPandas(f, "query_id long, item_id long, near double, seen long")
-        order = Window.partitionBy("query_id").orderBy(F.desc("near"), F.asc("item_id"))
-        found = found.withColumns({"_r": F.row_number().over(order), "scanned": F.sum("seen").over(Window.partitionBy("query_id"))}).where(F.col("_r") <= most)
-        asked = few.select(F.col("id").alias("query_id"), F.col("v").alias("_q"))
-        exact = found.join(self._tables("vectors").withColumnRenamed("id", "item_id"), "item_id").join(broadcast_if_small(asked, MOST_SENT), "query_id")
-        exact = exact.select("query_id", "item_id", dot(F.col("v"), F.col("_q")).alias("score"), "scanned")
-        return ranked(exact, k)
-
-
-def _scanned(quantiser: Quantiser, queries: pd.DataFrame, codes: pd.DataFrame, most: int) -> pd.DataFrame:
-    """(query_id, item_id, near, seen): the ``most`` best by codes in each query's cells, and how many were looked at (in its first row)."""
-    out = [pd.DataFrame({"query_id": [], "item_id": [], "near": [], "seen": []}).astype({"query_id": "int64", "item_id": "int64", "seen": "int64"})]
-    if not len(codes):
-        return out[0]
-    codes = codes.sort_values("cell", kind="stable")
-    cell, item = codes["cell"].to_numpy(), codes["id"].to_numpy()
-    code = np.frombuffer(b"".join(codes["code"]), dtype=np.uint8).reshape(len(item), -1)
-    parts = np.arange(code.shape[1])
-    for id_, v, near in zip(queries["id"], queries["v"], queries["near"], strict=True):
-        x = np.asarray(v, dtype=np.float64)
-        table, scores, items = quantiser.tables(x), [], []
-        for c, a, b in zip(near, np.searchsorted(cell, near), np.searchsorted(cell, near, "right"), strict=True):
-            scores.append(quantiser.cells[c] @ x + table[parts, code[a:b]].sum(1))
-            items.append(item[a:b])
-        s, o = np.concatenate(scores), np.concatenate(items)
-        n = len(s)
-        if n > 2 * most:
-            high = np.flatnonzero(s >= np.partition(s, -most)[-most])
-            s, o = s[high], o[high]
-        keep = np.lexsort((o, -s))[:most]
-        if n:
-            out.append(pd.DataFrame({"query_id": np.full(len(keep), id_, np.int64), "item_id": o[keep], "near": s[keep], "seen": np.append(n, np.zeros(len(keep) - 1, np.int64))}))
-    return pd.concat(out)
+        def f(own: pa.Table, others: pa.Table) -> pa.Table:
+            return _scanned(held.value, own, others, most, k)
+
+        found = left.groupBy("cell", "i", "p").cogroup(right.groupBy("cell", "i", "p")).applyInArrow(f, "query_id long, item_id long, score double, seen long")
+        found = found.withColumn("scanned", F.sum("seen").over(Window.partitionBy("query_id"))).select("query_id", "item_id", "score", "scanned")
+        return ranked(found, k)
+
+
+_CODES = "id long, cell int, code binary, v array<double>"
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _scanned(quantiser: Quantiser, own: pa.Table, others: pa.Table, most: int, k: int) -> pa.Table:
+    """(query_id, item_id, score, seen): the k best of a cell's items for each query, of the ``most`` best by codes of each PART of them, and how many were looked at (in its first row)."""
+    n, out = others.num_rows, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+    if n and own.num_rows:
+        asked, q = own["id"].to_numpy(), _matrix(own["v"], own.num_rows)
+        item, x = others["id"].to_numpy(), _matrix(others["v"], n)
+        by_id = np.argsort(item)
+        about = None
+        if n > 4 * most:  # fewer are all scored at once, which takes no longer
+            code = np.frombuffer(b"".join(others["code"].to_pylist()), dtype=np.uint8).reshape(n, -1)
+            by_id = by_id[_first_of_codes(code[by_id], most)]
+            about = quantiser.decoded(code[by_id])
+        item, x = item[by_id], x[by_id]
+        rough, least = rough_of(q, x)
+        for a in range(0, len(q), TILE):
+            part, near, found = q[a : a + TILE], rough(q[a : a + TILE]), []
+            for b in range(0, len(item), PART):
+                there, j = rough(x[b : b + PART]), None
+                if about is not None and len(there) > most:
+                    j = np.argpartition(part.astype(np.float32) @ about[b : b + PART].T, len(there) - most, axis=1)[:, len(there) - most :]
+                s = near @ there.T if j is None else np.einsum("qcd,qd->qc", there[j], near)
+                at, c = _high(s, k, least)
+                found.append((at, b + (c if j is None else j[at, c])))
+            i, j = (np.concatenate(f) for f in zip(*found, strict=True))
+            score = np.einsum("nd,nd->n", x[j], part[i])  # of a pair alone, so equal vectors have equal scores
+            order = np.lexsort((j, -score, i))
+            i, j, score = i[order], j[order], score[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            best = nth < k
+            out.append((asked[a + i[best]], item[j[best]], score[best], np.where(nth[best] == 0, n, 0)))
+    return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["query_id", "item_id", "score", "seen"])
+
+
+def _high(s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of scores that may be among the k greatest of their row, if each is off by ``least`` at most."""
+    if s.shape[1] <= k:
+        return np.nonzero(np.ones(s.shape, dtype=bool))
+    return np.nonzero(~(s < (np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 2 * least)[:, None]))
+
+
+def _first_of_codes(code: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first ``most`` of each different code, in their order: of copies no more can count."""
+    wide = np.zeros((len(code), -(-code.shape[1] // 8) * 8), np.uint8)
+    wide[:, : code.shape[1]] = code
+    keys = wide.view(np.uint64)
+    order = np.lexsort(tuple(keys.T))
+    new = np.append(True, (keys[order][1:] != keys[order][:-1]).any(axis=1))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return np.sort(order[np.arange(len(order)) - first < most])
 
 
 def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:

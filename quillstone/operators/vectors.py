@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,16 @@ def found_best(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int
     return _by_broadcast(spark, queries.toPandas(), items, k) if n <= block else _by_blocks(queries, items, k, -(-n // block), -(-items.count() // (ITEMS * block)))
 
 
+def rough_of(q: np.ndarray, x: np.ndarray) -> tuple[Callable[[np.ndarray], np.ndarray], float]:
+    """How vectors are made ready for rough inner products, and by how much one of a row of each may be off: single precision, where their lengths
+    allow it, else double."""
+    size = [np.sqrt((v * v).sum(axis=1).max(initial=0.0)) for v in (q, x)]
+    single = all(1e-9 < n < 1e15 for n in size)
+    step = float(np.finfo(np.float32 if single else np.float64).eps)
+    off = 2 * (x.shape[1] + 4) * step * size[0] * size[1]
+    return (lambda v: v.astype(np.float32)) if single else (lambda v: v), off if np.isfinite(off) else np.inf
+
+
 def _none() -> pd.DataFrame:
     return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": "int64", "item_id": "int64"})
 

@@ -73,3 +73,30 @@ def test_hashed_vectors(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "A B b"), (3, ""), (4, None), (5, "...")], "doc_id long, text string")
     got = {r.id: r.vector for r in hashed_vectors(df).collect()}
     assert set(got) == {1, 2} and got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-12
+
+
+def test_recall_holds_as_the_index_grows(spark, tmp_path):
+    """Vectors without clusters, whose codes say little: of more items a given number of candidates held fewer and fewer of the hits."""
+    x = np.random.default_rng(8).standard_normal((12000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    asked = df.where("vec_id % 100 = 0")
+    recall = []
+    for n in (3000, 12000):
+        few = df.where(f"vec_id < {n}")
+        index = ProductIndex.fit(spark, few, str(tmp_path / str(n)), cells=8, parts=4, sample=3000)
+        index.append("all", few)
+        exact = exact_topk(spark, asked, few, 10).select("query_id", "item_id")
+        recall.append(spot_check(index, exact, asked, 10, nprobe=8, again=10).toPandas()["recall"].mean())
+    assert min(recall) >= 0.9, recall
+
+
+def test_copies_are_first_by_id(spark, tmp_path):
+    """More copies of a vector than candidates: the smallest ids are found, as exact search finds them."""
+    x = np.random.default_rng(9).standard_normal((400, 16))
+    rows_ = [(i, x[i % 400].tolist()) for i in range(400)] + [(400 + i, x[7].tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(5)
+    index = ProductIndex.fit(spark, df, str(tmp_path), cells=2, parts=4, sample=1000)
+    index.append("all", df)
+    found = index.search(df.where("vec_id = 7"), 5, nprobe=2, again=4)
+    assert [r.item_id for r in found.orderBy("rank").collect()] == [7, 400, 401, 402, 403] and found.first().scanned == 2400
