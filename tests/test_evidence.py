@@ -148,3 +148,14 @@ def test_a_weight_of_nothing_still_counts():
     questions = lexical.pd.DataFrame({"_q": ["a", "b", "c"], "ts": [[0], [0, 1], []]})
     got = lexical._best_documents(questions, postings, 2)
     assert list(got.itertuples(index=False, name=None)) == [("a", 3, 0), ("a", 5, 0), ("b", 3, 7), ("b", 5, 0)]
+
+
+def test_texts_meet_the_best_only(spark):
+    """What ranks documents has no text in it: texts are joined to the rows that stay, and documents of one id are told apart."""
+    docs = spark.createDataFrame([(i % 50, f"aspirin {'x' * (i % 7)} {i}", "s", "book", f"lib/{i}") for i in range(60)], "doc_id long, text string, source string, category string, path string")
+    held = evidence.Corpus(docs, lexical.inverted_index(docs.where("path not in ('lib/50', 'lib/51')")))
+    hits = evidence.retrieve(held, spark.createDataFrame([("a", "aspirin")], "query string, question string"), top=60, graph=False)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "text#" in plan
+    got = [(r.doc_id, r.canonical, r.text.split()[-1]) for r in hits.collect()]
+    assert len(got) == len(set(got)) == 60 and all(c == t for _, c, t in got) and {d for d, _, _ in got} == set(range(50))
