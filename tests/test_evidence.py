@@ -159,3 +159,39 @@ def test_texts_meet_the_best_only(spark):
     assert "Window" not in plan and "text#" in plan
     got = [(r.doc_id, r.canonical, r.text.split()[-1]) for r in hits.collect()]
     assert len(got) == len(set(got)) == 60 and all(c == t for _, c, t in got) and {d for d, _, _ in got} == set(range(50))
+
+
+def test_counted_terms_agree(spark, monkeypatch):
+    """Counts by document give what lists by term give, in blocks too."""
+    rnd, docs = corpus(4, 300)
+    df = spark.createDataFrame([*docs, (None, "the w1")], "doc_id long, text string").repartition(3)
+    asked = [(f"q{i}", " ".join(rnd.choice(["the", "of", f"w{rnd.randint(0, 60)}", "nowhere"]) for _ in range(rnd.randint(1, 9)))) for i in range(40)]
+    asked = spark.createDataFrame([*asked, asked[0], ("none", "nowhere"), ("null", None), ("the", "the"), (None, "the"), ("eté", "été STRASSE straße")], "query_id string, text string")
+    only = asked.select(F.explode(lexical.terms(F.col("text"))).alias("term"))
+    want = lexical.bm25_top_k(lexical.inverted_index(df), asked, 70)
+    rows = lambda x: sorted((r.query_id, r["rank"], r.id, r.score) for r in x.collect())
+    assert rows(lexical.bm25_top_k(lexical.counted_terms(df, only), asked, 70)) == rows(want)
+    for name, n in (("ASKED_TERMS", 40), ("COUNTED_TERMS", 300)):
+        monkeypatch.setattr(lexical, name, n)
+    index = lexical.counted_terms(df, only)
+    assert rows(lexical.bm25_top_k(index, asked, 5)) == [r for r in rows(want) if r[1] <= 5]
+    assert sorted((r.term, r.id) for r in index.mentions(spark.createDataFrame([("été",), ("nowhere",)], "term string")).collect()) == [("été", 403)]
+    monkeypatch.setattr(lexical, "VOCABULARY", 2)
+    assert lexical.counted_terms(df, only) is None
+
+
+def test_parts_of_documents_and_weights_of_nothing(monkeypatch):
+    """Documents scored in parts give what they give at once; those whose weights are nothing still count."""
+    rnd = random.Random(6)
+    has = [sorted(rnd.sample(range(12), rnd.randint(1, 6))) for _ in range(400)]
+    ints = lexical.pa.list_(lexical.pa.int32())
+    docs = lexical.pa.table({"id": rnd.sample(range(1000), 400), "len": lexical.pa.array([rnd.randint(6, 40) for _ in has], "int32"), "ts": lexical.pa.array(has, ints), "tfs": lexical.pa.array([[rnd.randint(1, 3) for _ in x] for x in has], ints)})
+    asked = lexical.pa.table({"_q": ["a", "b", "c"], "ts": lexical.pa.array([[0, 3, 5], [11], [12]], ints)})
+    for idf in ([0.5 + i / 7 for i in range(13)], [0.0] * 13):
+        whole = lexical._best_counted(asked, docs, lexical.np.array(idf), 9.0, 20).to_pylist()
+        assert [r["_q"] for r in whole] == ["a", "b"] and [len(r["ids"]) for r in whole] == [20, 20]
+        first = sorted(i for i, x in zip(docs["id"].to_pylist(), has, strict=True) if 11 in x)[:20]
+        assert idf[0] or (whole[1]["ids"] == first and set(whole[1]["scores"]) == {0})
+        with monkeypatch.context() as m:
+            m.setattr(lexical, "DOCUMENTS", 33)
+            assert lexical._best_counted(asked, docs, lexical.np.array(idf), 9.0, 20).to_pylist() == whole
