@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import evidence, lexical
 from quillstone.operators.containment import contains_join
 from quillstone.operators.paths import Hop, chunk_heads, entity_chunks
+from quillstone.plans import library
 
 
 def scores(docs, question):
@@ -195,3 +196,12 @@ def test_parts_of_documents_and_weights_of_nothing(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(lexical, "DOCUMENTS", 33)
             assert lexical._best_counted(asked, docs, lexical.np.array(idf), 9.0, 20).to_pylist() == whole
+
+
+def test_sub_questions_of_every_turn(spark, sf_dir):
+    """Coverage is told of all sub-questions, not of those of some conversations."""
+    queries = library.queries()
+    parts = {(r.conv_id, r.turn) for r in queries["question_parts"](spark, sf_dir).collect()}
+    got = [(r.conv_id, r.turn) for r in queries["sub_question_coverage"](spark, sf_dir).select("conv_id", "turn").collect()]
+    assert set(got) == parts and len(got) == 2 * len(parts) and any(c % 20 for c, _ in got)
+    assert "conv_id %" not in library.oracle_sql()["sub_question_coverage"]
