@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.tables import written
-from quillstone.operators.vectors import ranked, rough_of
+from quillstone.operators.vectors import longest, ranked, rough_of
 
 #: Subspaces of a vector (a byte each), codes of a subspace, vectors that cells and codes are fitted on at most, rounds of fitting.
 PARTS, CODES, SAMPLE, ROUNDS = 16, 256, 50_000, 12
@@ -215,15 +215,15 @@ def _scanned(quantiser: Quantiser, own: pa.Table, others: pa.Table, most: int, k
             by_id = by_id[_first_of_codes(code[by_id], most)]
             about = quantiser.decoded(code[by_id])
         item, x = item[by_id], x[by_id]
-        rough, least = rough_of(q, x)
+        kind, off = rough_of(longest(q), longest(x), x.shape[1])
         for a in range(0, len(q), TILE):
-            part, near, found = q[a : a + TILE], rough(q[a : a + TILE]), []
+            part, near, found = q[a : a + TILE], q[a : a + TILE].astype(kind), []
             for b in range(0, len(item), PART):
-                there, j = rough(x[b : b + PART]), None
+                there, j = x[b : b + PART].astype(kind), None
                 if about is not None and len(there) > most:
                     j = np.argpartition(part.astype(np.float32) @ about[b : b + PART].T, len(there) - most, axis=1)[:, len(there) - most :]
                 s = near @ there.T if j is None else np.einsum("qcd,qd->qc", there[j], near)
-                at, c = _high(s, k, least)
+                at, c = _high(s, k, off)
                 found.append((at, b + (c if j is None else j[at, c])))
             i, j = (np.concatenate(f) for f in zip(*found, strict=True))
             score = np.einsum("nd,nd->n", x[j], part[i])  # of a pair alone, so equal vectors have equal scores
@@ -235,11 +235,11 @@ def _scanned(quantiser: Quantiser, own: pa.Table, others: pa.Table, most: int, k
     return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names=["query_id", "item_id", "score", "seen"])
 
 
-def _high(s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of scores that may be among the k greatest of their row, if each is off by ``least`` at most."""
+def _high(s: np.ndarray, k: int, off: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of scores that may be among the k greatest of their row, if each is off by ``off`` at most."""
     if s.shape[1] <= k:
         return np.nonzero(np.ones(s.shape, dtype=bool))
-    return np.nonzero(~(s < (np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 2 * least)[:, None]))
+    return np.nonzero(~(s < (np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 2 * off)[:, None]))
 
 
 def _first_of_codes(code: np.ndarray, most: int) -> np.ndarray:

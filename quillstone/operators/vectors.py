@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from quillstone.sources.sinks import write_vectors
 
 #: Queries that go to every task at most; with more of them, blocks of so many queries meet blocks of ITEMS times as many items. Scores are
-#: computed for TILE queries and ROWS items at once, so a task's memory follows neither.
-QUERY_BLOCK, ITEMS, TILE, ROWS = 20_000, 5, 1_024, 2_048
+#: computed for TILE queries and ROWS items at once, and made anew for PAIRS, so a task's memory follows neither.
+QUERY_BLOCK, ITEMS, TILE, ROWS, PAIRS = 20_000, 5, 1_024, 2_048, 16_384
 _HITS = "query_id long, item_id long, score double"
 
 
@@ -53,20 +53,26 @@ def found_best(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int
     return _by_broadcast(spark, queries.toPandas(), items, k) if n <= block else _by_blocks(queries, items, k, -(-n // block), -(-items.count() // (ITEMS * block)))
 
 
-def rough_of(q: np.ndarray, x: np.ndarray) -> tuple[Callable[[np.ndarray], np.ndarray], float]:
-    """How vectors are made ready for rough inner products, and by how much one of a row of each may be off: single precision, where their lengths
-    allow it, else double."""
-    size = [np.sqrt((v * v).sum(axis=1).max(initial=0.0)) for v in (q, x)]
-    single = all(1e-9 < n < 1e15 for n in size)
-    step = float(np.finfo(np.float32 if single else np.float64).eps)
-    off = 2 * (x.shape[1] + 4) * step * size[0] * size[1]
-    return (lambda v: v.astype(np.float32)) if single else (lambda v: v), off if np.isfinite(off) else np.inf
+def longest(x: np.ndarray) -> float:
+    """The greatest length of the rows that are all numbers."""
+    return float(np.sqrt((x * x).sum(axis=1)[np.isfinite(x).all(axis=1)].max(initial=0.0)))
+
+
+def rough_of(q: float, x: float, dimensions: int) -> tuple[type, float]:
+    """The precision for rough inner products of vectors whose greatest lengths are ``q`` and ``x``, and by how much one may be off: single, where
+    lengths allow it, else double."""
+    kind = np.float32 if all(1e-9 < n < 1e15 for n in (q, x)) else np.float64
+    return kind, 2 * (dimensions + 4) * float(np.finfo(kind).eps) * q * x
 
 
 def _none() -> pd.DataFrame:
     return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": "int64", "item_id": "int64"})
 
 
+def _below(bar: np.ndarray, kind: np.dtype) -> np.ndarray:
+    return np.nextafter(bar.astype(kind), kind.type(-np.inf))
+
+
 class _Tile:
     """The k best items so far of a few queries: (query's place, item, score), in order of queries and ranks. Scores that are no number are greatest, as Spark orders them."""
 
@@ -74,15 +80,17 @@ class _Tile:
         self.k, self.n, self.least = k, n, np.full(n, -np.inf)
         self.at, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def take(self, places: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` has a row for each of the queries at ``places`` and a column for each item."""
-        near = ~(scores < self.least[places][:, None])
-        if scores.shape[1] > 4 * self.k and near.sum() > 4 * self.k * len(places):
-            near &= ~(scores < np.partition(scores, -self.k, axis=1)[:, -self.k][:, None])
+    def take(self, places: np.ndarray, ids: np.ndarray, rough: np.ndarray, off: float, q: np.ndarray, x: np.ndarray) -> None:
+        """``rough`` has a row for each of the queries ``q`` at ``places`` and a column for each item of ``x``: their inner products, but for ``off`` at most.
+        Those that may count are made anew, each of its pair alone, so equal vectors have equal scores."""
+        near = ~(rough < _below(self.least[places] - off, rough.dtype)[:, None])
+        if rough.shape[1] > 4 * self.k and near.sum() > 4 * self.k * len(places):
+            near &= ~(rough < _below(np.partition(rough, -self.k, axis=1)[:, -self.k] - 2 * off, rough.dtype)[:, None])
         i, j = np.nonzero(near)
         if not len(i):
             return
-        at, item, score = np.concatenate([self.at, places[i]]), np.concatenate([self.ids, ids[j]]), np.concatenate([self.scores, scores[i, j]])
+        exact = [np.einsum("nd,nd->n", q[i[a : a + PAIRS]], x[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)]
+        at, item, score = np.concatenate([self.at, places[i]]), np.concatenate([self.ids, ids[j]]), np.concatenate([self.scores, *exact])
         key = np.where(np.isnan(score), np.inf, score)
         order = np.lexsort((item, -key, at))
         at, item, score, key = at[order], item[order], score[order], key[order]
@@ -100,6 +108,8 @@ class _Best:
     def __init__(self, queries: pd.DataFrame, k: int) -> None:
         self.ids = queries["query_id"].to_numpy()
         self.q = np.array(queries["v"].tolist(), dtype=np.float64) if len(queries) else np.zeros((0, 0))
+        self.size = longest(self.q)
+        self.single = self.q.astype(np.float32)
         self.tiles = [_Tile(k, min(TILE, len(self.ids) - a)) for a in range(0, len(self.ids), TILE)]
         self.near = None
         if "near" in queries:
@@ -119,13 +129,15 @@ class _Best:
                 self._meet(np.array(part["v"].tolist(), dtype=np.float64), part["id"].to_numpy(), cell)
 
     def _meet(self, x: np.ndarray, ids: np.ndarray, cell: int | None) -> None:
+        kind, off = rough_of(self.size, longest(x), x.shape[1])
+        q, there = (self.single, x.astype(np.float32)) if kind is np.float32 else (self.q, x)
         for n, tile in enumerate(self.tiles):
             a = n * TILE
             places = np.arange(tile.n)
             if cell is not None:
                 places = np.flatnonzero(self.near[a : a + TILE, cell]) if cell < self.near.shape[1] else places[:0]
             if len(places):
-                tile.take(places, ids, self.q[a + places] @ x.T)
+                tile.take(places, ids, q[a + places] @ there.T, off, self.q[a + places], x)
 
     def frames(self) -> Iterator[pd.DataFrame]:
         for n, t in enumerate(self.tiles):

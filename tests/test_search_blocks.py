@@ -50,3 +50,28 @@ def test_memory_of_many_queries():
     got = pd.concat(best.frames())
     for i in (0, 1024, 5999):
         assert got[got["query_id"] == i]["item_id"].tolist() == np.argsort(-(x @ q[i]), kind="stable")[:10].tolist()
+
+
+def test_rough_scores_in_single_precision(monkeypatch):
+    """All pairs are met in single precision where lengths allow it; what may count is made anew, so near ties and equal vectors keep their order."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 16))
+    x[100:140] = x[100] * (1 + 1e-12 * np.arange(40)[::-1, None])  # no two differ in single precision
+    x[200:230] = x[2500:2530] = x[200]
+    kinds, take = [], vectors._Tile.take
+
+    def seen(self, places, ids, rough, *rest):
+        kinds.append(rough.dtype)
+        return take(self, places, ids, rough, *rest)
+
+    monkeypatch.setattr(vectors._Tile, "take", seen)
+    for scale, kind in ((1.0, np.float32), (1e20, np.float64)):
+        q = np.stack([x[100], x[200], -x[100]])
+        best = vectors._Best(pd.DataFrame({"query_id": np.arange(3), "v": list(q)}), 20)
+        best.take(pd.DataFrame({"id": np.arange(3000), "v": list(x * scale)}))
+        got = pd.concat(best.frames())
+        score = np.array([[sum(a * b for a, b in zip(u, v, strict=True)) for v in x] for u in q])
+        assert set(kinds) == {np.dtype(kind)}
+        for i in range(2):
+            assert got[got["query_id"] == i]["item_id"].tolist() == np.lexsort((np.arange(3000), -score[i].round(14)))[:20].tolist()
+        kinds.clear()
