@@ -8,9 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.functions.expressions import let
 from quillstone.functions.tables import written
 from quillstone.operators.vectors import longest, ranked, rough_of
 
@@ -110,7 +112,7 @@ class ProductIndex:
 
         books = spark.createDataFrame(cuts, "part int, flat array<double>, width int").repartition(parts, "part").mapInPandas(book, "part int, width int, flat array<double>")
         whole = [(-1, centers.shape[1], centers.ravel().tolist()), (-2, 1, scale.tolist())]
-        books.unionByName(spark.createDataFrame(whole, "part int, width int, flat array<double>")).coalesce(1).write.mode("overwrite").parquet(f"{index.path}/quantiser")
+        books.unionByName(spark.createDataFrame(whole, "part int, width int, flat array<double>").coalesce(1)).write.mode("overwrite").parquet(f"{index.path}/quantiser")
         return index
 
     def quantiser(self) -> Quantiser:
@@ -260,13 +262,23 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def hashed_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimensions: int = 64) -> DataFrame:
     """(id, vector) of unit length: each text's words hashed to signed dimensions. Texts without words have none. Repeated ids add up."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    h = F.xxhash64("w")
-    sums = words.select("id", F.pmod(h, F.lit(dimensions)).cast("int").alias("d"), F.when(F.shiftright(h, 40) % 2 == 0, 1).otherwise(-1).alias("s")).groupBy("id", "d").agg(F.sum("s").alias("s"))
-    cells = [F.coalesce(F.max(F.when(F.col("d") == i, F.col("s"))), F.lit(0)).cast("double") for i in range(dimensions)]
-    whole = sums.groupBy("id").agg(F.array(*cells).alias("v"))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    hashes = docs.select(F.col(id_col).alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2_000):
+                part = batch.slice(a, 2_000)
+                n, h = part.num_rows, part.column("h").flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(n), pc.list_value_length(part.column("h")).to_numpy(zero_copy_only=False))
+                sums = np.bincount(row * dimensions + h % dimensions, 1.0 - 2.0 * ((h >> 40) & 1), n * dimensions).astype(np.int64)
+                ends = pa.array(np.arange(n + 1) * dimensions, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, pa.array(sums))], ["id", "s"])
+
+    sums = hashes.mapInArrow(f, f"id {hashes.schema['id'].dataType.simpleString()}, s array<long>")
+    whole = sums.groupBy("id").agg(F.array(*[F.sum(F.col("s")[i]).cast("double") for i in range(dimensions)]).alias("v"))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return whole.withColumn("_n", size).where("_n > 0").select("id", F.transform("v", lambda x: x / F.col("_n")).alias("vector"))
+    return whole.where(size > 0).select("id", let(size, lambda n: F.transform("v", lambda x: x / n)).alias("vector"))
 
 
 def spot_check(index: ProductIndex, exact: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:

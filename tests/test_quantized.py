@@ -100,3 +100,14 @@ def test_copies_are_first_by_id(spark, tmp_path):
     index.append("all", df)
     found = index.search(df.where("vec_id = 7"), 5, nprobe=2, again=4)
     assert [r.item_id for r in found.orderBy("rank").collect()] == [7, 400, 401, 402, 403] and found.first().scanned == 2400
+
+
+def test_vectors_and_codes_are_made_in_parallel(spark, vectors, tmp_path):
+    """No row for each word, a text's length is computed once, and subspaces' codes don't all come from one task."""
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7} of") for i in range(50)] + [(3, "w3 again"), (60, "")], "doc_id long, text string").repartition(3)
+    plan = hashed_vectors(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("SQRT") <= 2
+    got = {r.id: r.vector for r in hashed_vectors(docs).collect()}
+    assert set(got) == set(range(50)) and got[3] == {r.id: r.vector for r in hashed_vectors(spark.createDataFrame([(3, "w3 w3 of w3 again")], "doc_id long, text string")).collect()}[3]
+    ProductIndex.fit(spark, vectors.limit(600), str(tmp_path), cells=4)
+    assert len(list((tmp_path / "quantiser").glob("*.parquet"))) > 2
