@@ -205,3 +205,15 @@ def test_sub_questions_of_every_turn(spark, sf_dir):
     got = [(r.conv_id, r.turn) for r in queries["sub_question_coverage"](spark, sf_dir).select("conv_id", "turn").collect()]
     assert set(got) == parts and len(got) == 2 * len(parts) and any(c % 20 for c, _ in got)
     assert "conv_id %" not in library.oracle_sql()["sub_question_coverage"]
+
+
+def test_hits_of_a_block_are_one_row(spark):
+    """What documents' blocks give is shuffled by question as one row with its best, not as a row for each hit."""
+    df = spark.createDataFrame([(i, f"the w{i % 9}") for i in range(200)], "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"the w{i}") for i in range(9)], "query_id string, text string")
+    index = lexical.counted_terms(df, asked.select(F.explode(lexical.terms(F.col("text"))).alias("term")))
+    found = lexical.bm25_top_k(index, asked, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [next(i for i, line in enumerate(plan) if name in line) for name in ("Window", "Generate inline", "Exchange", "CoGroup")]
+    assert at == sorted(at) and not any("Exchange" in line for line in plan[at[0] : at[1]])
+    assert found.count() == 45
