@@ -13,7 +13,7 @@ from quillstone.sources.sinks import write_vectors
 
 #: Queries that go to every task at most; with more of them, blocks of so many queries meet blocks of ITEMS times as many items. Scores are
 #: computed for TILE queries and ROWS items at once, and made anew for PAIRS, so a task's memory follows neither.
-QUERY_BLOCK, ITEMS, TILE, ROWS, PAIRS = 20_000, 5, 1_024, 2_048, 16_384
+QUERY_BLOCK, ITEMS, TILE, ROWS, PAIRS = 20_000, 5, 512, 4_096, 16_384
 _HITS = "query_id long, item_id long, score double"
 
 
@@ -84,9 +84,9 @@ class _Tile:
         """``rough`` has a row for each of the queries ``q`` at ``places`` and a column for each item of ``x``: their inner products, but for ``off`` at most.
         Those that may count are made anew, each of its pair alone, so equal vectors have equal scores."""
         near = ~(rough < _below(self.least[places] - off, rough.dtype)[:, None])
-        if rough.shape[1] > 4 * self.k and near.sum() > 4 * self.k * len(places):
+        if rough.shape[1] > 4 * self.k and np.count_nonzero(near) > 4 * self.k * len(places):
             near &= ~(rough < _below(np.partition(rough, -self.k, axis=1)[:, -self.k] - 2 * off, rough.dtype)[:, None])
-        i, j = np.nonzero(near)
+        i, j = np.divmod(np.flatnonzero(near), rough.shape[1])
         if not len(i):
             return
         exact = [np.einsum("nd,nd->n", q[i[a : a + PAIRS]], x[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)]
